@@ -1,0 +1,5 @@
+"""Intentionally empty: all inputs of this kind of work are finished files.
+
+The row-local operators and the daily windows are plain DataFrame code, so they
+accept a streaming DataFrame, but no stream of their own is part of the work.
+"""
