@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import dash_if_null, signif, stars, unite
@@ -104,7 +105,7 @@ def two_way(df: DataFrame, keys: Sequence[str], a: str, b: str, y: str, p_value:
     return out if p_value else out.drop("p")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_of_range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of the studentised range for contrast rows."""
     return pd.Series(tukey_sf(q.to_numpy(float), k.to_numpy(float), df.to_numpy(float)))
@@ -250,7 +251,7 @@ def _poly(x, c):
     return sum(v * x ** i for i, v in enumerate(c))
 
 
-@F.pandas_udf("w double, p double")
+@F.pandas_udf(T.StructType([T.StructField("w", T.DoubleType()), T.StructField("p", T.DoubleType())]))
 def _shapiro(n: pd.Series, ss: pd.Series, sm2: pd.Series, smx: pd.Series, m1: pd.Series, m2: pd.Series,
              end1: pd.Series, end2: pd.Series) -> pd.DataFrame:
     """W and p from a group's sums: squared scores, scores times values, outer gaps."""

@@ -8,23 +8,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tails import f_sf, t_quantile, t_sf2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_of_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """Upper F tail for summary rows."""
     return pd.Series(f_sf(f.to_numpy(float), df1.to_numpy(float), df2.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_of_t(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided t tail for summary rows."""
     return pd.Series(t_sf2(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_at(p: pd.Series, df: pd.Series) -> pd.Series:
     """Student quantile for summary rows."""
     return pd.Series(t_quantile(p.to_numpy(float), df.to_numpy(float)))

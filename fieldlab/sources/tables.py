@@ -32,11 +32,12 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 def read_tree(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
               fmt: str = "csv", file_column: str = "file_id", **options) -> DataFrame:
-    """All files under a folder in one scan, with the file's base name as a column."""
+    """All files under a folder in one scan, with the file's base name and path as columns."""
     reader = spark.read.format(fmt).option("recursiveFileLookup", True).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(path).select("*", F.col("_metadata.file_name").alias(file_column))
+    return reader.load(path).select("*", F.col("_metadata.file_name").alias(file_column),
+                                    F.col("_metadata.file_path").alias("file_path"))
 
 
 def read_log_tree(spark: SparkSession, path: str | list[str], columns: Sequence[str],
