@@ -95,10 +95,10 @@ def baseline(df: DataFrame, keys: Sequence[str], is_blank: Column, value: str,
     return df.filter(is_blank).groupBy(*keys).agg(aggregate(F.avg, value, skip_null).alias(name))
 
 
-def with_group_value(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+def with_group_value(df: DataFrame, keys: Sequence[str], many: bool = False, **aggs: Column) -> DataFrame:
     """Group aggregates written beside each row.
 
     A window would send a whole group to one task; summing first and joining
     back leaves a hot group spread out.
     """
-    return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
+    return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys, many=many)

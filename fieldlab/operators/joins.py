@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import seconds
-from ..session import small_side
+from ..session import BROADCAST_ROWS, settle, small_side
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -65,23 +65,25 @@ def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None
     return natural_join(left, right, "left_semi", on)
 
 
-def attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "left",
+           many: bool = False) -> DataFrame:
     """Join a per-key summary back to its rows.
 
     A counted-small summary is broadcast, so the rows stay where they are. A
-    bigger one goes through a shuffle join, where hot keys are split.
+    bigger one, or one known to have ``many`` keys, goes through a shuffle join,
+    where hot keys are split.
     """
-    return natural_join(rows, small_side(summary), how, keys)
+    return natural_join(rows, small_side(summary, many), how, keys)
 
 
 def interval_join(readings: DataFrame, windows: DataFrame, keys: Sequence[str], time: str,
-                  start: str = "start", stop: str = "stop") -> DataFrame:
+                  start: str = "start", stop: str = "stop", many: bool = False) -> DataFrame:
     """Readings inside the window of their key, both ends included.
 
     Readings without a window give no rows. ``windows`` must not share other
     names with ``readings``.
     """
-    w = small_side(windows).alias("w")
+    w = small_side(windows, many).alias("w")
     r = readings.alias("r")
     match = _all([F.col(f"r.`{k}`") == F.col(f"w.`{k}`") for k in keys]
                  + [F.col(f"r.`{time}`") >= F.col(f"w.`{start}`"),
@@ -97,26 +99,29 @@ def exclude_windows(readings: DataFrame, windows: DataFrame, key: str, time: str
     Both kinds of window are first cut into the time slots they touch, so each
     anti join has an equality on the slot and no row meets windows of another.
     """
-    def slots(w):
-        lo = F.floor(seconds(start) / slot_seconds).cast("long")
-        hi = F.floor(seconds(stop) / slot_seconds).cast("long")
-        return w.withColumn("slot", F.explode(F.sequence(lo, hi)))
-
+    lo = F.floor(seconds(start) / slot_seconds).cast("long")
+    hi = F.floor(seconds(stop) / slot_seconds).cast("long")
     w = windows.select(F.col(key).alias("w_key"), F.col(start).alias(start), F.col(stop).alias(stop))
-    w = w.filter(F.col(start) <= F.col(stop))
-    keyed = slots(w.filter(F.col("w_key").isNotNull()))
-    every = slots(w.filter(F.col("w_key").isNull())).drop("w_key")
+    w = w.filter(F.col(start) <= F.col(stop)).withColumn("slot", F.explode(F.sequence(lo, hi)))
+    w = settle(w)
+    fits = w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def side(of_every_key):
+        part = w.filter(F.col("w_key").isNull() if of_every_key else F.col("w_key").isNotNull())
+        return F.broadcast(part) if fits else part
+
     r = readings.withColumn("r_slot", F.floor(seconds(time) / slot_seconds).cast("long"))
     inside = F.col(time).between(F.col(start), F.col(stop)) & (F.col("r_slot") == F.col("slot"))
-    return (r.join(small_side(keyed), (F.col(key) == F.col("w_key")) & inside, "left_anti")
-            .join(small_side(every), inside, "left_anti")
+    return (r.join(side(False), (F.col(key) == F.col("w_key")) & inside, "left_anti")
+            .join(side(True), inside, "left_anti")
             .drop("r_slot"))
 
 
-def lookup_at(series: DataFrame, instants: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+def lookup_at(series: DataFrame, instants: DataFrame, keys: Sequence[str], time: str,
+              many: bool = False) -> DataFrame:
     """The reading taken at exactly the given instant of each key."""
     on = [*keys, time]
-    return natural_join(series, small_side(instants), "inner", on)
+    return natural_join(series, small_side(instants, many), "inner", on)
 
 
 def align(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

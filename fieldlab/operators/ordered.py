@@ -37,31 +37,42 @@ def even_slices(df: DataFrame, name: str, rows_per_slice: int = ROWS_PER_SLICE)
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
              slices: Sequence[Column] | None = None, name: str = "n", total: str | None = None,
-             running: str | None = None, running_name: str = "running",
-             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+             running: str | None = None, running_name: str = "running", ends: str | None = None,
+             measure: DataFrame | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Row number in each series and, if asked, series length and running sum.
 
+    ``ends`` adds the series' first and last value of a column as
+    ``first_value`` and ``last_value``. ``measure`` is a table whose rows bound
+    those of ``df``, to size the slices without computing ``df`` once more.
+
     ``order`` must be a total order. ``slices`` must grow with it; by default
     the first order column is cut evenly. The last slice column may only split
     rows that are equal in the slices before it.
     """
     if slices is None:
-        slices = [even_slices(df, order[0], rows_per_slice)]
+        slices = [even_slices(df if measure is None else measure, order[0], rows_per_slice)]
     cuts = [f"slice_{i}" for i in range(len(slices))]
     cut = df.withColumns(dict(zip(cuts, slices)))
 
     sizes = [F.count(F.lit(1)).alias("slice_rows")]
     if running:
         sizes.append(F.sum(running).alias("slice_sum"))
+    if ends:
+        sizes += [F.min_by(ends, F.struct(*order)).alias("slice_first"),
+                  F.max_by(ends, F.struct(*order)).alias("slice_last")]
     per_slice = cut.groupBy(*keys, *cuts).agg(*sizes)
     before = (Window.partitionBy(*keys).orderBy(*cuts)
               .rowsBetween(Window.unboundedPreceding, -1))
     starts = {"rows_before": F.coalesce(F.sum("slice_rows").over(before), F.lit(0))}
     if total:
         starts[total] = F.sum("slice_rows").over(Window.partitionBy(*keys))
+    if ends:
+        way = F.struct(*cuts)
+        starts["first_value"] = F.min_by("slice_first", way).over(Window.partitionBy(*keys))
+        starts["last_value"] = F.max_by("slice_last", way).over(Window.partitionBy(*keys))
     if running:
         starts["sum_before"] = F.coalesce(F.sum("slice_sum").over(before), F.lit(0.0))
-    offsets = per_slice.withColumns(starts).drop("slice_rows", "slice_sum")
+    offsets = per_slice.withColumns(starts).drop("slice_rows", "slice_sum", "slice_first", "slice_last")
 
     # Each slice's start travels as one row ahead of the rows of that slice, so
     # the same window adds it in and no join is needed.
@@ -76,9 +87,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     made = {name: F.sum("step").over(inside)}
     if running:
         made[running_name] = F.sum("add").over(inside)
-    if total:
-        made[total] = F.max(total).over(inside)
-    keep = [*df.columns, name] + ([total] if total else []) + ([running_name] if running else [])
+    carried = ([total] if total else []) + (["first_value", "last_value"] if ends else [])
+    made.update({c: F.first(c).over(inside) for c in carried})
+    keep = [*df.columns, name, *carried] + ([running_name] if running else [])
     return rows.withColumns(made).filter(F.col("is_start") == 0).select(*keep)
 
 
@@ -91,7 +102,7 @@ def skip_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     head = df.select(*keys, *[c for c in order if c not in keys]).withColumn("rank", rank).filter(F.col("rank") <= k)
     cutoff = head.groupBy(*keys).agg(F.max(F.struct(*order)).alias("cutoff"))
-    return (attach(df, cutoff, keys, "inner")
+    return (attach(df, cutoff, keys, "inner", many=True)
             .filter(F.struct(*order) > F.col("cutoff")).drop("cutoff"))
 
 

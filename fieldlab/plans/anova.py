@@ -18,10 +18,10 @@ from pyspark.sql.window import Window
 from ..functions.columns import dash_if_null, signif, stars, unite
 from ..functions.normal import normal_quantile
 from ..functions.tails import f_sf, t_sf2, tukey_sf
-from ..operators.joins import attach, natural_join
+from ..operators.joins import attach
 from ..operators.ordered import even_slices, numbered
 from ..operators.quantiles import medians
-from ..session import small_side
+from ..session import settle
 from .regression import p_of_f
 
 
@@ -118,7 +118,7 @@ def pairwise(df: DataFrame, keys: Sequence[str], factors: Sequence[str], y: str,
     grow with the rows.
     """
     c = cells(df, keys, factors, y).withColumn("cell", unite(factors, " "))
-    c = small_side(c)
+    c = settle(c)
     by = Window.partitionBy(*keys)
     c = c.withColumns({"k": F.count(F.lit(1)).over(by), "df": F.sum("n").over(by) - F.count(F.lit(1)).over(by),
                        "mse": F.try_divide(F.sum("ss").over(by), F.sum("n").over(by) - F.count(F.lit(1)).over(by))})
@@ -209,16 +209,14 @@ def two_way_diagnostics(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
 
     With the interaction in the model the fit of a row is the mean of its cell.
     """
-    c = cells(df, [], [a, b], y)
-    model = c.agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("rows"), F.sum("ss").alias("ss"))
-    model = model.withColumn("mse", F.try_divide(F.col("ss"), F.col("rows") - F.col("p")))
-    c = small_side(c.select(a, b, "n", F.col("mean").alias("fitted")))
-    p, _, _, mse = model.first()
-    out = natural_join(df.dropna(subset=[a, b, y]), c, "left", [a, b])
+    c = settle(cells(df, [], [a, b], y))
+    p, rows, ss = c.agg(F.count(F.lit(1)), F.sum("n"), F.sum("ss")).first()
+    mse = ss / (rows - p) if rows and rows > p else None
+    out = attach(df.dropna(subset=[a, b, y]), c.select(a, b, "n", F.col("mean").alias("fitted")), [a, b])
     h = 1.0 / F.col("n")
     out = out.withColumns({"residual": F.col(y) - F.col("fitted"), "leverage": h})
     out = out.withColumn("std_residual", F.try_divide(
-        F.col("residual"), F.sqrt(F.lit(mse) * (1.0 - F.col("leverage")))))
+        F.col("residual"), F.sqrt(F.lit(mse).cast("double") * (1.0 - F.col("leverage")))))
     return out.withColumn("cooks_distance", F.try_divide(
         F.pow("std_residual", 2) * F.col("leverage"), (1.0 - F.col("leverage")) * F.lit(float(p)))).drop("n")
 

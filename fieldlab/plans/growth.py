@@ -95,7 +95,7 @@ def complete_pairs(df: DataFrame, pair: Sequence[str], value: str | None = None,
     if only is not None:
         counted = counted.filter(only)
     lone = counted.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    return natural_join(df, small_side(lone), "left_anti", list(pair))
+    return natural_join(df, small_side(lone, many=True), "left_anti", list(pair))
 
 
 def length_change(df: DataFrame, ids: Sequence[str], phase: str, length: str) -> DataFrame:

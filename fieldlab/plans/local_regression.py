@@ -112,20 +112,27 @@ def best_window(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple:
     return int(i[k]), int(j[k]), float(level[k] + my - b * mx), float(b), float(score[k])
 
 
-def ranked_local_regression(series: DataFrame, file: str, x: str, y: str, alpha: float = 0.5) -> DataFrame:
+def ranked_local_regression(series: DataFrame, file: str, x: str, y: str, alpha: float = 0.5,
+                            mean_of: str | None = None) -> DataFrame:
     """Best local line of each file: all windows of at least alpha n points are
     ranked by residual skewness, serial correlation and width of the slope's
     confidence interval; the smallest mean rank wins.
+
+    ``mean_of`` adds the mean of one more column over the points used.
     """
-    pts = series.select(file, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     kind = {f.name: f.dataType.simpleString() for f in series.schema.fields}[file]
+    extra = F.col(mean_of).cast("double") if mean_of else F.lit(None).cast("double")
+    pts = series.select(file, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+                        extra.alias("extra")).dropna(subset=["x", "y"])
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x", kind="stable")
+        pdf = pdf.sort_values(["x", "y"], kind="stable")
         row = best_window(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), alpha)
         out = pd.DataFrame([row], columns=["start_row", "stop_row", "intercept", "slope", "score"])
         out[["start_row", "stop_row"]] = out[["start_row", "stop_row"]].astype("Int64")
         out.insert(0, file, pdf[file].iloc[0])
+        out["mean_extra"] = pdf["extra"].mean()
         return out
 
-    return pts.groupBy(file).applyInPandas(rank, f"`{file}` {kind}, {RESULT}")
+    out = pts.groupBy(file).applyInPandas(rank, f"`{file}` {kind}, {RESULT}, mean_extra double")
+    return out.withColumnRenamed("mean_extra", f"mean_{mean_of}") if mean_of else out.drop("mean_extra")

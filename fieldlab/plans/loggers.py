@@ -58,11 +58,7 @@ def drift_corrected(series: DataFrame, references: DataFrame, key: str, time: st
     """
     inside = interval_join(series, references, [key], time, start, stop)
     sizes = {} if rows_per_slice is None else {"rows_per_slice": rows_per_slice}
-    rows = numbered(inside, [key], [time, tie], name="i", total="n", **sizes)
-    order = F.struct(time, tie)
-    ends = inside.groupBy(key).agg(F.min_by(value, order).alias("first_value"),
-                                   F.max_by(value, order).alias("last_value"))
-    out = attach(rows, ends, [key])
+    out = numbered(inside, [key], [time, tie], name="i", total="n", ends=value, measure=series, **sizes)
     d1 = F.col(ref_start) - F.col("first_value")
     d2 = F.col(ref_stop) - F.col("last_value")
     out = out.withColumn(name, F.col(value) + d1 + F.col("i") * (d2 - d1) / F.col("n"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp_zero, ratio
 from ..operators.aggregates import baseline, strict
-from ..operators.joins import attach, natural_join
+from ..operators.joins import attach, interval_join
+from ..operators.ordered import numbered
 from ..operators.reshape import widen
 from ..operators.verbs import keep_unless, stack
+from .local_regression import ranked_local_regression
 
 # Chamber size in mL, seconds per hour, seawater kg per litre.
 CHAMBER_ML = 6000.0
@@ -69,7 +71,7 @@ def alkalinity_change(samples: DataFrame, block: Sequence[str], group: str, valu
     start = widen(samples.filter(F.col(group) == initial), block, group, [initial], value)
     start = start.withColumnRenamed(initial, "initial")
     later = samples.filter(F.col(group) != initial)
-    return attach(later, start, block).withColumn("drop", F.col("initial") - F.col(value))
+    return attach(later, start, block, many=True).withColumn("drop", F.col("initial") - F.col(value))
 
 
 def calcification(samples: DataFrame, run: Sequence[str], block: Sequence[str], group: str, value: str,
@@ -98,23 +100,19 @@ def metabolic_long(production: DataFrame, calcified: DataFrame, ids: Sequence[st
 
 
 def incubation_rates(readings: DataFrame, windows: DataFrame, file: str, time: str, tie: str, value: str,
-                     temp: str, skip: int = 180, thin: int = 20, alpha: float = 0.5) -> DataFrame:
+                     temp: str, skip: int = 180, thin: int = 20, alpha: float = 0.5,
+                     many: bool = False) -> DataFrame:
     """Slope of every incubation from its raw readings, all files in one job.
 
     Interval join, warm-up rows dropped, every ``thin``-th row kept, ranked
     local regression on the row number (one reading per second) and the mean
-    temperature of the rows used.
+    temperature of the rows used. One numbering serves both cuts.
     """
-    from ..operators.joins import interval_join
-    from ..operators.ordered import every_kth, skip_first
-    from .local_regression import ranked_local_regression
-
-    inside = interval_join(readings, windows, [file], time)
-    warm = skip_first(inside, [file], [time, tie], skip)
-    thinned = every_kth(warm.select(file, time, tie, value, temp), [file], [time, tie], thin, name="sec")
-    fits = ranked_local_regression(thinned, file, "sec", value, alpha)
-    temps = thinned.groupBy(file).agg(F.avg(temp).alias("mean_temp"))
-    return natural_join(fits, temps, "inner", [file])
+    inside = interval_join(readings, windows, [file], time, many=many).select(file, time, tie, value, temp)
+    sec = F.col("i") - skip
+    thinned = (numbered(inside, [file], [time, tie], name="i", measure=readings)
+               .withColumn("sec", sec).filter((sec > 0) & (sec % thin == 0)))
+    return ranked_local_regression(thinned, file, "sec", value, alpha, temp)
 
 
 def drop_rerun(df: DataFrame, unit: str, name: str, channel: str, number: int) -> DataFrame:

@@ -192,7 +192,7 @@ def c11(t):
     manifest = user_windows(t, 1, -1).select(
         "user_id", F.col("start").alias("keep_from"), F.lit(False).alias("from_incl"), F.col("stop").alias("keep_to"),
         F.lit(True).alias("to_incl"), F.when(F.col("user_id") % 3 == 0, 60.0).alias("max_value"))
-    kept = S.select_files(t.events.select("user_id", "ts", "value"), manifest, "user_id", "ts", "value")
+    kept = S.select_files(t.events.select("user_id", "ts", "value"), manifest, "user_id", "ts", "value", many=True)
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -200,7 +200,7 @@ def c11(t):
 def c12(t):
     rows = t.events.select("user_id", "ts", "event_id", "value", (20.0 + F.col("user_id") % 12).alias("temp"))
     return respiro.incubation_rates(rows, user_windows(t, 1, -1), "user_id", "ts", "event_id", "value", "temp",
-                                    skip=3, thin=2)
+                                    skip=3, thin=2, many=True)
 
 
 RATES_SQL = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity,

@@ -88,7 +88,7 @@ def user_windows(t, first_days, last_days=None):
     ON e.user_id = w.user_id AND e.ts BETWEEN w.lo AND w.hi""")
 def j7(t):
     readings = t.events.select("event_id", "user_id", "ts", "value")
-    return J.interval_join(readings, user_windows(t, 1, 5), ["user_id"], "ts").select("event_id", "user_id", "value")
+    return J.interval_join(readings, user_windows(t, 1, 5), ["user_id"], "ts", many=True).select("event_id", "user_id", "value")
 
 
 OUTAGES = (
@@ -120,7 +120,7 @@ def j8(t):
     USING (user_id, ts)""")
 def j9(t):
     last = t.events.groupBy("user_id").agg(F.max("ts").alias("ts"))
-    return J.lookup_at(t.events.select("user_id", "ts", "event_id", "value"), last, ["user_id"], "ts")
+    return J.lookup_at(t.events.select("user_id", "ts", "event_id", "value"), last, ["user_id"], "ts", many=True)
 
 
 @query("J10_align_series", """

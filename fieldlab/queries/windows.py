@@ -54,7 +54,7 @@ def w5(t):
            round(l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 7) AS share FROM lineitem""")
 def w6(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    r = A.with_group_value(rows, ["l_orderkey"], total=F.sum("l_extendedprice"))
+    r = A.with_group_value(rows, ["l_orderkey"], many=True, total=F.sum("l_extendedprice"))
     return r.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") / F.col("total"), 7).alias("share"))
 
 

@@ -58,12 +58,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, many: bool = False, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if a count proves it small, else leave it to a shuffle join.
 
     The count stops at ``max_rows + 1``. The other way is Spark's sort-merge
-    join, whose hot keys the adaptive skew handling splits.
+    join, whose hot keys the adaptive skew handling splits. ``many`` says that
+    the table has a row per entity and grows with the data: it then goes to the
+    shuffle join at once, without being written and counted first.
     """
+    if many:
+        return df
     kept = settle(df)
     if kept is df:
         return df

@@ -76,7 +76,7 @@ def logger_series(logs: DataFrame, values: Mapping[str, str], pattern: str = r"(
 
 
 def select_files(readings: DataFrame, manifest: DataFrame, key: str = "file_id", time: str = "datetime",
-                 value: str | None = None) -> DataFrame:
+                 value: str | None = None, many: bool = False) -> DataFrame:
     """Keep what a manifest says of each file, in one join.
 
     Manifest columns: the key, ``keep_from``, ``from_incl``, ``keep_to``,
@@ -91,7 +91,7 @@ def select_files(readings: DataFrame, manifest: DataFrame, key: str = "file_id",
     keep = lower & upper
     if value:
         keep = keep & (F.col("max_value").isNull() | (F.col(value) <= F.col("max_value")))
-    return (natural_join(readings, small_side(manifest), "inner", [key]).filter(keep)
+    return (natural_join(readings, small_side(manifest, many), "inner", [key]).filter(keep)
             .select(*readings.columns))
 
 
