@@ -5,11 +5,15 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import t_quantile
+from ..operators.joins import natural_join
+from ..session import settle, small_side
+from .long_series import rank_long_series
 
 # A series of this many thinned points is ranked inside one task.
 SERIES_POINTS = 4096
@@ -25,12 +29,12 @@ def _t975(size: int) -> np.ndarray:
     return out
 
 
-def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Columns whose running sums give every window's fit and residual moments.
+def moments(x: np.ndarray, y: np.ndarray, x_before: float = 0.0, y_before: float = 0.0) -> np.ndarray:
+    """Rows whose running sums give every window's fit and residual moments.
 
-    The last four are products with the point before; a series starts with 0.
+    The last four are products with the point before.
     """
-    px, py = np.concatenate([[0.0], x[:-1]]), np.concatenate([[0.0], y[:-1]])
+    px, py = np.concatenate([[x_before], x[:-1]]), np.concatenate([[y_before], y[:-1]])
     return np.stack([np.ones_like(x), x, y, x * x, x * y, y * y, x ** 3, x * x * y, x * y * y, y ** 3,
                      x * px, x * py, y * px, y * py])
 
@@ -108,31 +112,47 @@ def best_window(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple:
     slope, level, skew, serial, width = (np.concatenate(v) for v in zip(*parts))
     score = (percentile_rank(skew) + percentile_rank(serial) + percentile_rank(width)) / 3.0
     k = int(np.argmin(score))
+    # The local line is level + slope (x - mx) on top of my + base (x - mx).
     b = slope[k] + base
     return int(i[k]), int(j[k]), float(level[k] + my - b * mx), float(b), float(score[k])
 
 
 def ranked_local_regression(series: DataFrame, file: str, x: str, y: str, alpha: float = 0.5,
-                            mean_of: str | None = None) -> DataFrame:
+                            mean_of: str | None = None, series_points: int = SERIES_POINTS, **long) -> DataFrame:
     """Best local line of each file: all windows of at least alpha n points are
     ranked by residual skewness, serial correlation and width of the slope's
     confidence interval; the smallest mean rank wins.
 
-    ``mean_of`` adds the mean of one more column over the points used.
+    ``mean_of`` adds the mean of one more column over the points used. Files of
+    up to ``series_points`` points are ranked in one task each; longer ones are
+    spread over tasks with the same result.
     """
+    spark = series.sparkSession
     kind = {f.name: f.dataType.simpleString() for f in series.schema.fields}[file]
     extra = F.col(mean_of).cast("double") if mean_of else F.lit(None).cast("double")
-    pts = series.select(file, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-                        extra.alias("extra")).dropna(subset=["x", "y"])
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y"], kind="stable")
-        row = best_window(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), alpha)
-        out = pd.DataFrame([row], columns=["start_row", "stop_row", "intercept", "slope", "score"])
-        out[["start_row", "stop_row"]] = out[["start_row", "stop_row"]].astype("Int64")
-        out.insert(0, file, pdf[file].iloc[0])
-        out["mean_extra"] = pdf["extra"].mean()
-        return out
-
-    out = pts.groupBy(file).applyInPandas(rank, f"`{file}` {kind}, {RESULT}, mean_extra double")
+    pts = settle(series.select(file, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+                               extra.alias("extra")).dropna(subset=["x", "y"]))
+    sizes = pts.groupBy(file).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("base"), F.avg("extra").alias("mean_extra"))
+    large = settle(sizes.filter(F.col("n") > series_points))
+    any_large = large.limit(1).count() > 0
+
+    def rank(table: pa.Table) -> pa.Table:
+        t = table.sort_by([("x", "ascending"), ("y", "ascending")])
+        row = best_window(t["x"].to_numpy(), t["y"].to_numpy(), alpha)
+        return pa.table({file: table[file].slice(0, 1), "start_row": pa.array([row[0]], pa.int64()),
+                         "stop_row": pa.array([row[1]], pa.int64()),
+                         **{n: pa.array([v], pa.float64()) for n, v in zip(("intercept", "slope", "score"), row[2:])},
+                         "mean_extra": pa.array([pc.mean(table["extra"]).as_py()], pa.float64())})
+
+    usual = natural_join(pts, small_side(large.select(file)), "left_anti", [file]) if any_large else pts
+    # The ranking is heavy on the processor and light on bytes, so the number of
+    # tasks is set here and not left to merging by size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    out = usual.repartition(tasks, file).groupBy(file).applyInArrow(rank, f"`{file}` {kind}, {RESULT}, mean_extra double")
+    if any_large:
+        far = natural_join(pts, small_side(large.select(file)), "left_semi", [file])
+        fits = rank_long_series(far, large.drop("mean_extra"), file, kind, alpha, **long)
+        out = out.unionByName(natural_join(fits, large.select(file, "mean_extra"), "inner", [file]))
     return out.withColumnRenamed("mean_extra", f"mean_{mean_of}") if mean_of else out.drop("mean_extra")
