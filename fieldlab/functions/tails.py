@@ -48,18 +48,32 @@ def _beta_fraction(a, b, x, rounds=400):
     return h
 
 
-def beta_inc(a, b, x):
-    """Regularised incomplete beta function."""
+def log_gamma_ratio(a, b):
+    """log_gamma(a + b) - log_gamma(a); for large a without their cancellation."""
+    a, b = np.broadcast_arrays(np.asarray(a, dtype=float), np.asarray(b, dtype=float))
+    s = a + b
+    big = a > 200.0
+    safe = np.where(big, a, 200.0)
+    far = ((safe - 0.5) * np.log1p(b / safe) + b * np.log(safe + b) - b + (1 / (safe + b) - 1 / safe) / 12
+           - (1 / (safe + b) ** 3 - 1 / safe ** 3) / 360)
+    return np.where(big, far, log_gamma(s) - log_gamma(a))
+
+
+def beta_inc(a, b, x, rest=None):
+    """Regularised incomplete beta function; ``rest`` is 1 - x if known better."""
     a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, x)))
     x = np.clip(x, 0.0, 1.0)
+    rest = 1.0 - x if rest is None else np.broadcast_to(np.clip(np.asarray(rest, dtype=float), 0.0, 1.0), x.shape)
     flip = x > (a + 1.0) / (a + b + 2.0)
     p, q = np.where(flip, b, a), np.where(flip, a, b)
-    y = np.where(flip, 1.0 - x, x)
+    y, z = np.where(flip, rest, x), np.where(flip, x, rest)
     inside = (y > 0.0)
-    safe = np.where(inside, y, 0.5)
-    # The prefactor uses log1p so that huge degrees of freedom keep their digits.
-    front = np.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q)
-                   + p * np.log(safe) + q * np.log1p(-safe)) / p
+    safe, other = np.where(inside, y, 0.5), np.where(inside, z, 0.5)
+    # The smaller of both parts carries the digits; huge degrees of freedom need them.
+    log_y = np.where(safe > 0.5, np.log1p(-np.minimum(other, 0.5)), np.log(safe))
+    log_z = np.where(other > 0.5, np.log1p(-np.minimum(safe, 0.5)), np.log(np.where(other > 0, other, 1.0)))
+    large, small = np.maximum(p, q), np.minimum(p, q)
+    front = np.exp(log_gamma_ratio(large, small) - log_gamma(small) + p * log_y + q * log_z) / p
     part = np.where(inside, front * _beta_fraction(p, q, safe), 0.0)
     return np.where(flip, 1.0 - part, part)
 
@@ -69,7 +83,7 @@ def f_sf(f, df1, df2):
     f, df1, df2 = (np.asarray(v, dtype=float) for v in (f, df1, df2))
     good = np.isfinite(f) & (f >= 0) & (df1 > 0) & (df2 > 0)
     ff, d1, d2 = np.where(good, f, 1.0), np.where(good, df1, 1.0), np.where(good, df2, 1.0)
-    return np.where(good, beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * ff)), np.nan)
+    return np.where(good, beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * ff), d1 * ff / (d2 + d1 * ff)), np.nan)
 
 
 def t_sf2(t, df):

@@ -255,11 +255,11 @@ def production_rows(t) -> DataFrame:
 
 
 @query("C15_production", f"""
-    SELECT l_partkey, metric, light, round(rate_corr, 7) AS rate_corr, round(rate_uncorr, 7) AS rate_uncorr,
+    SELECT l_partkey, metric, light, round(rate_corr, 10) AS rate_corr, round(rate_uncorr, 10) AS rate_uncorr,
            round(temp, 7) AS temp FROM {PRODUCTION_SQL}""")
 def c15(t):
-    return production_rows(t).select("l_partkey", "metric", "light", F.round("rate_corr", 7).alias("rate_corr"),
-                                     F.round("rate_uncorr", 7).alias("rate_uncorr"), F.round("temp", 7).alias("temp"))
+    return production_rows(t).select("l_partkey", "metric", "light", F.round("rate_corr", 10).alias("rate_corr"),
+                                     F.round("rate_uncorr", 10).alias("rate_uncorr"), F.round("temp", 7).alias("temp"))
 
 
 SAMPLES_SQL = """(SELECT o_orderkey, o_orderstatus, o_totalprice - final AS gap, o_orderpriority = '1-URGENT' AS blank,
@@ -290,13 +290,13 @@ def c16(t):
 
 
 @query("C17_metabolic_long", f"""
-    SELECT l_partkey AS unit, metric, round(rate_corr, 7) AS value FROM {PRODUCTION_SQL}
+    SELECT l_partkey AS unit, metric, round(rate_corr, 10) AS value FROM {PRODUCTION_SQL}
     UNION ALL SELECT o_orderkey, 'NC', round(net_calcification, 5) FROM {NC_SQL}""")
 def c17(t):
     prod = production_rows(t).withColumn("unit", F.col("l_partkey"))
     nc = calcification_rows(t).withColumn("unit", F.col("o_orderkey"))
     long = respiro.metabolic_long(prod, nc, ["unit"])
-    return long.withColumn("value", F.when(F.col("metric") == "NC", F.round("value", 5)).otherwise(F.round("value", 7)))
+    return long.withColumn("value", F.when(F.col("metric") == "NC", F.round("value", 5)).otherwise(F.round("value", 10)))
 
 
 # --- chemistry -------------------------------------------------------------
@@ -401,8 +401,8 @@ def c32(t):
 
 
 @query("C33_site_points", """
-    SELECT location, round(quantile_cont(CASE WHEN s_nationkey = 3 THEN s_acctbal + 0.5 ELSE s_acctbal END, 0.5), 6) AS lat,
-           round(quantile_cont(CASE WHEN s_nationkey = 3 THEN s_suppkey + 0.25 ELSE s_suppkey END, 0.5), 6) AS lon
+    SELECT location, round(quantile_cont(CASE WHEN s_nationkey = 3 THEN s_acctbal + CAST(0.5 AS DOUBLE) ELSE s_acctbal END, 0.5), 6) AS lat,
+           round(quantile_cont(CASE WHEN s_nationkey = 3 THEN CAST(s_suppkey AS DOUBLE) + 0.25 ELSE CAST(s_suppkey AS DOUBLE) END, 0.5), 6) AS lon
     FROM (SELECT *, s_nationkey % 2 AS location FROM supplier) WHERE s_nationkey IN (1, 3, 5, 8, 10) GROUP BY 1""")
 def c33(t):
     sites = t.supplier.select("s_nationkey", (F.col("s_nationkey") % 2).alias("location"), F.col("s_acctbal").alias("y"),

@@ -347,11 +347,11 @@ def d2(t):
 
 
 @query("D3_elapsed", """
-    SELECT user_id, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 3) AS sec,
+    SELECT user_id, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 6) AS sec,
            round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS hours FROM events GROUP BY user_id""")
 def d3(t):
     ends = t.events.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return ends.select("user_id", F.round(C.elapsed("a", "b"), 3).alias("sec"),
+    return ends.select("user_id", F.round(C.elapsed("a", "b"), 6).alias("sec"),
                        F.round(C.elapsed("a", "b", "h"), 6).alias("hours"))
 
 
