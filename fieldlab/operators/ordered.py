@@ -1,10 +1,11 @@
 """Ordered operators that hold when one series has a third of all rows.
 
-A plain window sends a whole series to one task. Here each series is cut into
-slices along its order. The slices are counted first, which is a small grouped
-table; the running start of each slice is a window over that small table; and
-the rows are then numbered inside their slice only. Rows shuffle once, on
-(series, slice). A NULL key counts as a series of its own.
+A plain window sends a whole series to one task. That is right for the many
+series of ordinary length. Series counted to be longer than a bound are cut into
+slices along their order: the slices are counted, which is a small table; the
+running start of each slice is a window over that small table; and the rows are
+numbered inside their slice only. Rows shuffle once either way, and a NULL key
+counts as a series of its own.
 """
 
 from __future__ import annotations
@@ -16,44 +17,85 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import seconds
+from ..functions.columns import seconds, value_bin
+from ..session import settle
 from .joins import attach
 
-ROWS_PER_SLICE = 500_000
-MAX_SLICES = 500_000
-
-
-def even_slices(df: DataFrame, name: str, rows_per_slice: int = ROWS_PER_SLICE) -> Column:
-    """Slice number along one column, sized from its measured range and row count."""
-    temporal = isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-    x = seconds(name) if temporal else F.col(name).cast("double")
-    low, high, n = df.agg(F.min(x), F.max(x), F.count(F.lit(1))).first()
-    if n == 0 or low is None or high == low:
-        return F.lit(0).cast("long")
-    slices = min(MAX_SLICES, max(1, -(-n // rows_per_slice)))
-    width = (high - low) / slices
-    return F.floor((x - F.lit(low)) / F.lit(width)).cast("long")
-
-
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-             slices: Sequence[Column] | None = None, name: str = "n", total: str | None = None,
+# A series of more rows than this is sliced; slices aim at an eighth of it, which
+# leaves room for readings that crowd together.
+ROWS_PER_TASK = 1_000_000
+
+
+def position(df: DataFrame, name: str) -> Column:
+    """An order column as a number."""
+    kind = df.schema[name].dataType
+    temporal = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    return seconds(name) if temporal else F.col(name).cast("double")
+
+
+def _even(x: Column, low: Column, high: Column, rows: Column, rows_per_task: int) -> Column:
+    parts = F.ceil(8.0 * rows / rows_per_task)
+    return F.coalesce(F.when(high > low, F.floor((x - low) / ((high - low) / parts))).otherwise(0), F.lit(-1)).cast("long")
+
+
+def _cut(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, by_value: bool,
+         rows_per_task: int) -> tuple[DataFrame, list[str]]:
+    """Slice columns for the rows of long series; 0 for all others."""
+    rows = attach(df, hot, keys)
+    long = F.col("hot_n").isNotNull()
+    if not by_value:
+        at = _even(position(df, order[0]), F.col("hot_low"), F.col("hot_high"), F.col("hot_n"), rows_per_task)
+        return rows.withColumn("slice_0", F.when(long, at).otherwise(F.lit(0).cast("long"))), ["slice_0"]
+    at = F.coalesce(value_bin(order[0]), F.lit(-1 << 40)).cast("long")
+    rows = rows.withColumn("slice_0", F.when(long, at).otherwise(F.lit(0).cast("long")))
+    # Bins crowded by equal values are cut by the value and then along the tie column.
+    tie = position(df, order[1]) if len(order) > 1 else F.lit(0.0)
+    crowded = settle(rows.filter(long).groupBy(*keys, "slice_0").agg(
+        F.count(F.lit(1)).alias("bin_n"), F.min(tie).alias("bin_low"), F.max(tie).alias("bin_high"))
+        .filter(F.col("bin_n") > rows_per_task))
+    rows = attach(rows, crowded, [*keys, "slice_0"])
+    packed = F.col("bin_n").isNotNull()
+    along = _even(tie, F.col("bin_low"), F.col("bin_high"), F.col("bin_n"), rows_per_task)
+    return rows.withColumns({"slice_1": F.when(packed, F.col(order[0]).cast("double")).otherwise(0.0),
+                             "slice_2": F.when(packed, along).otherwise(F.lit(0).cast("long"))}), \
+        ["slice_0", "slice_1", "slice_2"]
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", total: str | None = None,
              running: str | None = None, running_name: str = "running", ends: str | None = None,
-             measure: DataFrame | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+             by_value: bool = False, measure: DataFrame | None = None,
+             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Row number in each series and, if asked, series length and running sum.
 
+    ``order`` must be a total order. ``by_value`` says that the first order
+    column is a measured value, with ties and any spread, and not a time.
     ``ends`` adds the series' first and last value of a column as
     ``first_value`` and ``last_value``. ``measure`` is a table whose rows bound
-    those of ``df``, to size the slices without computing ``df`` once more.
-
-    ``order`` must be a total order. ``slices`` must grow with it; by default
-    the first order column is cut evenly. The last slice column may only split
-    rows that are equal in the slices before it.
+    those of ``df``, to find long series without computing ``df`` once more.
     """
-    if slices is None:
-        slices = [even_slices(df if measure is None else measure, order[0], rows_per_slice)]
-    cuts = [f"slice_{i}" for i in range(len(slices))]
-    cut = df.withColumns(dict(zip(cuts, slices)))
+    keys, order = list(keys), list(order)
+    source = df if measure is None else measure
+    x = position(source, order[0])
+    hot = settle(source.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n"), F.min(x).alias("hot_low"),
+                                           F.max(x).alias("hot_high")).filter(F.col("hot_n") > rows_per_task))
+    carried = ([total] if total else []) + (["first_value", "last_value"] if ends else [])
+    keep = [*df.columns, name, *carried] + ([running_name] if running else [])
 
+    if hot.limit(1).count() == 0:
+        series = Window.partitionBy(*keys)
+        upto = series.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = series.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        made = {name: F.row_number().over(series.orderBy(*order)).cast("long")}
+        if total:
+            made[total] = F.count(F.lit(1)).over(whole)
+        if ends:
+            made.update(first_value=F.first(ends).over(whole), last_value=F.last(ends).over(whole))
+        if running:
+            made[running_name] = F.coalesce(F.sum(running).over(upto), F.lit(0.0))
+        return df.withColumns(made).select(*keep)
+
+    cut, cuts = _cut(df, keys, order, hot, by_value, rows_per_task)
+    cut = cut.select(*df.columns, *cuts)
     sizes = [F.count(F.lit(1)).alias("slice_rows")]
     if running:
         sizes.append(F.sum(running).alias("slice_sum"))
@@ -61,15 +103,14 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
         sizes += [F.min_by(ends, F.struct(*order)).alias("slice_first"),
                   F.max_by(ends, F.struct(*order)).alias("slice_last")]
     per_slice = cut.groupBy(*keys, *cuts).agg(*sizes)
-    before = (Window.partitionBy(*keys).orderBy(*cuts)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    series = Window.partitionBy(*keys)
+    before = series.orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
     starts = {"rows_before": F.coalesce(F.sum("slice_rows").over(before), F.lit(0))}
     if total:
-        starts[total] = F.sum("slice_rows").over(Window.partitionBy(*keys))
+        starts[total] = F.sum("slice_rows").over(series)
     if ends:
-        way = F.struct(*cuts)
-        starts["first_value"] = F.min_by("slice_first", way).over(Window.partitionBy(*keys))
-        starts["last_value"] = F.max_by("slice_last", way).over(Window.partitionBy(*keys))
+        starts["first_value"] = F.min_by("slice_first", F.struct(*cuts)).over(series)
+        starts["last_value"] = F.max_by("slice_last", F.struct(*cuts)).over(series)
     if running:
         starts["sum_before"] = F.coalesce(F.sum("slice_sum").over(before), F.lit(0.0))
     offsets = per_slice.withColumns(starts).drop("slice_rows", "slice_sum", "slice_first", "slice_last")
@@ -87,9 +128,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     made = {name: F.sum("step").over(inside)}
     if running:
         made[running_name] = F.sum("add").over(inside)
-    carried = ([total] if total else []) + (["first_value", "last_value"] if ends else [])
     made.update({c: F.first(c).over(inside) for c in carried})
-    keep = [*df.columns, name, *carried] + ([running_name] if running else [])
     return rows.withColumns(made).filter(F.col("is_start") == 0).select(*keep)
 
 

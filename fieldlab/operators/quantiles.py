@@ -4,27 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import value_bin
 from ..session import small_side
 from .joins import attach, natural_join
 
-BINS_PER_OCTAVE = 1024
-
-
-def value_bin(c: Column | str, unit: float = 1e-3) -> Column:
-    """Order-keeping bin of a number that needs no look at the data first.
-
-    Bins are even in the logarithm above ``unit`` and even in the value below
-    it, so any spread of magnitudes gives a bounded number of bins.
-    """
-    c = F.col(c) if isinstance(c, str) else c
-    size = F.floor(F.log2(1.0 + F.abs(c) / F.lit(unit)) * BINS_PER_OCTAVE).cast("long")
-    return F.when(c < 0, -size - 1).otherwise(size)
-
-
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
                     unit: float = 1e-3) -> DataFrame:
     """Interpolated quantiles (the usual type 7) per key, and the count ``n``.

@@ -19,7 +19,7 @@ from ..functions.columns import dash_if_null, signif, stars, unite
 from ..functions.normal import normal_quantile
 from ..functions.tails import f_sf, t_sf2, tukey_sf
 from ..operators.joins import attach
-from ..operators.ordered import even_slices, numbered
+from ..operators.ordered import ROWS_PER_TASK, numbered
 from ..operators.quantiles import medians
 from ..session import settle
 from .regression import p_of_f
@@ -218,11 +218,11 @@ def two_way_diagnostics(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
         F.pow("std_residual", 2) * F.col("leverage"), (1.0 - F.col("leverage")) * F.lit(float(p)))).drop("n")
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], y: str, ties: Sequence[str]) -> DataFrame:
-    """Rank and group size; equal values are cut further along the tie columns."""
+def _ranked(df: DataFrame, keys: Sequence[str], y: str, ties: Sequence[str],
+            rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rank and group size; crowds of equal values are cut along the tie column."""
     used = df.select(*keys, y, *ties).dropna(subset=[y])
-    cuts = [F.col(y)] + ([even_slices(used, ties[0])] if ties else [])
-    return numbered(used, keys, [y, *ties], cuts, name="i", total="n")
+    return numbered(used, keys, [y, *ties], name="i", total="n", by_value=True, rows_per_task=rows_per_task)
 
 
 def qq_points(df: DataFrame, keys: Sequence[str], y: str, ties: Sequence[str] = ()) -> DataFrame:

@@ -48,16 +48,16 @@ def offset_after(series: DataFrame, references: DataFrame, key: str, time: str,
 def drift_corrected(series: DataFrame, references: DataFrame, key: str, time: str, tie: str, value: str,
                     start: str = "start", stop: str = "stop", ref_start: str = "ref_start",
                     ref_stop: str = "ref_stop", name: str = "corrected", drop_last: bool = True,
-                    rows_per_slice: int | None = None) -> DataFrame:
+                    rows_per_task: int | None = None) -> DataFrame:
     """Spread the drift between two references over the rows between them.
 
     d1 is the offset at the first row and d2 at the last; row i of n gets
     d1 + i (d2 - d1) / n. The row at the second reference is dropped, since the
-    later part of the series starts with it. Row numbers come from time slices,
-    so one long logger does not end in one task.
+    later part of the series starts with it. A long logger
+    is numbered in time slices, so it does not end in one task.
     """
     inside = interval_join(series, references, [key], time, start, stop)
-    sizes = {} if rows_per_slice is None else {"rows_per_slice": rows_per_slice}
+    sizes = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
     out = numbered(inside, [key], [time, tie], name="i", total="n", ends=value, measure=series, **sizes)
     d1 = F.col(ref_start) - F.col("first_value")
     d2 = F.col(ref_stop) - F.col("last_value")

@@ -128,7 +128,7 @@ def test_drift_hits_both_references(spark):
     rows = [("l", i, 30.0 + i) for i in range(1, 11)] + [("m", 5, 1.0)]
     s = spark.createDataFrame(rows, "k string, t int, v double").withColumn("id", F.col("t"))
     refs = spark.createDataFrame([("l", 2, 9, 40.0, 50.0)], "k string, start int, stop int, ref_start double, ref_stop double")
-    d = loggers.drift_corrected(s, refs, "k", "t", "id", "v", drop_last=False, rows_per_slice=2).orderBy("t").collect()
+    d = loggers.drift_corrected(s, refs, "k", "t", "id", "v", drop_last=False, rows_per_task=2).orderBy("t").collect()
     assert [r.t for r in d] == list(range(2, 10)) and {r.n for r in d} == {8}
     d1, d2 = 40.0 - 32.0, 50.0 - 39.0
     assert [r.corrected for r in d] == pytest.approx([30.0 + t + d1 + (t - 1) * (d2 - d1) / 8 for t in range(2, 10)])

@@ -20,9 +20,10 @@ def series(spark):
     return spark.createDataFrame(data, "k string, t int, id int, v double"), pd.DataFrame(data, columns=["k", "t", "id", "v"])
 
 
-def test_numbering_in_many_slices_equals_one_window(series):
+@pytest.mark.parametrize("rows_per_task", [10 ** 6, 100])
+def test_numbering_in_many_slices_equals_one_window(series, rows_per_task):
     df, p = series
-    got = W.numbered(df, ["k"], ["t", "id"], total="n_all", running="v", ends="v", rows_per_slice=40).toPandas()
+    got = W.numbered(df, ["k"], ["t", "id"], total="n_all", running="v", ends="v", rows_per_task=rows_per_task).toPandas()
     assert len(got) == len(p)
     p = p.assign(k=p.k.fillna("NULL")).sort_values(["k", "t", "id"])
     g = p.groupby("k")
@@ -34,12 +35,23 @@ def test_numbering_in_many_slices_equals_one_window(series):
     assert (got.running - want.running).abs().max() < 1e-9
 
 
+@pytest.mark.parametrize("rows_per_task", [10 ** 6, 200, 20])
+def test_ranks_of_values_with_heavy_ties(spark, rows_per_task):
+    rng = random.Random(8)
+    data = [("g" if rng.random() < 0.7 else "h", rng.choice([1.0, 1.0, 2.5, -3.0, round(rng.gauss(0, 1e3), 1)]), i) for i in range(1500)]
+    df = spark.createDataFrame(data, "k string, v double, id int")
+    got = W.numbered(df, ["k"], ["v", "id"], total="m", by_value=True, rows_per_task=rows_per_task).toPandas().set_index("id").sort_index()
+    p = pd.DataFrame(data, columns=["k", "v", "id"]).sort_values(["k", "v", "id"])
+    want = p.assign(n=p.groupby("k").cumcount() + 1, m=p.groupby("k").id.transform("size")).set_index("id").sort_index()
+    assert (got.n == want.n).all() and (got.m == want.m).all()
+
+
 def test_skip_then_thin(series):
     df, p = series
     p = p.assign(k=p.k.fillna("NULL")).sort_values(["k", "t", "id"])
     n = p.groupby("k").cumcount() + 1
     assert {r.id for r in W.skip_first(df, ["k"], ["t", "id"], 5).collect()} == set(p.id[n > 5])
-    assert {r.id for r in W.every_kth(df, ["k"], ["t", "id"], 7, rows_per_slice=100).collect()} == set(p.id[n % 7 == 0])
+    assert {r.id for r in W.every_kth(df, ["k"], ["t", "id"], 7, rows_per_task=100).collect()} == set(p.id[n % 7 == 0])
 
 
 def test_first_last_top_nth(spark, rows):
