@@ -76,8 +76,8 @@ def window_measures(s: np.ndarray, first: tuple, last: tuple, before: np.ndarray
     return slope, level, skew, serial, width
 
 
-def percentile_rank(v: np.ndarray) -> np.ndarray:
-    """Whole part of the average rank over the number of values."""
+def whole_rank(v: np.ndarray) -> np.ndarray:
+    """Whole part of the average rank."""
     order = np.argsort(v, kind="stable")
     s = v[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
@@ -86,7 +86,7 @@ def percentile_rank(v: np.ndarray) -> np.ndarray:
     mean_rank = (start + 1 + end) / 2.0
     out = np.empty(len(v))
     out[order] = np.floor(mean_rank[np.cumsum(new) - 1])
-    return out / len(v)
+    return out
 
 
 def best_window(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple:
@@ -110,11 +110,12 @@ def best_window(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple:
         parts.append(window_measures(total[:, q + 1] - total[:, p], (cx[p], r[p]), (cx[q], r[q]),
                                      m[10:, p], t975[q - p + 1]))
     slope, level, skew, serial, width = (np.concatenate(v) for v in zip(*parts))
-    score = (percentile_rank(skew) + percentile_rank(serial) + percentile_rank(width)) / 3.0
-    k = int(np.argmin(score))
+    # Whole ranks add up exactly, so equal scores are equal and the first window wins.
+    ranks = whole_rank(skew) + whole_rank(serial) + whole_rank(width)
+    k = int(np.argmin(ranks))
     # The local line is level + slope (x - mx) on top of my + base (x - mx).
     b = slope[k] + base
-    return int(i[k]), int(j[k]), float(level[k] + my - b * mx), float(b), float(score[k])
+    return int(i[k]), int(j[k]), float(level[k] + my - b * mx), float(b), float(ranks[k] / len(ranks) / 3.0)
 
 
 def ranked_local_regression(series: DataFrame, file: str, x: str, y: str, alpha: float = 0.5,

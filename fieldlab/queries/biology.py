@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import water
 from ..plans import chemistry, community, growth, respiro
 from ..sources import tables as S
-from .joins import user_windows
+from .joins import rounded_fit, user_windows
+from .local_sql import ranked_local_regression_sql
 from .registry import query
 
 # --- water adapter ---------------------------------------------------------
@@ -196,11 +197,22 @@ def c11(t):
     return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("C12_incubation_rates")
+SERIES_SQL = """(SELECT user_id, temp, value, n - 3 AS sec FROM
+    (SELECT e.user_id, 20.0 + e.user_id % 12 AS temp, value, row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) AS n FROM events e
+     JOIN (SELECT user_id, min(ts) + INTERVAL 1 DAY AS lo, max(ts) - INTERVAL 1 DAY AS hi FROM events GROUP BY 1) w
+     ON e.user_id = w.user_id AND ts BETWEEN lo AND hi) WHERE n > 3 AND (n - 3) % 2 = 0)"""
+
+
+@query("C12_incubation_rates", f"""
+    SELECT user_id, start_row, stop_row, round(intercept, 5) AS intercept, round(slope, 7) AS slope, round(score, 9) AS score,
+           round(mean_temp, 7) AS mean_temp FROM (""" + ranked_local_regression_sql(
+    f"(SELECT user_id AS file, CAST(sec AS DOUBLE) AS x, value AS y FROM {SERIES_SQL})") + f""")
+    JOIN (SELECT user_id, avg(temp) AS mean_temp FROM {SERIES_SQL} GROUP BY 1) ON user_id = file""")
 def c12(t):
     rows = t.events.select("user_id", "ts", "event_id", "value", (20.0 + F.col("user_id") % 12).alias("temp"))
-    return respiro.incubation_rates(rows, user_windows(t, 1, -1), "user_id", "ts", "event_id", "value", "temp",
+    fits = respiro.incubation_rates(rows, user_windows(t, 1, -1), "user_id", "ts", "event_id", "value", "temp",
                                     skip=3, thin=2, many=True)
+    return rounded_fit(fits).withColumn("mean_temp", F.round("mean_temp", 7))
 
 
 RATES_SQL = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity,

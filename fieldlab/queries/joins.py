@@ -8,6 +8,7 @@ from ..operators import joins as J
 from ..operators import verbs
 from ..plans.local_regression import ranked_local_regression
 from ..sources import tables as S
+from .local_sql import ranked_local_regression_sql
 from .registry import query
 
 
@@ -135,9 +136,19 @@ def j10(t):
     return J.align(per_hour("click", "clicks"), per_hour("view", "views"), ["day", "hour"])
 
 
-@query("J11_window_search")
+FIT_COLUMNS = """file AS user_id, start_row, stop_row, round(intercept, 5) AS intercept, round(slope, 7) AS slope,
+    round(score, 9) AS score"""
+
+
+def rounded_fit(df):
+    return df.withColumns({"intercept": F.round("intercept", 5), "slope": F.round("slope", 7), "score": F.round("score", 9)})
+
+
+@query("J11_window_search", f"SELECT {FIT_COLUMNS} FROM (" + ranked_local_regression_sql("""
+    (SELECT user_id AS file, CAST(date_diff('day', DATE '1970-01-01', day) AS DOUBLE) AS x, value AS y FROM
+      (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY ALL))""") + ")")
 def j11(t):
     """All windows of each user's daily mean series, searched for the straightest."""
     series = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
     series = series.withColumn("x", F.unix_date("day"))
-    return ranked_local_regression(series, "user_id", "x", "value", 0.5)
+    return rounded_fit(ranked_local_regression(series, "user_id", "x", "value", 0.5))

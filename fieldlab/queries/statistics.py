@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import anova, mixed, regression
-from ..operators.ordered import every_kth  # noqa: F401
+from ..operators.ordered import every_kth
 from ..functions import normal
+from .joins import FIT_COLUMNS, rounded_fit
+from .local_sql import ranked_local_regression_sql
 from .registry import query
 
 
@@ -117,6 +119,13 @@ def t4_p(t):
     return anova.pairwise(factorial(t), [], ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
+@query("T5_level_means", """
+    SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 5) AS mean FROM orders GROUP BY 1""")
+def t5_means(t):
+    g = anova.grouping_letters(t.orders, [], "o_orderpriority", "o_totalprice", ["o_orderstatus"])
+    return g.select("o_orderpriority", "n", F.round("mean", 5).alias("mean"))
+
+
 @query("T5_grouping_letters")
 def t5(t):
     return anova.grouping_letters(t.orders, [], "o_orderpriority", "o_totalprice", ["o_orderstatus"])
@@ -141,6 +150,20 @@ def t6(t):
                     F.round("t", 5).alias("t"), "df", F.round("r2", 8).alias("r2"))
 
 
+@query("T7_cluster_sizes", """
+    SELECT l_linestatus, size, count(*) AS m, round(sum(my * size), 2) AS total, round(sum(mx * size), 2) AS marked FROM
+      (SELECT l_linestatus, l_orderkey, count(*) AS size, avg(l_quantity) AS my, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS mx
+       FROM lineitem GROUP BY ALL) GROUP BY ALL""")
+def t7_sizes(t):
+    rows = t.lineitem.select("l_orderkey", (F.col("l_returnflag") == "R").cast("double").alias("x"), "l_quantity", "l_linestatus")
+    sums = mixed.size_classes(rows, ["l_linestatus"], ["l_orderkey"], "x", "l_quantity")
+    centre = rows.groupBy("l_linestatus").agg(F.avg("x").alias("cx"), F.avg("l_quantity").alias("cy"))
+    at = F.col("m") * F.col("size")
+    return sums.join(centre, "l_linestatus").select(
+        "l_linestatus", "size", "m", F.round(F.col("sy") + at * F.col("cy"), 2).alias("total"),
+        F.round(F.col("sx") + at * F.col("cx"), 2).alias("marked"))
+
+
 @query("T7_random_intercept")
 def t7(t):
     rows = t.lineitem.select("l_orderkey", (F.col("l_returnflag") == "R").cast("double").alias("x"), "l_quantity", "l_linestatus")
@@ -223,12 +246,14 @@ def t11(t):
                     F.round("std_residual", 7).alias("std_residual"), F.round("cooks_distance", 10).alias("cooks_distance"))
 
 
-@query("T12_ranked_local_regression")
+@query("T12_ranked_local_regression", f"SELECT {FIT_COLUMNS} FROM (" + ranked_local_regression_sql("""
+    (SELECT user_id AS file, CAST(n AS DOUBLE) AS x, value AS y FROM
+      (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 2 = 0)""") + ")")
 def t12(t):
     """Each user's readings in order of time, thinned to every second one."""
     from ..plans.local_regression import ranked_local_regression
     rows = every_kth(t.events.select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], 2, name="sec")
-    return ranked_local_regression(rows, "user_id", "sec", "value", 0.5)
+    return rounded_fit(ranked_local_regression(rows, "user_id", "sec", "value", 0.5))
 
 
 STAR_SQL = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END"

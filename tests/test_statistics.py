@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldlab.functions import tails
 from fieldlab.functions.normal import normal_quantile
 from fieldlab.plans import anova, charts, mixed, regression
-from fieldlab.plans.local_regression import best_window, percentile_rank, ranked_local_regression
+from fieldlab.plans.local_regression import best_window, ranked_local_regression
 
 
 def test_tails_against_closed_forms_and_tables():
@@ -225,9 +225,9 @@ def brute_force(x, y, alpha):
             width = 2 * float(tails.t_quantile(0.975, len(u) - 2)) * math.sqrt(s / (len(u) - 2) / np.sum((u - u.mean()) ** 2))
             rows.append((i, j, b[0], b[1], abs(np.mean(e ** 3) / np.mean(e ** 2) ** 1.5), 1 - left @ left / s, width))
     a = np.array(rows)
-    score = sum(percentile_rank(a[:, c]) for c in (4, 5, 6)) / 3
-    k = score.argmin()
-    return (*a[k, :4], score[k])
+    rank = sum(np.floor(pd.Series(a[:, c]).rank()) for c in (4, 5, 6)).to_numpy()
+    k = rank.argmin()
+    return (*a[k, :4], rank[k] / len(a) / 3)
 
 
 def test_local_regression_against_brute_force():
