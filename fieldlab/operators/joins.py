@@ -76,6 +76,14 @@ def attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str], how: str =
     return natural_join(rows, small_side(summary, many), how, keys)
 
 
+def patch_from(rows: DataFrame, patches: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Replace ``value`` where the patches table has the key; other rows keep theirs."""
+    marked = patches.select(*keys, F.col(value).alias("patched"), F.lit(True).alias("is_patch"))
+    return (attach(rows, marked, keys)
+            .withColumn(value, F.when(F.col("is_patch"), F.col("patched")).otherwise(F.col(value)))
+            .select(*rows.columns))
+
+
 def interval_join(readings: DataFrame, windows: DataFrame, keys: Sequence[str], time: str,
                   start: str = "start", stop: str = "stop", many: bool = False) -> DataFrame:
     """Readings inside the window of their key, both ends included.

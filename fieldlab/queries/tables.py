@@ -206,6 +206,15 @@ def p10(t):
     return t.part.select("p_partkey", C.patch_value("p_partkey", "p_retailprice", {7: 25.0, 11: 0.7}).alias("price"))
 
 
+@query("P10_patch_table", """
+    SELECT p_partkey, p_brand, coalesce(CASE WHEN n > 90 THEN 0.0 END, p_retailprice) AS p_retailprice FROM part
+    LEFT JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) USING (p_brand)""")
+def p10_table(t):
+    common = t.part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).filter("n > 90")
+    return joins.patch_from(t.part.select("p_partkey", "p_brand", "p_retailprice"),
+                            common.select("p_brand", F.lit(0.0).alias("p_retailprice")), ["p_brand"], "p_retailprice")
+
+
 @query("P11_clamp_and_flip", """
     SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS clamped, -c_acctbal AS flipped FROM customer""")
 def p11(t):
