@@ -37,7 +37,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
     on = [*keys, "bin"]
     in_bin = Window.partitionBy(*on).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = (natural_join(x, targets.select(*on).distinct(), "left_semi", on)
+    values = (natural_join(x, targets.select(*on), "left_semi", on)
               .groupBy(*on, "v").agg(F.count(F.lit(1)).alias("m"))
               .withColumn("upto", F.sum("m").over(in_bin)))
     found = (natural_join(values, targets, "inner", on)

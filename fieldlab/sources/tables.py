@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +97,13 @@ def select_files(readings: DataFrame, manifest: DataFrame, key: str = "file_id",
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A few rows written in the code.
+
+    Passed as Arrow they become part of the plan with a known size, so joins
+    with them are planned as broadcasts.
+    """
+    fields = T.StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(fields.names, r)) for r in rows]), schema=fields)
 
 
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
