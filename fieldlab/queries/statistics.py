@@ -91,9 +91,9 @@ TWO_WAY_SQL = f"""
     pair AS (SELECT x.a, x.n*y.n/(x.n + y.n) AS w, x.m - y.m AS d FROM c x JOIN c y ON x.a = y.a AND x.b = 'F' AND y.b = 'O'),
     sa AS (SELECT sum(na*(ma - grand)**2) AS s FROM ra, g), sb AS (SELECT sum(w*d)**2 / sum(w) AS s FROM pair),
     sall AS (SELECT sum(n*(m - grand)**2) AS s FROM c, g),
-    tab AS (SELECT 'l_returnflag' AS source, 2.0 AS df, s AS ss FROM sa UNION ALL SELECT 'l_linestatus', 1.0, s FROM sb
-        UNION ALL SELECT 'l_returnflag x l_linestatus', 2.0, sall.s - sa.s - sb.s FROM sall, sa, sb
-        UNION ALL SELECT 'residual', rows - cells, ssr FROM g)"""
+    tab AS (SELECT 'l_returnflag' AS source, CAST(2 AS DOUBLE) AS df, s AS ss FROM sa UNION ALL SELECT 'l_linestatus', 1, s FROM sb
+        UNION ALL SELECT 'l_returnflag x l_linestatus', 2, sall.s - sa.s - sb.s FROM sall, sa, sb
+        UNION ALL SELECT 'residual', CAST(rows - cells AS DOUBLE), ssr FROM g)"""
 
 
 @query("T3_two_way", TWO_WAY_SQL + """
