@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tails import t_quantile
+from ..functions.tails import t975_by_points
 from ..operators.joins import natural_join
 from ..session import settle, small_side
 from .long_series import rank_long_series
@@ -21,14 +19,6 @@ SERIES_POINTS = 4096
 RESULT = "start_row long, stop_row long, intercept double, slope double, score double"
 
 
-@lru_cache(maxsize=32)
-def _t975(size: int) -> np.ndarray:
-    """Student 97.5 % points by number of points in the window."""
-    out = np.full(size + 1, np.inf)
-    out[3:] = t_quantile(0.975, np.arange(3, size + 1) - 2.0)
-    return out
-
-
 def moments(x: np.ndarray, y: np.ndarray, x_before: float = 0.0, y_before: float = 0.0) -> np.ndarray:
     """Rows whose running sums give every window's fit and residual moments.
 
@@ -103,7 +93,7 @@ def best_window(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple:
     m = moments(cx, r)
     total = np.concatenate([np.zeros((m.shape[0], 1)), np.cumsum(m, axis=1)], axis=1)
     i, j = np.triu_indices(n, shortest - 1)
-    t975 = _t975(1 << int(n).bit_length())
+    t975 = t975_by_points(1 << int(n).bit_length())
     parts = []
     for a in range(0, len(i), 1 << 18):
         p, q = i[a:a + (1 << 18)], j[a:a + (1 << 18)]

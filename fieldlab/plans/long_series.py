@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.tails import t_quantile
+from ..functions.tails import t975_by_points
 from ..operators.joins import attach
 from ..operators.ordered import numbered
 from ..session import settle
@@ -40,8 +40,7 @@ def _pair_windows(row, moments, window_measures):
     p, q = np.nonzero((np.arange(len(xc))[None, :] + j0) - (np.arange(len(xa))[:, None] + i0) + 1 >= row["shortest"])
     if len(p) == 0:
         return None
-    points = (q + j0) - (p + i0) + 1
-    t975 = t_quantile(0.975, np.arange(points.min(), points.max() + 1) - 2.0)[points - points.min()]
+    t975 = t975_by_points(1 << int(row["n"]).bit_length())[(q + j0) - (p + i0) + 1]
     slope, level, skew, serial, width = window_measures(
         upto[:, q] - below[:, p], (xa[p], ra[p]), (xc[q], rc[q]), ma[10:, p], t975)
     return p + i0, q + j0, slope, level, (skew, serial, width)
@@ -111,7 +110,10 @@ def rank_long_series(pts: DataFrame, sizes: DataFrame, file: str, kind: str, alp
     a = a.filter(nearest <= last).withColumn("block_c", F.explode(F.sequence(nearest, last)))
     c = ready.select(file, F.col("block").alias("block_c"), F.col("x").alias("xc"), F.col("r").alias("rc"),
                      F.col("px").alias("pxc"), F.col("pr").alias("prc"), F.col("s").alias("sc"))
-    pairs = attach(a, c, [file, "block_c"], "inner", many=True)
+    # Few bytes and much work per pair: the number of tasks is set, not merged by size.
+    spark = pts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pairs = settle(attach(a, c, [file, "block_c"], "inner", many=True).repartition(tasks, file, "block_a", "block_c"))
 
     def per_pair(f, schema, *tables):
         """Run ``f(row, windows)`` on every pair, with per-file tables joined in."""

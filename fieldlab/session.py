@@ -19,6 +19,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Rows with arrays reach Python in batches bounded by size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
