@@ -161,6 +161,6 @@ def test_trait_decode(spark):
 
 def test_nutrient_summary(spark):
     # Nitrate plus nitrite of two sites, mean and SE known.
-    df = spark.createDataFrame([("Seep_DL_2023", 11.5), ("HighSGD_DL_x", 1.0), ("HighSGD_DH_x", 2.0), ("LowSGD_DH_x", 3.0)], "s string, nn double")
-    got = {r.site: (r.mean, r.se) for r in chemistry.nutrient_summary(df, "s", ["nn"], ["Seep"], {"HighSGD": "High"}).collect()}
-    assert got == {"High": (1.5, pytest.approx(0.5)), "LowSGD": (3.0, None)}
+    df = spark.createDataFrame([("Seep_DL_2023", 11.5), ("HighFlow_DL_x", 1.0), ("HighFlow_DH_x", 2.0), ("LowFlow_DH_x", 3.0)], "s string, nn double")
+    got = {r.site: (r.mean, r.se) for r in chemistry.nutrient_summary(df, "s", ["nn"], ["Seep"], {"HighFlow": "High"}).collect()}
+    assert got == {"High": (1.5, pytest.approx(0.5)), "LowFlow": (3.0, None)}
