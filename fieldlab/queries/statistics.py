@@ -166,14 +166,14 @@ def t7_sizes(t):
 
 
 @query("T7_reml_fit", """
-    SELECT k AS l_linestatus, round(theta, 5) AS ratio, round(slope, 5) AS estimate, round(s2, 4) AS residual_variance,
+    SELECT k AS l_linestatus, round(theta, 5) AS ratio, round(slope, 5) AS estimate, round(s2, 2) AS residual_variance,
            round(f_value, 5) AS f_value FROM (""" + random_intercept_sql("""
     (SELECT l_linestatus AS k, l_orderkey AS g, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x, l_quantity AS y
      FROM lineitem)""") + ")")
 def t7_fit(t):
     fit = t7(t)
     return fit.select("l_linestatus", F.round("ratio", 5).alias("ratio"), F.round("estimate", 5).alias("estimate"),
-                      F.round("residual_variance", 4).alias("residual_variance"), F.round("f_value", 5).alias("f_value"))
+                      F.round("residual_variance", 2).alias("residual_variance"), F.round("f_value", 5).alias("f_value"))
 
 
 @query("T7_random_intercept")

@@ -155,6 +155,8 @@ def test_mixed_likelihood_against_the_dense_form(spark):
     assert slope == pytest.approx(b[1]) and unit == pytest.approx(np.linalg.inv(a)[1, 1])
     assert q == pytest.approx((yc - d @ b) @ vi @ (yc - d @ b))
     assert log_det == pytest.approx(np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1])
+    h = 1e-5
+    assert model.gradient(theta) == pytest.approx((model.profile(theta + h) - model.profile(theta - h)) / (2 * h), rel=1e-6)
 
 
 def test_levene_uses_medians(spark, data):
