@@ -15,18 +15,24 @@ def random_intercept_sql(rows: str, levels: int = 4, points: int = 400) -> str:
                FROM means CROSS JOIN (SELECT unnest(range({points} + 1)) AS j))"""
     width = 7.0 / points
     for i in range(1, levels + 1):
+        # The first grid finds the minimum; the finer ones the root of its derivative, which is not flat.
+        measure = "(total - 2)*ln(q/(total - 2)) + ld + ln(det)" if i == 1 else (
+            "abs((total - 2)*(dyy - 2*(base*db0 + slope*db1) + base*base*da00 + 2*base*slope*da01 + slope*slope*da11)/q"
+            " + dld + (a11*da00 - 2*a01*da01 + a00*da11)/det)")
         text += f""",
     parts_{i} AS (SELECT k, theta, sum(m*n*(1 - c*n)) AS a00, sum(sx*(1 - c*n)) AS a01, sum(xx - c*sxsx) AS a11, sum(sy*(1 - c*n)) AS b0,
-                         sum(xy - c*sxsy) AS b1, sum(yy - c*sysy) AS yy, sum(m*ln(1 + theta*n)) AS ld, sum(m*n) AS total
-                  FROM (SELECT *, theta/(1 + theta*n) AS c FROM classes JOIN grid_{i} USING (k)) GROUP BY k, theta),
-    fit_{i} AS (SELECT *, yy - (a11*b0*b0 - 2*a01*b0*b1 + a00*b1*b1)/det AS q, (a00*b1 - a01*b0)/det AS slope, a00/det AS unit
+                         sum(xy - c*sxsy) AS b1, sum(yy - c*sysy) AS yy, sum(m*ln(1 + theta*n)) AS ld, sum(m*n) AS total,
+                         -sum(m*n*n*d) AS da00, -sum(sx*n*d) AS da01, -sum(sxsx*d) AS da11, -sum(sy*n*d) AS db0, -sum(sxsy*d) AS db1,
+                         -sum(sysy*d) AS dyy, sum(m*n/(1 + theta*n)) AS dld
+                  FROM (SELECT *, theta/(1 + theta*n) AS c, 1/(1 + theta*n)**2 AS d FROM classes JOIN grid_{i} USING (k)) GROUP BY k, theta),
+    fit_{i} AS (SELECT *, yy - (a11*b0*b0 - 2*a01*b0*b1 + a00*b1*b1)/det AS q, (a00*b1 - a01*b0)/det AS slope, (a11*b0 - a01*b1)/det AS base, a00/det AS unit
                 FROM (SELECT *, a00*a11 - a01*a01 AS det FROM parts_{i})),
     best_{i} AS (SELECT k, arg_min(theta, crit) AS theta, arg_min(slope, crit) AS slope, arg_min(unit, crit) AS unit,
                         arg_min(q/(total - 2), crit) AS s2 FROM
-                 (SELECT *, (total - 2)*ln(q/(total - 2)) + ld + ln(det) AS crit FROM fit_{i}) GROUP BY k)"""
+                 (SELECT *, {measure} AS crit FROM fit_{i}) GROUP BY k)"""
         if i < levels:
             text += f""",
-    grid_{i + 1} AS (SELECT k, theta*pow(10.0, {width!r}*(j - {points // 2})/{points // 2}) AS theta
+    grid_{i + 1} AS (SELECT DISTINCT k, theta*pow(10.0, {width!r}*(j - {points // 2})/{points // 2}) AS theta
                      FROM best_{i} CROSS JOIN (SELECT unnest(range({points} + 1)) AS j))"""
             width = width / (points // 2)
     return text + f"""
