@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +32,41 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator here relies on."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str | None:
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver was started; once per application.
+
+    The archive goes to the shared folder, from where Spark hands it to executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder, kept = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(kept, "w") as archive:
+        for at, _, files in os.walk(folder):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(at, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(folder)))
+    target = f"{shared_dir(spark)}/{os.path.basename(folder)}-{uuid.uuid4().hex}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(kept.getvalue())
+    out.close()
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see, taken from ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a folder of its own; a cluster
-    without it gets None, since a machine-local folder is of no use there.
+    A local session without the setting gets a folder of its own. On a cluster
+    the setting is needed, since a machine-local folder is of no use there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -44,7 +75,9 @@ def shared_dir(spark: SparkSession) -> str | None:
     if not path and context.master.startswith("local"):
         path = tempfile.mkdtemp(prefix="fieldlab-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if path and not context.getCheckpointDir():
+    if not path:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path
 
@@ -53,10 +86,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute a reduced table once and keep it in the shared folder.
 
     Survives lost executors and makes both readers of the table see the very
-    same rows. Without a shared folder the plan is returned unchanged.
+    same rows.
     """
-    if shared_dir(df.sparkSession) is None:
-        return df
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -71,7 +103,5 @@ def small_side(df: DataFrame, many: bool = False, max_rows: int = BROADCAST_ROWS
     if many:
         return df
     kept = settle(df)
-    if kept is df:
-        return df
     rows = kept.limit(max_rows + 1).count()
     return F.broadcast(kept) if rows <= max_rows else kept
