@@ -175,7 +175,8 @@ def value_bin(c: Column | str, unit: float = 1e-3) -> Column:
     """
     c = as_column(c)
     size = F.floor(F.log2(1.0 + F.abs(c) / F.lit(unit)) * BINS_PER_OCTAVE).cast("long")
-    return F.when(c < 0, -size - 1).otherwise(size)
+    # NaN is the largest number, as in every sort.
+    return F.when(F.isnan(c.cast("double")), F.lit(2 ** 62)).when(c < 0, -size - 1).otherwise(size)
 
 
 def stars(p: Column | str) -> Column:

@@ -27,8 +27,8 @@ def log_gamma(x):
     return 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(total)
 
 
-def _beta_fraction(a, b, x, rounds=400):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+def _beta_fraction(a, b, x, rounds=10_000_000):
+    """Continued fraction of the incomplete beta function (modified Lentz), until it has converged."""
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
@@ -45,8 +45,8 @@ def _beta_fraction(a, b, x, rounds=400):
             step = d * c
             h = h * step
         if np.all(np.abs(step - 1.0) < 1e-15):
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction of the beta function did not converge")
 
 
 def log_gamma_ratio(a, b):

@@ -104,9 +104,13 @@ def exclude_windows(readings: DataFrame, windows: DataFrame, key: str, time: str
                     start: str = "start", stop: str = "stop", slot_seconds: int = 3600) -> DataFrame:
     """Drop readings inside a bad window; a window with a NULL key hits every key.
 
+    A NULL start or stop is no bound: such a window reaches to the end of the readings.
     Both kinds of window are first cut into the time slots they touch, so each
     anti join has an equality on the slot and no row meets windows of another.
     """
+    if not windows.filter(F.col(start).isNull() | F.col(stop).isNull()).isEmpty():
+        first, last = readings.agg(F.min(time), F.max(time)).first()
+        windows = windows.withColumns({start: F.coalesce(start, F.lit(first)), stop: F.coalesce(stop, F.lit(last))})
     lo = F.floor(seconds(start) / slot_seconds).cast("long")
     hi = F.floor(seconds(stop) / slot_seconds).cast("long")
     w = windows.select(F.col(key).alias("w_key"), F.col(start).alias(start), F.col(stop).alias(stop))

@@ -138,6 +138,8 @@ def skip_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int)
     Only k rows per key and map task reach the ranking (Spark limits each group
     before the exchange); their largest order value is the cut-off.
     """
+    if k <= 0:
+        return df
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     head = df.select(*keys, *[c for c in order if c not in keys]).withColumn("rank", rank).filter(F.col("rank") <= k)
     cutoff = head.groupBy(*keys).agg(F.max(F.struct(*order)).alias("cutoff"))

@@ -120,7 +120,9 @@ def pairwise(df: DataFrame, keys: Sequence[str], factors: Sequence[str], y: str,
     c = c.withColumns({"k": F.count(F.lit(1)).over(by), "df": F.sum("n").over(by) - F.count(F.lit(1)).over(by),
                        "mse": F.try_divide(F.sum("ss").over(by), F.sum("n").over(by) - F.count(F.lit(1)).over(by))})
     one = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
-    match = F.col("a.cell") < F.col("b.cell")
+    # Labels may collide ("a b" and "c", "a" and "b c"): the factors themselves tell cells apart.
+    key = lambda s: F.struct(F.col(f"{s}.cell"), *[F.col(f"{s}.`{f}`") for f in factors])
+    match = key("a") < key("b")
     for m in one:
         match = match & m
     if not keys:
@@ -197,7 +199,7 @@ def levene(df: DataFrame, keys: Sequence[str], factors: Sequence[str], y: str, p
     used = df.select(*keys, *factors, y).dropna(subset=[*factors, y])
     middle = medians(used, [*keys, *factors], y)
     away = attach(used, middle, [*keys, *factors]).select(
-        *keys, unite(factors, " ").alias("cell"), F.abs(F.col(y) - F.col("median")).alias("distance"))
+        *keys, F.struct(*factors).alias("cell"), F.abs(F.col(y) - F.col("median")).alias("distance"))
     return one_way(away, keys, "cell", "distance", p_value)
 
 
@@ -239,7 +241,6 @@ ROYSTON_SMALL_MEAN = (0.5440, -0.39978, 0.025054, -6.714e-4)
 ROYSTON_SMALL_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
 ROYSTON_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 ROYSTON_LARGE_SD = (-0.4803, -0.082676, 0.0030302)
-SHAPIRO_LIMIT = 5000
 
 
 def _poly(x, c):
@@ -270,9 +271,7 @@ def _shapiro(n: pd.Series, ss: pd.Series, sm2: pd.Series, smx: pd.Series, m1: pd
                 total = a1 * e1 + (smx_ - m1_ * e1) / np.sqrt(phi)
             w = total ** 2 / ss_
         w = min(w, 1.0)
-        if n_ > SHAPIRO_LIMIT:
-            p = np.nan
-        elif n_ == 3:
+        if n_ == 3:
             p = max(0.0, 6.0 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75))))
         else:
             y, ln = np.log1p(-w) if w < 1 else -np.inf, np.log(n_)
@@ -290,8 +289,8 @@ def _shapiro(n: pd.Series, ss: pd.Series, sm2: pd.Series, smx: pd.Series, m1: pd
 def shapiro_wilk(df: DataFrame, keys: Sequence[str], y: str, ties: Sequence[str] = ()) -> DataFrame:
     """Normality statistic W and its p-value per key.
 
-    W uses all rows of any group. The published p-value holds up to 5000 rows;
-    beyond that p is NULL.
+    Both use all rows of any group. The p-value's polynomial in log n was published
+    for up to 5000 rows and is used as it is beyond.
     """
     r = _ranked(df, keys, y, ties)
     m = normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25))

@@ -92,11 +92,12 @@ def j7(t):
     return J.interval_join(readings, user_windows(t, 1, 5), ["user_id"], "ts", many=True).select("event_id", "user_id", "value")
 
 
+# Invented: a night, a day, a week's end, and one outage of every type that is still open.
 OUTAGES = (
-    ("view", "2024-01-03 19:10:00", "2024-01-03 21:30:00"),
-    ("view", "2024-01-05 00:40:00", "2024-01-06 01:45:00"),
-    ("click", "2024-01-15 18:35:00", "2024-01-17 18:35:00"),
-    (None, "2024-01-20 09:00:00", "2024-01-23 06:00:00"),
+    ("click", "2024-01-09 22:00:00", "2024-01-10 04:00:00"),
+    ("click", "2024-01-13 00:00:00", "2024-01-14 23:59:59"),
+    ("view", "2024-01-17 00:00:00", "2024-01-17 23:59:59"),
+    (None, "2024-01-27 12:00:00", None),
 )
 
 
@@ -105,13 +106,16 @@ def outages(t):
     return w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
 
 
-@query("J8_exclusion_windows", """
-    SELECT event_id, event_type, ts FROM events e WHERE NOT EXISTS (SELECT 1 FROM (VALUES
-      ('view', TIMESTAMP '2024-01-03 19:10:00', TIMESTAMP '2024-01-03 21:30:00'),
-      ('view', TIMESTAMP '2024-01-05 00:40:00', TIMESTAMP '2024-01-06 01:45:00'),
-      ('click', TIMESTAMP '2024-01-15 18:35:00', TIMESTAMP '2024-01-17 18:35:00'),
-      (NULL, TIMESTAMP '2024-01-20 09:00:00', TIMESTAMP '2024-01-23 06:00:00')) w(k, lo, hi)
-      WHERE e.ts BETWEEN w.lo AND w.hi AND (w.k IS NULL OR w.k = e.event_type))""")
+def outages_sql() -> str:
+    """Condition on events e: no outage covers the row; an open end has no bound."""
+    def literal(value, kind=""):
+        return "NULL" if value is None else f"{kind}'{value}'"
+    rows = ", ".join(f"({literal(k)}, CAST({literal(lo)} AS TIMESTAMP), CAST({literal(hi)} AS TIMESTAMP))" for k, lo, hi in OUTAGES)
+    return f"""NOT EXISTS (SELECT 1 FROM (VALUES {rows}) w(k, lo, hi)
+      WHERE (w.lo IS NULL OR e.ts >= w.lo) AND (w.hi IS NULL OR e.ts <= w.hi) AND (w.k IS NULL OR w.k = e.event_type))"""
+
+
+@query("J8_exclusion_windows", f"SELECT event_id, event_type, ts FROM events e WHERE {outages_sql()}")
 def j8(t):
     return J.exclude_windows(t.events.select("event_id", "event_type", "ts"), outages(t), "event_type", "ts")
 

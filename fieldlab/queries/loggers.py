@@ -10,7 +10,7 @@ from ..operators.joins import attach
 from ..plans import anova, loggers
 from ..session import settle
 from ..sources import tables as S
-from .joins import OUTAGES, outages  # noqa: F401
+from .joins import outages, outages_sql
 from .registry import query
 
 LOGGER_SQL = "(SELECT event_id, ts, user_id % 4 AS logger, value FROM events)"
@@ -120,12 +120,7 @@ def c24(t):
 
 
 QC_SQL = """(SELECT * FROM events e WHERE ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-28 06:00:00'
-    AND user_id % 4 <> 2 AND value > 5 AND NOT EXISTS (SELECT 1 FROM (VALUES
-      ('view', TIMESTAMP '2024-01-03 19:10:00', TIMESTAMP '2024-01-03 21:30:00'),
-      ('view', TIMESTAMP '2024-01-05 00:40:00', TIMESTAMP '2024-01-06 01:45:00'),
-      ('click', TIMESTAMP '2024-01-15 18:35:00', TIMESTAMP '2024-01-17 18:35:00'),
-      (NULL, TIMESTAMP '2024-01-20 09:00:00', TIMESTAMP '2024-01-23 06:00:00')) w(k, lo, hi)
-      WHERE e.ts BETWEEN w.lo AND w.hi AND (w.k IS NULL OR w.k = e.event_type)))"""
+    AND user_id % 4 <> 2 AND value > 5 AND """ + outages_sql() + ")"
 
 
 def controlled(t) -> DataFrame:

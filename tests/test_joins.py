@@ -79,3 +79,11 @@ def test_broadcast_only_when_counted_small(spark):
         assert "SortMergeJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_open_windows_have_no_bound(spark):
+    r = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("b", "2024-01-02 10:00:00")], "k string, t string")
+    r = r.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    w = spark.createDataFrame([("a", None, "2024-01-01 12:00:00"), ("b", "2024-01-02 09:00:00", None)], "k string, start string, stop string")
+    w = w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
+    assert J.exclude_windows(r, w, "k", "t").count() == 0

@@ -110,3 +110,12 @@ def test_two_values_in_a_cell_stop_the_query(spark):
     df = spark.createDataFrame([(1, "pre", 2.0), (1, "pre", 3.0)], "id int, phase string, v double")
     with pytest.raises(Exception, match="more than one value"):
         reshape.widen(df, ["id"], "phase", ["pre"], "v").collect()
+
+
+def test_skip_none(spark):
+    assert W.skip_first(spark.range(5).withColumn("k", F.lit(1)), ["k"], ["id"], 0).count() == 5
+
+
+def test_nan_is_the_largest_value(spark):
+    df = spark.createDataFrame([("g", 1.0), ("g", float("nan")), ("g", 3.0)], "g string, v double")
+    assert Q.medians(df, ["g"], "v").first()["median"] == 3.0

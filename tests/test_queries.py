@@ -20,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry._registered.queries()))
 def test_query_agrees_with_sql(spark, con, name):
     from check import compare
     result = compare(spark, con, name, FOLDER)

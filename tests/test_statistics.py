@@ -177,7 +177,23 @@ def test_shapiro_known_samples(spark):
     assert got["u"].w is None and got["t"].w == pytest.approx(1.0)
     big = spark.range(6000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     r = anova.shapiro_wilk(big, ["g"], "v").first()
-    assert r.n == 6000 and 0.9 < r.w < 1 and r.p is None
+    assert r.n == 6000 and 0.9 < r.w < 1 and 0 <= r.p < 0.001
+
+
+def test_shapiro_p_on_both_sides_of_the_published_range(spark):
+    p = [anova.shapiro_wilk(spark.range(n).select(F.lit("g").alias("g"), normal_quantile((F.col("id") + 0.5) / n).alias("v")),
+                            ["g"], "v").first().p for n in (4999, 5001)]
+    assert p[0] == pytest.approx(p[1], abs=1e-3)
+
+
+def test_cells_with_colliding_labels_stay_apart(spark):
+    rows = [(a, b, float(i + j)) for j, (a, b) in enumerate([("a b", "c"), ("a", "b c"), ("d", "e")]) for i in range(4)]
+    df = spark.createDataFrame(rows, "f string, g string, y double")
+    assert anova.pairwise(df, [], ["f", "g"], "y").count() == 3
+
+
+def test_f_tail_of_large_degrees_of_freedom():
+    assert float(tails.f_sf(1.0, 1e7, 1e9)) == pytest.approx(0.499941, abs=2e-6)
 
 
 def test_qq_points_and_ties(spark):
