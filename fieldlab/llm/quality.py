@@ -20,11 +20,12 @@ from .common import SPACE_RUN, let, space_words, trimmed
 MENU = (r"^(?:home|menu|log ?in|sign (?:in|up)|next|previous|read more|click here|share|subscribe|back to top"
         r"|skip to (?:main )?content|contact us|about us)(?:$|[^A-Za-z].*)")
 SEPARATED = r"[|»›•][^|»›•]*[|»›•]"
-NOTICE = (r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|enable javascript"
-          r"|this work is licensed under|lorem ipsum")
-ENDED = r"[.!?…。！？।:;,)\]}\x22'’”»]$"
+NOTICES = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies",
+           "enable javascript", "this work is licensed under", "lorem ipsum")
+ENDINGS = ".!?…。！？।:;,)]}\"'’”»"
 MARKS = r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 MENU_WORDS = 12
+MENU_CHARS = 120
 MOST_MARKS = 0.25
 MOST_LOST = 0.5
 
@@ -35,13 +36,18 @@ def _count(text: Column, others: str) -> Column:
 
 def line_passes(line: Column) -> Column:
     """True for blank lines and for lines that no rule strikes."""
+    def noticed(low):
+        found = F.contains(low, F.lit(NOTICES[0]))
+        for phrase in NOTICES[1:]:
+            found = found | F.contains(low, F.lit(phrase))
+        return found
+
     def judged(t):
-        low = F.lower(t)
-        short = F.size(F.split(t, SPACE_RUN)) <= MENU_WORDS
-        menu = short & (low.rlike(MENU) | t.rlike(SEPARATED))
+        short = (F.length(t) <= MENU_CHARS) & (F.size(F.split(t, SPACE_RUN)) <= MENU_WORDS)
+        menu = short & (F.lower(t).rlike(MENU) | t.rlike(SEPARATED))
         letters = F.length(F.regexp_replace(t, SPACE_RUN, ""))
-        ragged = ~t.rlike(ENDED) | (_count(t, MARKS) > MOST_MARKS * letters)
-        return (t == "") | ~(menu | low.rlike(NOTICE) | ragged)
+        ended = F.instr(F.lit(ENDINGS), F.substring(t, -1, 1)) > 0
+        return (t == "") | ~(~ended | menu | (_count(t, MARKS) > MOST_MARKS * letters) | let(F.lower(t), noticed))
     return let(trimmed(line), judged)
 
 
@@ -86,9 +92,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.select("*", F.array_join("good", "\n").alias("clean_text"),
                  (F.col("n_lines") - F.size("good")).alias("n_lines_removed"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = _count(F.col("clean_text"), SPACE_RUN)
+    lost = F.col("word_chars") - _count(F.col("clean_text"), SPACE_RUN)
     return d.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), "n_lines", F.col("n_lines_removed").cast("long").alias("n_lines_removed"),
-        (F.col("word_chars") - left).cast("long").alias("lost_chars"), "clean_text").withColumn(
+        F.when(F.col("n_lines_removed") == 0, 0).otherwise(lost).cast("long").alias("lost_chars"), "clean_text").withColumn(
         "kept", ~F.col("base_failed") & (F.col("lost_chars") <= most_lost * F.col("word_chars")))
