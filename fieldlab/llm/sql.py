@@ -1,3 +1,138 @@
-"""DuckDB statements that give the same rows as the registered queries."""
+"""DuckDB statements that give the same rows as the registered queries.
 
-STATEMENTS: dict[str, str] = {}
+Row numbers keep rows apart that share an id. Near duplicates, byte and sentence
+repeats, personal data (its patterns look around) and packing have no statement;
+tests hold them against plain versions.
+"""
+
+from __future__ import annotations
+
+from .common import LOWER, UPPER
+from .line_dedup import SHORTEST_KEY
+from .quality import ENDINGS, MARKS, MENU, MENU_CHARS, MENU_WORDS, MOST_LOST, MOST_MARKS, NOTICES, SEPARATED
+
+SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+TEXTS = "texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"
+LINES = """lines AS (SELECT r, doc_id, unnest(cut) AS line, generate_subscripts(cut, 1) AS pos
+                  FROM (SELECT r, doc_id, string_split(text, chr(10)) AS cut FROM texts))"""
+QUOTE = r"[\x22\x27]?"
+#: kind, pattern, group that must be so long, least length
+SECRETS = (("assign", rf"((?i:password|passwd|secret|token|api_?key)){QUOTE}\x20*[:=]\x20*{QUOTE}([A-Za-z0-9+/_.=-]+)", 2, 6),
+           ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _lower(value: str) -> str:
+    return f"translate({value}, '{UPPER}', '{LOWER}')"
+
+
+def _secrets() -> str:
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(SECRETS):
+        p = quoted(pattern)
+        parts.append(f"""
+          SELECT r, '{kind}' AS kind, {rank} AS rank, s, s + length(m) AS e FROM (
+            SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS s FROM (
+              SELECT r, unnest(found) AS m, unnest(held) AS v, unnest(gaps[:len(found)]) AS gap,
+                     generate_subscripts(found, 1) AS i
+              FROM (SELECT r, regexp_extract_all(text, {p}) AS found, regexp_extract_all(text, {p}, {group}) AS held,
+                           regexp_split_to_array(text, {p}) AS gaps FROM texts)))
+          WHERE length(v) >= {least}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in SECRETS)
+    return f"""
+        WITH {TEXTS}, spans AS ({" UNION ALL ".join(parts)}),
+        joined AS (SELECT r, {counts}, string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, rank) AS spans
+                   FROM spans GROUP BY r)
+        SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in SECRETS)},
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM texts LEFT JOIN joined USING (r)"""
+
+
+def _warc() -> str:
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {b}) & 31)::INT + 1, 1)" for b in (15, 10, 5, 0))
+    groups = ", ".join(f"('0x' || substr(h, {1 + 5 * g}, 5))::INT" for g in range(8))
+    return f"""
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        digests AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h FROM payloads),
+        firsts AS (SELECT html, min(page_id) AS first FROM payloads GROUP BY html)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+               array_to_string(list_transform([{groups}], lambda v: {letters}), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM digests JOIN firsts USING (html)"""
+
+
+def _line_dedup() -> str:
+    return f"""
+        WITH {TEXTS}, {LINES},
+        keyed AS (SELECT *, {_lower(f"trim(line, {BLANKS})")} AS key FROM lines),
+        firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= {SHORTEST_KEY} GROUP BY key),
+        judged AS (SELECT r, doc_id, line, pos, coalesce(doc_id > first, false) AS gone FROM keyed LEFT JOIN firsts USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY r, doc_id"""
+
+
+def _quality() -> str:
+    size = f"length(regexp_replace(line, '{SPACE}', '', 'g'))"
+    notices = " OR ".join(f"contains(lower(t), {quoted(x)})" for x in NOTICES)
+    return f"""
+        WITH {TEXTS}, {LINES},
+        trimmed AS (SELECT *, trim(line, {BLANKS}) AS t, {size} AS chars FROM lines),
+        judged AS (SELECT *, t = '' OR NOT (
+              NOT contains({quoted(ENDINGS)}, right(t, 1))
+              OR (length(t) <= {MENU_CHARS} AND len(regexp_split_to_array(t, '{SPACE}')) <= {MENU_WORDS}
+                  AND (regexp_matches(lower(t), {quoted(MENU)}) OR regexp_matches(t, {quoted(SEPARATED)})))
+              OR length(regexp_replace(t, {quoted(MARKS)}, '', 'g')) > {MOST_MARKS} * chars OR {notices}) AS good
+            FROM trimmed),
+        lined AS (SELECT r, doc_id, sum(chars)::BIGINT AS word_chars, count(*) AS n_lines,
+                         count(*) FILTER (t <> '') - count(DISTINCT line) FILTER (t <> '') AS n_dup_lines,
+                         count(*) FILTER (NOT good) AS n_lines_removed,
+                         coalesce(sum(chars) FILTER (NOT good), 0)::BIGINT AS lost_chars,
+                         sum(length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols
+                  FROM judged GROUP BY r, doc_id),
+        words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+                  FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM texts)),
+        grams AS (SELECT *, lead(word) OVER o AS second, lead(word, 2) OVER o AS third
+                  FROM words WINDOW o AS (PARTITION BY r ORDER BY pos)),
+        counted AS (SELECT r, pos, third IS NOT NULL AND count(*) OVER (PARTITION BY r, word, second, third) > 1 AS twice FROM grams),
+        covered AS (SELECT r, twice OR coalesce(lag(twice) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS hit
+                    FROM counted WINDOW o AS (PARTITION BY r ORDER BY pos)),
+        worded AS (SELECT r, count(*) AS n_words, count(*) FILTER (hit) AS n_repeat_words FROM covered GROUP BY r),
+        counts AS (SELECT lined.*, coalesce(n_words, 0) AS n_words, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                          coalesce(n_words, 0) < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+                   FROM lined LEFT JOIN worded USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_lines_removed,
+               lost_chars, NOT base_failed AND lost_chars <= {MOST_LOST} * word_chars AS kept
+        FROM counts"""
+
+
+def _decontamination(window: int = 13) -> str:
+    def words(of: str) -> str:
+        return f"regexp_extract_all({_lower('coalesce(text, chr(32))')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {of}"
+    return f"""
+        WITH {TEXTS},
+        items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words("benchmark")}),
+        patterns AS (SELECT DISTINCT item, least(len(w), {window}) AS size, array_to_string(w[a:a + {window - 1}], ' ') AS p
+                     FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {window - 1}, 1) + 1)) AS a FROM items WHERE len(w) > 0)),
+        words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT r, {words("texts")})),
+        ahead AS (SELECT r, pos, list(word) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS w
+                  FROM words),
+        found AS (SELECT r, pos, ahead_size AS size, item FROM (
+                    SELECT r, pos, sizes.size AS ahead_size, array_to_string(w[1:sizes.size], ' ') AS p
+                    FROM ahead JOIN (SELECT DISTINCT size FROM patterns) sizes ON len(w) >= sizes.size) x
+                  JOIN patterns ON patterns.p = x.p AND patterns.size = x.ahead_size),
+        hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY r),
+        named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS named FROM found GROUP BY r),
+        totals AS (SELECT r, count(*) AS n_words FROM words GROUP BY r)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= n_words, false) AS contaminated
+        FROM texts LEFT JOIN totals USING (r) LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+
+STATEMENTS = {"op5_secret_scan": _secrets(), "op6_warc": _warc(), "op8_line_dedup": _line_dedup(),
+              "op9_quality_rules": _quality(), "op10_decontamination": _decontamination()}
