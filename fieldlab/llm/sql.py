@@ -112,25 +112,33 @@ def _quality() -> str:
 
 
 def _decontamination(window: int = 13) -> str:
-    def words(of: str) -> str:
-        return f"regexp_extract_all({_lower('coalesce(text, chr(32))')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {of}"
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    lowered = _lower("coalesce(text, '')")
     return f"""
         WITH {TEXTS},
-        items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words("benchmark")}),
+        items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({lowered}, {word}) AS w FROM benchmark),
         patterns AS (SELECT DISTINCT item, least(len(w), {window}) AS size, array_to_string(w[a:a + {window - 1}], ' ') AS p
                      FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {window - 1}, 1) + 1)) AS a FROM items WHERE len(w) > 0)),
-        words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT r, {words("texts")})),
-        ahead AS (SELECT r, pos, list(word) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS w
-                  FROM words),
-        found AS (SELECT r, pos, ahead_size AS size, item FROM (
-                    SELECT r, pos, sizes.size AS ahead_size, array_to_string(w[1:sizes.size], ' ') AS p
-                    FROM ahead JOIN (SELECT DISTINCT size FROM patterns) sizes ON len(w) >= sizes.size) x
-                  JOIN patterns ON patterns.p = x.p AND patterns.size = x.ahead_size),
-        hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY r),
+        sizes AS (SELECT DISTINCT size FROM patterns),
+        words AS (SELECT r, unnest(w) AS word, unnest(gaps[:len(w)]) AS gap, generate_subscripts(w, 1) AS pos
+                  FROM (SELECT r, regexp_extract_all({lowered}, {word}) AS w, regexp_split_to_array({lowered}, {word}) AS gaps
+                        FROM texts)),
+        placed AS (SELECT r, pos, length(word) AS chars, sum(length(gap) + length(word)) OVER o AS ending,
+                          list(word) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS w
+                   FROM words WINDOW o AS (PARTITION BY r ORDER BY pos)),
+        ahead AS (SELECT r, pos, sizes.size, array_to_string(w[1:sizes.size], ' ') AS p
+                  FROM placed JOIN sizes ON len(w) >= sizes.size),
+        found AS (SELECT r, pos, size, item FROM ahead JOIN patterns USING (size, p)),
+        struck AS (SELECT DISTINCT r, unnest(range(pos, pos + size)) AS pos FROM found),
+        islands AS (SELECT r, pos, pos - row_number() OVER (PARTITION BY r ORDER BY pos) AS island FROM struck),
+        runs AS (SELECT r, count(*) AS n, min(ending - chars)::BIGINT AS s, max(ending)::BIGINT AS e
+                 FROM islands JOIN placed USING (r, pos) GROUP BY r, island),
+        hits AS (SELECT r, sum(n)::BIGINT AS n_hit, string_agg(concat_ws(':', s, e), ',' ORDER BY s) AS spans FROM runs GROUP BY r),
         named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS named FROM found GROUP BY r),
         totals AS (SELECT r, count(*) AS n_words FROM words GROUP BY r)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= n_words, false) AS contaminated
+               sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= n_words, false) AS contaminated,
+               coalesce(spans, '') AS spans
         FROM texts LEFT JOIN totals USING (r) LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
 
 
