@@ -5,8 +5,9 @@ histogram of piece lengths (at most ``capacity`` counts, so bounded) goes to the
 driver, which solves the covering program over configurations (multisets of
 lengths that fit) by multiplicative weights: a knapsack table prices all
 configurations, near-optimal ones get a step, covered lengths lose weight. The
-solution is rounded down and the rest is packed best-fit on the histogram. Tasks
-then place each piece by its rank among pieces of its length.
+solution is rounded to whole configurations and pieces left over are packed
+best-fit on the histogram. Tasks then place each piece by its rank among pieces
+of its length.
 
 Nulls and empty texts are one piece with the end mark. Every input row is a
 document of its own; a null id stays null. Other columns are not read.
@@ -31,8 +32,9 @@ from .common import store
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 10
-STEP = 0.25
+ROUNDS = 120
+STEP = 0.5
+SLACK = 0.3
 CACHED_WORDS = 700_000
 
 
@@ -112,59 +114,59 @@ def _pieces(path: str, ranks: str, capacity: int, end_id: int):
     return run
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """best[c]: largest price of lengths with sum c at most; prices[v] for length v."""
-    best = np.zeros(capacity + 1)
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """Best price of each room, the length to take first there (the longest among ties), and the room that is put to use."""
+    best, take, used = np.zeros(capacity + 1), [0] * (capacity + 1), [0] * (capacity + 1)
+    down, worth = lengths[::-1], prices[::-1]
+    starts = len(down) - np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        best[c] = max(best[c - 1], (best[c - 1::-1] + prices[1:c + 1]).max())
-    return best
+        best[c], used[c] = best[c - 1], used[c - 1]
+        start = starts[c]
+        if start < len(down):
+            values = best[c - down[start:]] + worth[start:]
+            i = int(values.argmax())
+            if values[i] > best[c]:
+                best[c], take[c], used[c] = values[i], int(down[start + i]), c
+    return best, take, used
 
 
-def _fill(room: int, best: np.ndarray, prices: np.ndarray) -> list[int]:
+def _fill(room: int, take: list[int], used: list[int]) -> list[int]:
     """Lengths of an optimal configuration in ``room``."""
-    items = []
-    while room > 0:
-        value = best[room]
-        while room > 0 and best[room - 1] == value:
-            room -= 1
-        if room == 0:
-            break
-        v = int(np.argmax(best[room - 1::-1] + prices[1:room + 1])) + 1
-        items.append(v)
-        room -= v
+    items, room = [], used[room]
+    while room:
+        items.append(take[room])
+        room = used[room - take[room]]
     return items
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> dict[tuple, float]:
-    """Fractional cover of the histogram by multiplicative weights: configuration -> times used."""
-    wanted = np.flatnonzero(counts)
+def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP,
+                   slack: float = SLACK) -> dict[tuple, float]:
+    """Fractional cover of the histogram by multiplicative weights: configuration -> times used.
+
+    A length's weight starts as its tokens and shrinks by exp(-share covered). Each
+    round one knapsack table gives the best configuration through every length;
+    those within ``slack`` of the best of all get a step.
+    """
     used: dict[tuple, float] = {}
-    covered = np.zeros(capacity + 1)
-    demand = counts.astype(float)
+    covered, demand = np.zeros(capacity + 1), counts.astype(float)
+    wanted = np.flatnonzero(counts)
     for _ in range(rounds):
-        share = np.zeros(capacity + 1)
-        share[wanted] = covered[wanted] / demand[wanted]
-        open_ = wanted[share[wanted] < 1]
+        share = covered[wanted] / demand[wanted]
+        open_, share = wanted[share < 1 - 1e-9], share[share < 1 - 1e-9]
         if not len(open_):
             break
-        prices = np.zeros(capacity + 1)
-        # Longer lengths fill more of a sequence: start from their size and shrink by coverage.
-        prices[open_] = open_ * np.exp(-share[open_])
-        best = knapsack(prices, capacity)
-        for v in open_[::-1]:
-            if covered[v] >= demand[v]:
-                continue
-            config = Counter([int(v)] + _fill(capacity - int(v), best, prices))
-            lengths = np.fromiter(config, int)
-            times = np.fromiter(config.values(), float)
-            room = demand[lengths] - covered[lengths]
-            most = max(1.0, step * demand[v])
-            amount = min(most, float((room / times).min()))
-            if amount < 1:
+        prices = open_ * np.exp(-share)
+        best, take, full = knapsack(open_, prices, capacity)
+        near = prices + best[capacity - open_] >= (1 - slack) * best[capacity]
+        for v in map(int, open_[near][::-1]):
+            config = Counter([v] + _fill(capacity - v, take, full))
+            amount = min(step * demand[v], *((demand[u] - covered[u]) / n for u, n in config.items()))
+            if amount <= 1e-9 * demand[v]:
                 continue
             key = tuple(sorted(config.items(), reverse=True))
             used[key] = used.get(key, 0.0) + amount
-            covered[lengths] += amount * times
+            for u, n in config.items():
+                covered[u] += amount * n
     return used
 
 
@@ -193,17 +195,22 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
 
 
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """Whole configurations covering the histogram exactly: rounded program, then best fit for the rest."""
-    left = counts.astype(np.int64).copy()
-    plan = []
-    for config, amount in configurations(counts, capacity).items():
-        times = min([int(amount + 1e-9)] + [int(left[v] // a) for v, a in config])
-        if times > 0:
-            plan.append((config, times))
-            for v, a in config:
-                left[v] -= a * times
-    rounded, plain = plan + best_fit(left, capacity), best_fit(counts, capacity)
-    return min(rounded, plain, key=lambda p: sum(t for _, t in p))
+    """Whole configurations covering the histogram exactly.
+
+    The program is rounded down; then configurations are taken once more by
+    falling fraction while their pieces last; best fit packs the rest.
+    """
+    left, plan = counts.astype(np.int64).copy(), Counter()
+    cover = configurations(counts, capacity)
+    by_fraction = sorted(cover, key=lambda c: (-(cover[c] % 1), c))
+    for order, wish in ((cover, lambda c: int(cover[c] + 1e-9)), (by_fraction, lambda c: 1)):
+        for config in order:
+            times = min([wish(config)] + [int(left[v] // n) for v, n in config])
+            if times > 0:
+                plan[config] += times
+                for v, n in config:
+                    left[v] -= n * times
+    return list(plan.items()) + best_fit(left, capacity)
 
 
 def slots(plan: list[tuple[tuple, int]], capacity: int) -> dict[int, np.ndarray]:
