@@ -70,7 +70,8 @@ def kmers(words: np.ndarray, k: int) -> np.ndarray:
         first[same] = False
         starts = np.flatnonzero(first)
         nth = np.arange(n) - starts[np.cumsum(first) - 1]
-        h[order] = _mix(in_order + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        labelled = _mix(in_order[same] + nth[same].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        h[order[same]] = labelled  # first occurrences keep their hash, so texts without repeats have the same one
     return h
 
 
