@@ -136,3 +136,59 @@ def distance(a, b):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
     return row[-1]
+
+
+def word_lists(text):
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def near_pairs(rows, similarity=0.8, k=5):
+    """Pairs of rows with that word edit similarity -> whether they also share so much of their k-word shingles."""
+    words = [word_lists(t) for _, t in rows]
+    bags = [Counter(w) for w in words]
+    shingles = [{tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} for w in words]
+    out = {}
+    for b in range(len(rows)):
+        for a in range(b):
+            longest = max(len(words[a]), len(words[b]))
+            most = int((1 - similarity) * longest + 1e-9)
+            if longest - sum((bags[a] & bags[b]).values()) <= most and (
+                    words[a] == words[b] or distance(words[a], words[b]) <= most):
+                out[a, b] = len(shingles[a] & shingles[b]) >= similarity * len(shingles[a] | shingles[b])
+    return out
+
+
+def classes(rows, pairs):
+    """Smallest id of each row's connected component; rows sharing an id are one document."""
+    least = {d: d for d, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            x, y = rows[a][0], rows[b][0]
+            m = min(least[x], least[y])
+            changed |= least[x] != m or least[y] != m
+            least[x] = least[y] = m
+    return least
+
+
+def sentences_removed(rows, sentences=3, least_words=20):
+    """rows (doc_id, text) -> per row (n_sentences, n_removed, kept text)."""
+    cut, first = [], {}
+    for d, t in rows:
+        pieces = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t or "")
+        words = [re.findall(r"[^\W_]+", p.lower()) for p in pieces]
+        runs = []
+        for i in range(len(pieces)):
+            for j in range(i + sentences, len(pieces) + 1):
+                if sum(map(len, words[i:j])) >= least_words:
+                    key = tuple(w for s in words[i:j] for w in s)
+                    runs.append((i, j, key))
+                    first[key] = min(first.get(key, (d, i)), (d, i))
+                    break
+        cut.append((d, pieces, runs))
+    out = []
+    for d, pieces, runs in cut:
+        gone = {n for i, j, key in runs if first[key] < (d, i) for n in range(i, j)}
+        out.append((len(pieces), len(gone), "".join(p for n, p in enumerate(pieces) if n not in gone)))
+    return out

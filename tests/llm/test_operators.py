@@ -129,6 +129,12 @@ def test_sentences(spark):
     assert got[2].n_removed == 6 and got[2].kept_text == " Another end." and got[2].n_spans == 1
 
 
+def test_sentences_against_plain_version(docs, rows):
+    got = table(dedup_sentences(docs), "doc_id", "n_sentences", "n_removed", "kept_text")
+    want = B.sentences_removed([(as_id(d), t) for d, t in rows])
+    assert got == sorted(((d, *w) for (d, _), w in zip(rows, want)), key=repr)
+
+
 def test_banded_distance():
     import numpy as np
     pick = random.Random(3)
@@ -154,6 +160,30 @@ def test_near_classes(spark):
     assert got == {0: (0, True), 1: (1, True), 2: (0, False), 3: (3, True), 4: (1, False), 5: (5, True), 6: (5, False), 7: (7, True)}
 
 
+def test_near_classes_against_all_pairs(spark):
+    """Classes lie within those of all pairs by edit distance, and hold all pairs that also share their shingles."""
+    import duckdb
+    if not os.path.isdir(FOLDER):
+        pytest.skip("test tables not present")
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet'").fetchall()
+    pick = random.Random(11)
+    for n in range(12):  # chains of edited copies, each further from the first
+        words = B.word_lists(rows[7 * n][1])[:400] + [f"tail{n}x{i}" for i in range(40)]
+        for step in range(4):
+            rows.append((50000 + 10 * n + step, " ".join(words)))
+            for _ in range(max(1, len(words) // 60)):
+                words[pick.randrange(len(words))] = f"new{pick.randrange(10 ** 6)}"
+    rows += [(60000, None), (60001, ""), (60002, "..."), (rows[0][0], rows[0][1]), (LAST, rows[3][1])]
+    df = spark.createDataFrame([(None if d == LAST else d, t) for d, t in rows], "doc_id long, text string")
+    got = {as_id(r.doc_id): as_id(r.group_id) for r in near_dedup.near_classes(df).collect()}
+    pairs = B.near_pairs(rows)
+    wide, sure = B.classes(rows, pairs), B.classes(rows, [p for p, both in pairs.items() if both])
+    assert len(set(sure.values())) < len(sure) - 20
+    for d, group in got.items():
+        assert wide[group] == wide[d]
+        assert got[sure[d]] == group
+
+
 def test_warc_round_trip(spark):
     import base64
     import hashlib
@@ -176,6 +206,42 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=repr) and found.where("not intact").isEmpty()
 
 
+def test_configuration_program():
+    from collections import Counter
+
+    import numpy as np
+    pick = np.random.default_rng(4)
+    for capacity, n in ((30, 40), (100, 1000), (2048, 3000)):
+        counts = np.bincount(pick.integers(1, capacity + 1, n) // pick.integers(1, 6, n) + 1, minlength=capacity + 1)[:capacity + 1]
+        counts[0] = 0
+        lengths = np.flatnonzero(counts)
+        prices = lengths * pick.random(len(lengths))
+        best, take, used = packing.knapsack(lengths, prices, capacity)
+        if capacity == 30:
+            plain = [0.0]
+            for c in range(1, capacity + 1):
+                plain.append(max([plain[c - 1]] + [plain[c - v] + p for v, p in zip(lengths, prices) if v <= c]))
+            assert np.allclose(best, plain)
+        worth = dict(zip(lengths.tolist(), prices))
+        for room in range(capacity + 1):
+            items = packing._fill(room, take, used)
+            assert sum(items) <= room and np.isclose(sum(worth[v] for v in items), best[room])
+        cover = packing.configurations(counts, capacity)
+        covered = np.zeros(capacity + 1)
+        for config, times in cover.items():
+            assert sum(v * a for v, a in config) <= capacity
+            for v, a in config:
+                covered[v] += a * times
+        assert (covered <= counts + 1e-6).all() and covered @ np.arange(capacity + 1) > 0.8 * counts @ np.arange(capacity + 1)
+        plan, placed = packing.solve(counts, capacity), Counter()
+        for config, times in plan:
+            assert sum(v * a for v, a in config) <= capacity
+            for v, a in config:
+                placed[v] += a * times
+        assert dict(placed) == {int(v): int(counts[v]) for v in lengths}
+        assert sum(t for _, t in plan) <= 1.05 * (counts @ np.arange(capacity + 1)) / capacity + 3
+
+
 def test_packing(spark, docs, rows):
     import zlib
     from collections import defaultdict

@@ -24,7 +24,11 @@ def test_stages(spark):
     assert {r.doc_id: B.sha(r.text) for r in lines.collect()} == want and lines.schema == docs.schema
     apart = P.store(stages["near dedup"](spark, lines, FOLDER), "c")
     left = [r.doc_id for r in apart.collect()]
+    texts = [(r.doc_id, r.text) for r in lines.collect()]
+    pairs = B.near_pairs(texts)
+    wide, sure = B.classes(texts, pairs), B.classes(texts, [p for p, both in pairs.items() if both])
     assert len(left) == len(set(left)) and set(left) <= set(want)
+    assert {d for d in want if wide[d] == d} <= set(left) <= {d for d in want if sure[d] == d}
     clean = P.store(stages["decontamination"](spark, apart, FOLDER), "d")
     items = [(r.item_id, r.text) for r in P.table(spark, FOLDER, "benchmark").collect()]
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in apart.collect() if not B.contamination(r.text, items)[-1]}
