@@ -176,15 +176,3 @@ def tukey_sf(q, k, df):
             total += 0.5 * (b - a) * float(np.sum(_WEIGHTS * np.exp(log_pdf) * _range_cdf(q[i] * s, k[i])))
         out[i] = min(1.0, max(0.0, 1.0 - total))
     return out
-
-
-def tukey_quantile(p, k, df):
-    """Studentised range value with upper tail 1 - p, for scalars."""
-    lo, hi = 0.0, 200.0
-    for _ in range(60):
-        mid = 0.5 * (lo + hi)
-        if tukey_sf(mid, k, df)[0] > 1.0 - p:
-            lo = mid
-        else:
-            hi = mid
-    return 0.5 * (lo + hi)
