@@ -10,12 +10,14 @@ similarity, 1 - distance / longer length, is ``similarity`` or more; the distanc
 comes from an alignment inside the band that this bound leaves.
 
 Copies (equal words) collapse into their smallest id before anything else. In a
-bucket each text is aligned with the bucket's head, its smallest id, not with
-every other; texts unlike the head get a second head among themselves. Texts
-that share 0.8 of their k-mers meet in 9 buckets on average. They stay apart only
-if in all of these both heads are unlike one of them, and a head unlike a text
-(sharing half of its k-mers, say) is in one of its buckets with probability 0.03,
-so this adds less than the sketches miss. Classes are the connected components.
+bucket each text is aligned with the bucket's head, its smallest id, and texts
+unlike the head with a second head, the smallest id among themselves. Rounds then
+go on over the buckets whose rest is of more than one class: each takes twice as
+many heads as the one before and aligns the rest with all of them. A text leaves
+its bucket when it is like a head or in the head's class, so at the end every text
+of every bucket was a head itself or has joined one. Two texts of a bucket that
+joined different heads are not aligned with each other there. Classes are the
+connected components.
 
 A null text counts as empty; texts without words are copies of each other. Rows
 sharing an id are one document, and of several texts under one id the first in
@@ -230,6 +232,31 @@ def components(edges: DataFrame) -> DataFrame:
         at, before = after, mark
 
 
+def _more_heads(left: DataFrame, tried: DataFrame, verified, similarity: float) -> DataFrame | None:
+    """Links of bucket members (key, d, n, c: class so far) with more and more heads, until no bucket has two classes left."""
+    links, wanted = None, 2
+    while True:
+        sizes = store(left.groupBy("key").agg(F.count("*").alias("m"), F.min("d").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+                      .where("c0 < c1").select("key", "m", "least"), "open")
+        if sizes.isEmpty():
+            return links
+        # The smallest id is a head, others by chance: no bucket is sorted, and the rest shrinks in every round.
+        chance = F.pmod(F.xxhash64("key", "d"), F.lit(1 << 20)) * F.col("m") < wanted * (1 << 20)
+        members = store(left.join(few(sizes), "key").withColumn("is_head", chance | (F.col("d") == F.col("least"))), "members")
+        heads = members.where("is_head").groupBy("key").agg(F.collect_list(F.struct("d", "n", "c")).alias("heads"))
+        met = (members.join(store(heads, "heads"), "key").withColumn("head", F.explode("heads")).where(F.col("d") != F.col("head.d"))
+               .select("key", "d", "is_head", F.greatest("d", "head.d").alias("a"), F.least("d", "head.d").alias("b"),
+                       (F.col("c") == F.col("head.c")).alias("same"),
+                       (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-9).alias("fits")))
+        met = store(met.where("same or fits"), "met")
+        fresh = store(met.where("fits and not same").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = verified(fresh)
+        tried, links = tried.union(fresh), found if links is None else links.union(found)
+        joined = met.where("same").select("key", "d").union(met.join(few(links), ["a", "b"], "left_semi").select("key", "d"))
+        left = store(members.where("not is_head").join(joined.distinct(), ["key", "d"], "left_anti").select("key", "d", "n", "c"), "left")
+        wanted *= 2
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = KMER,
                  similarity: float = SIMILARITY, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
     """One row per input row: id, group_id (smallest id of its class) and kept (it is that id)."""
@@ -266,10 +293,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = left.join(few(links.select(F.col("a").alias("d"), F.col("b").alias("h"))), ["d", "h"], "left_anti").select("key", "d", "n")
     left = store(left, "left")
     heads = left.groupBy("key").agg(least.alias("head"), F.max("d").alias("last")).where("head.d < last").select("key", "head")
-    more = paired(left.join(heads, "key").where(F.col("d") != F.col("head.d")))
-    links = links.union(verified(more.join(pairs, ["a", "b"], "left_anti")))
-    edges = links.toDF("u", "v").union(copies.select(F.col("d").alias("u"), F.col("first").alias("v")))
-    classes = components(edges).select(F.col("u").alias("d"), F.col("v").alias("group"))
-    out = d.select("id", "d").join(few(store(classes, "classes")), "d", "left").withColumn("group", F.coalesce("group", "d"))
+    seconds = store(left.join(heads, "key").where(F.col("d") != F.col("head.d")), "seconds")
+    more = store(paired(seconds).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    tried, links = pairs.union(more), links.union(verified(more))
+
+    def linked(found: DataFrame) -> DataFrame:
+        edges = found.toDF("u", "v").union(copies.select(F.col("d").alias("u"), F.col("first").alias("v")))
+        return store(components(edges).select(F.col("u").alias("d"), F.col("v").alias("group")), "classes")
+    classes = linked(links)
+    # Members unlike both heads, each with its class so far.
+    far = seconds.select("key", "d", "n", F.col("head.d").alias("h"))
+    far = store(far.join(few(links.select(F.col("a").alias("d"), F.col("b").alias("h"))), ["d", "h"], "left_anti").select("key", "d", "n"), "left")
+    far = far.join(few(classes), "d", "left").select("key", "d", "n", F.coalesce("group", "d").alias("c"))
+    later = _more_heads(store(far, "left"), tried, verified, similarity)
+    if later is not None:
+        classes = linked(links.union(later))
+    out = d.select("id", "d").join(few(classes), "d", "left").withColumn("group", F.coalesce("group", "d"))
     return out.select(F.col("id").alias(id_col), F.when(F.col("group") != LAST_ID, F.col("group")).alias("group_id"),
                       (F.col("group") == F.col("d")).alias("kept"))

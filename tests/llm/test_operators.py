@@ -160,6 +160,32 @@ def test_near_classes(spark):
     assert got == {0: (0, True), 1: (1, True), 2: (0, False), 3: (3, True), 4: (1, False), 5: (5, True), 6: (5, False), 7: (7, True)}
 
 
+def test_near_classes_many_classes_in_one_bucket(spark):
+    """Unlike texts with a common block share the only bucket; each has a near copy there."""
+    block = [f"block{i}" for i in range(140)]
+    texts = {}
+    for n in range(12):
+        own = [f"own{n}x{i}" for i in range(60)]
+        texts[n], texts[100 + n] = " ".join(block + own), " ".join(block + own[:-1] + ["changed"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in near_dedup.near_classes(df, sketches=1, picks=1).collect()}
+    keys = {d: near_dedup.order_minhash(near_dedup.kmers(_hashed(spark, t), 5), near_dedup._mix(_first_seed()), 1)[0] for d, t in texts.items()}
+    common = [n for n in range(12) if list(keys.values()).count(keys[n]) > 4]
+    assert len(common) > 3 and all(keys[n] == keys[100 + n] for n in common)
+    assert all(got[n] == got[100 + n] == n for n in common)
+
+
+def _first_seed():
+    import numpy as np
+    return np.arange(1, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(spark, text):
+    import numpy as np
+    row = spark.createDataFrame([(text,)], "t string").select(F.transform(F.split("t", " "), lambda x: F.xxhash64(x))).first()
+    return np.array(row[0], np.int64).view(np.uint64)
+
+
 def test_near_classes_against_all_pairs(spark):
     """Classes lie within those of all pairs by edit distance, and hold all pairs that also share their shingles."""
     import duckdb
