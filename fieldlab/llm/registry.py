@@ -13,7 +13,7 @@ from .near_dedup import near_classes
 from .packing import pack_documents
 from .phrase_dedup import dedup_bytes
 from .quality import quality_rules
-from .substring_dedup import dedup_sentences
+from .substring_dedup import PASSAGE_WORDS, dedup_sentences
 from .warc import read_archives, write_archives
 
 
@@ -30,7 +30,7 @@ def op3_suffix_dedup(spark, folder):
 
 
 def op4_substring_dedup(spark, folder):
-    found = dedup_sentences(table(spark, folder, "documents"))
+    found = dedup_sentences(table(spark, folder, "documents"), passage_words=PASSAGE_WORDS)
     return found.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -2,8 +2,15 @@
 
 A sentence ends at a run of . ! ? or line breaks. From each sentence on, the
 shortest run of at least ``sentences`` consecutive sentences with at least
-``least_words`` words is hashed; equal runs are joined globally; in all but the
-first (smallest id, then place) every sentence of the run goes.
+``least_words`` words is hashed. So is, from each piece on and up to each piece,
+the shortest run of any number of pieces with at least ``passage_words`` words: a
+piece is a sentence, or a part of a sentence of more than that many words, cut
+where the hash of two neighbouring words says so. A repeated passage of so many
+words that starts and ends with pieces is thus covered from its first to its last.
+Equal runs are joined globally; in all but the first (smallest id, then place)
+every piece of the run goes. A sentence counts as removed if all its pieces went.
+Without ``passage_words`` only the runs of sentences count, which leave passages of
+fewer sentences and the ends of longer ones; op4_substring_dedup sets it.
 
 A null or empty text has no sentences. Rows sharing an id are one document; a
 null id counts as the largest. Every input row gives one row. Only the two named
@@ -14,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,31 +33,59 @@ from .common import ordered_id, store
 
 SENTENCES = 3
 LEAST_WORDS = 20
+PASSAGE_WORDS = 50
+CUT_ONE_IN = 16
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def sentence_runs(text: str, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentence after the last, hash of the words) of each run."""
-    words = [_WORD.findall(s) for s in _SENTENCE.findall(text.lower())]
+def cut_pieces(text: str, passage_words: int = 0) -> list[tuple[int, str]]:
+    """(sentence number, piece); the pieces joined are the text."""
+    out = []
+    for n, sentence in enumerate(_SENTENCE.findall(text)):
+        words = list(_WORD.finditer(sentence)) if 0 < passage_words < len(sentence) else []
+        start = 0
+        if len(words) > passage_words:
+            for x, y, after in zip(words, words[1:], words[2:]):
+                if zlib.crc32(f"{x[0]} {y[0]}".lower().encode("utf-8", "surrogatepass")) % CUT_ONE_IN == 0:
+                    out.append((n, sentence[start:after.start()]))
+                    start = after.start()
+        out.append((n, sentence[start:]))
+    return out
+
+
+def sentence_runs(text: str, sentences: int = SENTENCES, least_words: int = LEAST_WORDS,
+                  passage_words: int = 0) -> list[tuple[int, int, bytes]]:
+    """(first piece, piece after the last, hash of the words) of each run."""
+    pieces = cut_pieces(text, passage_words)
+    words = [_WORD.findall(p.lower()) for _, p in pieces]
     keys = [" ".join(w) for w in words]
-    runs, j, n = [], 0, 0
-    for i in range(len(words)):
-        while j < len(words) and (j - i < sentences or n < least_words):
-            n += len(words[j])
+    starts = [i for i, (n, _) in enumerate(pieces) if not i or pieces[i - 1][0] != n] + [len(pieces)]
+    upto = [0]
+    for w in words:
+        upto.append(upto[-1] + len(w))
+    spans, j = set(), 0
+    for i in range(len(starts) - 1):
+        j = max(j, i + sentences)
+        while j < len(starts) and upto[starts[j]] - upto[starts[i]] < least_words:
             j += 1
-        if j - i < sentences or n < least_words:
+        if j >= len(starts):
             break
-        runs.append((i, j, hashlib.blake2b(" ".join(keys[i:j]).encode(), digest_size=16).digest()))
-        n -= len(words[i])
-    return runs
+        spans.add((starts[i], starts[j]))
+    for i in range(len(pieces) if passage_words else 0):
+        j = bisect_left(upto, upto[i] + passage_words)
+        if j < len(upto):
+            spans.add((i, j))
+        if upto[i + 1] >= passage_words:
+            spans.add((bisect_right(upto, upto[i + 1] - passage_words) - 1, i + 1))
+    return [(i, j, hashlib.blake2b(" ".join(keys[i:j]).encode(), digest_size=16).digest()) for i, j in sorted(spans)]
 
 
-def _runs(sentences: int, least_words: int):
+def _runs(sentences: int, least_words: int, passage_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(d, row, *r) for d, row, text in zip(*(batch.column(c).to_pylist() for c in ("d", "row", "text")))
-                    for r in sentence_runs(text, sentences, least_words)]
+                    for r in sentence_runs(text, sentences, least_words, passage_words)]
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
@@ -56,37 +93,41 @@ def _runs(sentences: int, least_words: int):
     return run
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            pieces = _SENTENCE.findall(text)
-            gone, end, runs = [], 0, 0
-            for s in sorted(spans or [], key=lambda x: (x["i"], x["j"])):
-                runs += s["i"] > end or not gone
-                gone.extend(range(max(end, s["i"]), s["j"]))
-                end = max(end, s["j"])
-            dead = set(gone)
-            out.append((len(pieces), len(dead), runs, "".join(p for n, p in enumerate(pieces) if n not in dead)))
-        columns = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id")] + [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()])],
-            names=["id", "n_sentences", "n_removed", "n_spans", "kept_text"])
+def _remove(passage_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                pieces = cut_pieces(text, passage_words)
+                gone, end, runs = [], 0, 0
+                for s in sorted(spans or [], key=lambda x: (x["i"], x["j"])):
+                    runs += s["i"] > end or not gone
+                    gone.extend(range(max(end, s["i"]), s["j"]))
+                    end = max(end, s["j"])
+                dead = set(gone)
+                n_sentences = pieces[-1][0] + 1 if pieces else 0
+                alive = {n for k, (n, _) in enumerate(pieces) if k not in dead}
+                out.append((n_sentences, n_sentences - len(alive), runs, "".join(p for k, (_, p) in enumerate(pieces) if k not in dead)))
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id")] + [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()])],
+                names=["id", "n_sentences", "n_removed", "n_spans", "kept_text"])
+    return run
 
 
 def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES,
-                    least_words: int = LEAST_WORDS) -> DataFrame:
+                    least_words: int = LEAST_WORDS, passage_words: int = 0) -> DataFrame:
     """One row per input row: id, n_sentences, n_removed, n_spans (separate removed stretches), kept_text."""
     d = docs.select(F.col(id_col).alias("id"), ordered_id(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("row", F.xxhash64("text"))
-    runs = d.select("d", "row", "text").mapInArrow(_runs(sentences, least_words), "d long, row long, i int, j int, h binary")
+    runs = d.select("d", "row", "text").mapInArrow(_runs(sentences, least_words, passage_words), "d long, row long, i int, j int, h binary")
     place = F.struct("d", "i")
-    repeated = (runs.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-                .where("n > 1").select("h", "first"))
+    repeated = (runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                .where("first < last").select("h", "first"))
     repeated = store(repeated, "repeated-runs")
     gone = (runs.join(repeated, "h").where(place > F.col("first"))
             .groupBy("d", "row").agg(F.collect_set(F.struct("i", "j")).alias("spans")))
     kind = dict(d.dtypes)["id"]
     return (d.join(gone, ["d", "row"], "left").select("id", "text", "spans")
-            .mapInArrow(_remove, f"id {kind}, n_sentences long, n_removed long, n_spans long, kept_text string")
+            .mapInArrow(_remove(passage_words), f"id {kind}, n_sentences long, n_removed long, n_spans long, kept_text string")
             .withColumnRenamed("id", id_col))

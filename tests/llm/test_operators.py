@@ -135,6 +135,24 @@ def test_sentences_against_plain_version(docs, rows):
     assert got == sorted(((d, *w) for (d, _), w in zip(rows, want)), key=repr)
 
 
+def test_long_sentences(spark):
+    """Passages of one and of two long sentences, one to their short last sentence, and one without any stop."""
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    one, two = say("one", 55) + ".", say("p", 30) + ". " + say("q", 30) + "."
+    tail = say("a", 30) + ". " + say("b", 30) + ". " + say("c", 30) + ". Short end."
+    endless = say("e", 300)
+    texts = [(1, f"First {say('x', 9)}. {one} Then {say('y', 9)}."), (2, f"Other {say('v', 9)}. {one} More {say('w', 9)}."),
+             (3, f"Third {say('r', 9)}. {two} Then {say('s', 9)}."), (4, f"Fourth {say('t', 9)}. {two} More {say('u', 9)}."),
+             (5, f"{tail} Fifth {say('k', 9)}."), (6, f"{tail} Sixth {say('l', 9)}."),
+             (7, say("m", 80) + " " + endless), (8, say("n", 80) + " " + endless)]
+    got = {r.doc_id: r for r in dedup_sentences(spark.createDataFrame(texts, "doc_id long, text string"), passage_words=50).collect()}
+    assert all(got[d].kept_text == t for d, t in texts if d % 2)
+    assert got[2].kept_text == f"Other {say('v', 9)}. More {say('w', 9)}." and got[2].n_removed == 1
+    assert got[4].kept_text == f"Fourth {say('t', 9)}. More {say('u', 9)}." and got[4].n_removed == 2
+    assert got[6].kept_text == f" Sixth {say('l', 9)}." and got[6].n_removed == 4
+    assert got[8].kept_text.startswith(say("n", 80)) and len(got[8].kept_text.split()) < 80 + 100
+
+
 def test_banded_distance():
     import numpy as np
     pick = random.Random(3)
