@@ -10,7 +10,7 @@ alike and stay together. Empty tables pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.llm.common import few, ordered_id, store, table
@@ -35,6 +35,10 @@ def _with_text(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
                           for c in docs.columns])
 
 
+def _version() -> Column:
+    return F.struct(ordered_id("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines."""
     return _with_text(docs, quality_rules(_apart(docs), id_col="row").where("kept"), "clean_text")
@@ -46,14 +50,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the smallest id stays."""
-    other = near_classes(docs).where(~F.col("kept")).select(ordered_id("doc_id").alias("_other")).distinct()
-    return docs.join(few(store(other, "near-duplicates")), ordered_id("doc_id") == F.col("_other"), "left_anti")
+    """Of each class the document with the smallest id stays; documents are told apart by id and text."""
+    other = near_classes(docs, version="_other").where(~F.col("kept")).select("_other").distinct()
+    return docs.join(few(store(other, "near-duplicates")), _version() == F.col("_other"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth of their words or more inside benchmark passages go."""
-    version = F.struct(ordered_id("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    version = _version()
     found = find_benchmark(docs.select(version.alias("version"), "text"), table(spark, sf_dir, "benchmark"), id_col="version")
     bad = store(found.where("contaminated").select(F.col("version").alias("_version")).distinct(), "contaminated")
     return docs.join(few(bad), version == F.col("_version"), "left_anti")

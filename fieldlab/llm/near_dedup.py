@@ -19,10 +19,10 @@ of every bucket was a head itself or has joined one. Two texts of a bucket that
 joined different heads are not aligned with each other there. Classes are the
 connected components.
 
-A null text counts as empty; texts without words are copies of each other. Rows
-sharing an id are one document, and of several texts under one id the first in
-order stands for it in alignments; a null id counts as the largest id. Every input
-row gives one row. Only the two named columns are read.
+A null text counts as empty; texts without words are copies of each other. A node
+of the graph is an id with the hash of the words, so different texts that share an
+id, or have none, are documents of their own; a null id counts as the largest id.
+Every input row gives one row. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -109,8 +109,8 @@ def _sketch(k: int, sketches: int, picks: int):
                 keys.append(order_minhash(h, seeds, picks).view(np.int64) if len(h) else np.zeros(0, np.int64))
             sizes = np.diff(ends)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("d"), batch.column("content"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["d", "content", "n", "keys"])
+                [batch.column("id"), batch.column("h"), batch.column("d"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "h", "d", "n", "keys"])
     return run
 
 
@@ -215,6 +215,15 @@ def _verify(similarity: float):
     return run
 
 
+def _node(d: Column, md5: Column) -> Column:
+    """24 bytes in the order of the id, then of the hash of the words."""
+    return F.unhex(F.concat(F.lpad(F.hex(d.bitwiseXOR(F.lit(-2 ** 63))), 16, "0"), md5))
+
+
+def _node_id(node: Column) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-2 ** 63))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Alternating large-star and small-star steps on edges (u > v): rows (u, smallest member)."""
     at, before = store(edges.select("u", "v").distinct(), "edges"), None
@@ -258,30 +267,32 @@ def _more_heads(left: DataFrame, tried: DataFrame, verified, similarity: float)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = KMER,
-                 similarity: float = SIMILARITY, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
-    """One row per input row: id, group_id (smallest id of its class) and kept (it is that id)."""
-    d = docs.select(F.col(id_col).alias("id"), ordered_id(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = d.select("d", text_words(F.col("text")).alias("w"))
-    named = named.select("d", "w", F.unhex(F.md5(F.array_join("w", " "))).alias("content"))
-    hashed = named.select("d", "content", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
-    table = store(hashed.mapInArrow(_sketch(k, sketches, picks), "d long, content binary, n long, keys array<long>"), "sketches")
-    several = store(table.groupBy("content").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+                 similarity: float = SIMILARITY, sketches: int = SKETCHES, picks: int = PICKS,
+                 version: str = "") -> DataFrame:
+    """One row per input row: id, group_id (smallest id of its class) and kept (it has that id and its words);
+    if ``version`` is named, also a struct of ordered id and text hash by which rows can be told apart."""
+    named = docs.select(F.col(id_col).alias("id"), ordered_id(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = named.select("id", F.xxhash64("text").alias("h"), "d", text_words(F.col("text")).alias("w"))
+    named = named.select("id", "h", _node(F.col("d"), F.md5(F.array_join("w", " "))).alias("d"), "w")
+    hashed = named.select("id", "h", "d", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
+    kind = dict(named.dtypes)["id"]
+    table = store(hashed.mapInArrow(_sketch(k, sketches, picks), f"id {kind}, h long, d binary, n long, keys array<long>"), "sketches")
+    contents = table.select("d", F.substring("d", 9, 16).alias("content"))
+    several = store(contents.groupBy("content").agg(F.min("d").alias("first"), F.max("d").alias("last"))
                     .where("first < last").select("content", "first"), "several")
-    copies = store(table.select("d", "content").join(few(several), "content").where("d > first").distinct(), "copies")
-    rows = (table.join(few(copies), ["d", "content"], "left_anti")
+    copies = store(contents.join(few(several), "content").where("d > first").select("d", "first").distinct(), "copies")
+    rows = (table.join(few(copies), "d", "left_anti")
             .select("d", "n", F.explode("keys").alias("key")))
     least = F.min(F.struct("d", "n"))
     heads = rows.groupBy("key").agg(least.alias("head"), F.max("d").alias("last")).where("head.d < last").select("key", "head")
     buckets = store(rows.join(heads, "key").where(F.col("d") != F.col("head.d")).select("key", "d", "n", "head").distinct(), "buckets")
     asked = buckets.select("d").union(buckets.select("head.d")).distinct()
-    asked = store(table.select("d", "content").join(few(store(asked, "bucketed")), "d")
-                  .groupBy("d").agg(F.min("content").alias("content")), "asked")
-    texts = store(named.join(few(asked), ["d", "content"]).select("d", F.array_join("w", " ").alias("t")), "texts")
+    texts = store(named.join(few(store(asked, "bucketed")), "d").select("d", F.array_join("w", " ").alias("t")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(texts.select(F.col("d").alias("a"), F.col("t").alias("x")), "a")
                 .join(texts.select(F.col("d").alias("b"), F.col("t").alias("y")), "b"))
-        return store(both.mapInArrow(_verify(similarity), "a long, b long").distinct(), "links")
+        return store(both.mapInArrow(_verify(similarity), "a binary, b binary").distinct(), "links")
 
     def paired(members: DataFrame) -> DataFrame:
         fits = F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-9
@@ -308,6 +319,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = _more_heads(store(far, "left"), tried, verified, similarity)
     if later is not None:
         classes = linked(links.union(later))
-    out = d.select("id", "d").join(few(classes), "d", "left").withColumn("group", F.coalesce("group", "d"))
-    return out.select(F.col("id").alias(id_col), F.when(F.col("group") != LAST_ID, F.col("group")).alias("group_id"),
-                      (F.col("group") == F.col("d")).alias("kept"))
+    out = table.select("id", "h", "d").join(few(classes), "d", "left").withColumn("group", F.coalesce("group", "d"))
+    out = out.withColumn("first", _node_id(F.col("group")))
+    told = [F.struct(ordered_id("id").alias("d"), "h").alias(version)] if version else []
+    return out.select(F.col("id").alias(id_col), F.when(F.col("first") != LAST_ID, F.col("first")).alias("group_id"),
+                      (F.col("group") == F.col("d")).alias("kept"), *told)

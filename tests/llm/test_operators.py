@@ -193,6 +193,24 @@ def test_near_classes_many_classes_in_one_bucket(spark):
     assert all(got[n] == got[100 + n] == n for n in common)
 
 
+def test_near_classes_keep_null_ids_apart(spark):
+    x, y, z, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyzu")
+    like_z = z.replace("z30 ", "other ")
+    rows = [(1, x), (2, y), (None, x), (None, y), (3, like_z), (None, z), (None, u), (-4, u + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_classes(df, version="v").join(df.select("text", F.xxhash64("text").alias("h")).distinct(), F.col("v.h") == F.col("h"))
+    got = {(r.doc_id, r.text): (r.group_id, r.kept) for r in found.collect()}
+    assert got == {(1, x): (1, True), (2, y): (2, True), (None, x): (1, False), (None, y): (2, False), (3, like_z): (3, True),
+                   (None, z): (3, False), (None, u): (-4, False), (-4, u + " more"): (-4, True)}
+
+
+def test_pipeline_keeps_unique_documents_without_id(spark):
+    import corpus_pipeline
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    df = spark.createDataFrame([(1, x), (None, x), (None, y)], "doc_id long, text string")
+    assert table(corpus_pipeline.near_duplicates(spark, df, ""), "doc_id", "text") == sorted([(1, x), (None, y)], key=repr)
+
+
 def _first_seed():
     import numpy as np
     return np.arange(1, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
