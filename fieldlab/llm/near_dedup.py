@@ -5,7 +5,10 @@ consecutive words (all words of a shorter text), labelled with their occurrence
 number. Each of ``sketches`` permutations picks the ``picks`` smallest labelled
 k-mers and keeps them in text order; texts that agree on one pick are
 candidates. With 28 sketches of 5 picks, a pair sharing 0.8 of its k-mers is
-missed with probability below 2e-5. A candidate is a link if the word edit
+missed with probability below 4e-5 if both texts have 40 k-mers or more. Picks
+are without replacement, so fewer k-mers would miss more; texts that may share 0.8
+with one of under 40 also have their smallest k-mers as keys, as many as make sure
+that such a pair shares one. A candidate is a link if the word edit
 similarity, 1 - distance / longer length, is ``similarity`` or more; the distance
 comes from an alignment inside the band that this bound leaves.
 
@@ -41,6 +44,7 @@ KMER = 5
 SIMILARITY = 0.8
 SKETCHES = 28
 PICKS = 5
+SHORT = 40
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 _WIDTH = 4_000_000  # hashes computed at once
 
@@ -96,7 +100,13 @@ def order_minhash(h: np.ndarray, seeds: np.ndarray, picks: int) -> np.ndarray:
     return out
 
 
-def _sketch(k: int, sketches: int, picks: int):
+def prefix_keys(h: np.ndarray, similarity: float) -> np.ndarray:
+    """Smallest k-mers of a short text: two sets that share ``similarity`` of their union share one of them for certain."""
+    least = np.sort(h)[:int((1 - similarity) * len(h) + 1e-9) + 1]
+    return _mix(least ^ np.uint64(0xA0761D6478BD642F))
+
+
+def _sketch(k: int, sketches: int, picks: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
@@ -106,7 +116,10 @@ def _sketch(k: int, sketches: int, picks: int):
             keys = []
             for a, b in zip(ends[:-1], ends[1:]):
                 h = kmers(flat[a:b], k)
-                keys.append(order_minhash(h, seeds, picks).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                key = order_minhash(h, seeds, picks) if len(h) else np.zeros(0, np.uint64)
+                if 0 < similarity * len(h) < SHORT:
+                    key = np.concatenate([key, prefix_keys(h, similarity)])
+                keys.append(key.view(np.int64))
             sizes = np.diff(ends)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("h"), batch.column("d"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
@@ -276,7 +289,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = named.select("id", "h", _node(F.col("d"), F.md5(F.array_join("w", " "))).alias("d"), "w")
     hashed = named.select("id", "h", "d", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
     kind = dict(named.dtypes)["id"]
-    table = store(hashed.mapInArrow(_sketch(k, sketches, picks), f"id {kind}, h long, d binary, n long, keys array<long>"), "sketches")
+    table = store(hashed.mapInArrow(_sketch(k, sketches, picks, similarity), f"id {kind}, h long, d binary, n long, keys array<long>"), "sketches")
     contents = table.select("d", F.substring("d", 9, 16).alias("content"))
     several = store(contents.groupBy("content").agg(F.min("d").alias("first"), F.max("d").alias("last"))
                     .where("first < last").select("content", "first"), "several")

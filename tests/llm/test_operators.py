@@ -211,6 +211,19 @@ def test_pipeline_keeps_unique_documents_without_id(spark):
     assert table(corpus_pipeline.near_duplicates(spark, df, ""), "doc_id", "text") == sorted([(1, x), (None, y)], key=repr)
 
 
+def test_near_classes_of_short_texts(spark):
+    """Texts with one word more at the end: k - 1 of k k-mers are shared."""
+    rows = []
+    for n in range(8, 48):
+        words = [f"t{n}x{i}" for i in range(n + 1)]
+        rows += [(n, " ".join(words[:-1])), (100 + n, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # Without sketches to speak of only the exact keys of short texts find them.
+    for sketches in (1, near_dedup.SKETCHES):
+        got = {r.doc_id: r.group_id for r in near_dedup.near_classes(df, sketches=sketches).collect()}
+        assert all(got[n] == got[100 + n] == n for n in range(8, 44))
+
+
 def _first_seed():
     import numpy as np
     return np.arange(1, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
