@@ -28,6 +28,17 @@ def test_tails_against_closed_forms_and_tables():
     assert math.isnan(tails.f_sf(np.nan, 1, 5))
 
 
+def test_studentised_range_at_any_size_and_far_out():
+    # No step at any size: the change from one degree of freedom to the next is that of the neighbours.
+    for q in (3.5, 6.0):
+        a, b, c, d = (tails.tukey_sf(q, 5, df)[0] for df in (24998, 24999, 25001, 25002))
+        assert abs(b - c) < 3 * max(abs(a - b), abs(c - d)) < 1e-4 * a
+        assert tails.tukey_sf(q, 5, 1e9)[0] == pytest.approx(tails.tukey_sf(q, 5, math.inf)[0], rel=1e-6)
+    # Two means: the range is sqrt 2 times |t|, also where the tail is far below the rounding of one.
+    for t, df in ((2.5, 1), (2.5, 7), (12.0, 40), (12.0, 24999), (12.0, 25001), (15.0, 1e6), (60.0, 12)):
+        assert tails.tukey_sf(math.sqrt(2) * t, 2, df)[0] == pytest.approx(float(tails.t_sf2(t, df)), rel=1e-7, abs=0)
+
+
 def test_normal_quantile_column(spark):
     p = [1e-12, 1e-6, 0.01, 0.2, 0.5, 0.9, 0.975, 1 - 1e-9]
     df = spark.createDataFrame([(v,) for v in p], "p double")
