@@ -1,85 +1,62 @@
 """Ordered operators that hold when one series has a third of all rows.
 
 A plain window sends a whole series to one task. That is right for the many
-series of ordinary length. Series counted to be longer than a bound are cut into
-slices along their order: the slices are counted, which is a small table; the
-running start of each slice is a window over that small table; and the rows are
-numbered inside their slice only. Rows shuffle once either way, and a NULL key
-counts as a series of its own.
+series of ordinary length. Rows of series counted to be longer than a bound are
+dealt by sampled range bounds over (key, order, salt), so any orderable columns
+will do, and rows crowded on one instant with one tie are still cut by the salt.
+A second level then scans the slices: their sizes and sums are a small table,
+its running totals are the slices' starts, and rows are numbered inside their
+slice only. A NULL key counts as a series of its own; NULLs come first in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import seconds, value_bin
 from ..session import settle
 from .joins import attach
 
-# A series of more rows than this is sliced; slices aim at an eighth of it, which
-# leaves room for readings that crowd together.
+# A series of more rows than this is sliced; slices aim at half of it, which
+# leaves room for what sampled bounds are off.
 ROWS_PER_TASK = 1_000_000
 
 
-def position(df: DataFrame, name: str) -> Column:
-    """An order column as a number."""
-    kind = df.schema[name].dataType
-    temporal = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
-    return seconds(name) if temporal else F.col(name).cast("double")
+def _sliced(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, rows_per_task: int) -> DataFrame:
+    """Rows with their ``slice``: ranges of the order for long series, -1 for all others.
 
-
-def _even(x: Column, low: Column, high: Column, rows: Column, rows_per_task: int) -> Column:
-    parts = F.ceil(8.0 * rows / rows_per_task)
-    return F.coalesce(F.when(high > low, F.floor((x - low) / ((high - low) / parts))).otherwise(0), F.lit(-1)).cast("long")
-
-
-def _cut(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame, by_value: bool,
-         rows_per_task: int) -> tuple[DataFrame, list[str]]:
-    """Slice columns for the rows of long series; 0 for all others."""
+    The ranges are written once, so both readers of a slice see the same rows;
+    rows that are equal in all order columns are told apart by the salt.
+    """
     rows = attach(df, hot, keys)
-    long = F.col("hot_n").isNotNull()
-    if not by_value:
-        at = _even(position(df, order[0]), F.col("hot_low"), F.col("hot_high"), F.col("hot_n"), rows_per_task)
-        return rows.withColumn("slice_0", F.when(long, at).otherwise(F.lit(0).cast("long"))), ["slice_0"]
-    at = F.coalesce(value_bin(order[0]), F.lit(-1 << 40)).cast("long")
-    rows = rows.withColumn("slice_0", F.when(long, at).otherwise(F.lit(0).cast("long")))
-    # Bins crowded by equal values are cut by the value and then along the tie column.
-    tie = position(df, order[1]) if len(order) > 1 else F.lit(0.0)
-    crowded = settle(rows.filter(long).groupBy(*keys, "slice_0").agg(
-        F.count(F.lit(1)).alias("bin_n"), F.min(tie).alias("bin_low"), F.max(tie).alias("bin_high"))
-        .filter(F.col("bin_n") > rows_per_task))
-    rows = attach(rows, crowded, [*keys, "slice_0"])
-    packed = F.col("bin_n").isNotNull()
-    along = _even(tie, F.col("bin_low"), F.col("bin_high"), F.col("bin_n"), rows_per_task)
-    return rows.withColumns({"slice_1": F.when(packed, F.col(order[0]).cast("double")).otherwise(0.0),
-                             "slice_2": F.when(packed, along).otherwise(F.lit(0).cast("long"))}), \
-        ["slice_0", "slice_1", "slice_2"]
+    parts = -(-2 * hot.agg(F.sum("hot_n")).first()[0] // rows_per_task)
+    long = rows.filter(F.col("hot_n").isNotNull()).withColumn("salt", F.monotonically_increasing_id())
+    dealt = long.repartitionByRange(parts, *keys, *order, "salt").withColumn("slice", F.spark_partition_id())
+    dealt = settle(dealt.select(*df.columns, "slice"))
+    return rows.filter(F.col("hot_n").isNull()).select(*df.columns, F.lit(-1).alias("slice")).unionByName(dealt)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", total: str | None = None,
-             running: str | None = None, running_name: str = "running", ends: str | None = None,
-             by_value: bool = False, measure: DataFrame | None = None,
-             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Row number in each series and, if asked, series length and running sum.
-
-    ``order`` must be a total order. ``by_value`` says that the first order
-    column is a measured value, with ties and any spread, and not a time.
-    ``ends`` adds the series' first and last value of a column as
-    ``first_value`` and ``last_value``. ``measure`` is a table whose rows bound
-    those of ``df``, to find long series without computing ``df`` once more.
+             running: str | Mapping[str, str] | None = None, running_name: str = "running", ends: str | None = None,
+             measure: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Row number in each series and, if asked, series length and running sums.
+
+    ``order`` names columns of any orderable type; rows equal in all of them are
+    numbered in no certain order. ``running`` is a column to add up as
+    ``running_name``, or a mapping of new names to columns. ``ends`` adds the
+    series' first and last value of a column as ``first_value`` and
+    ``last_value``. ``measure`` is a table whose rows bound those of ``df``, to
+    find long series without computing ``df`` once more.
     """
     keys, order = list(keys), list(order)
+    sums = {running_name: running} if isinstance(running, str) else dict(running or {})
     source = df if measure is None else measure
-    x = position(source, order[0])
-    hot = settle(source.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n"), F.min(x).alias("hot_low"),
-                                           F.max(x).alias("hot_high")).filter(F.col("hot_n") > rows_per_task))
+    hot = settle(source.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n")).filter(F.col("hot_n") > rows_per_task))
     carried = ([total] if total else []) + (["first_value", "last_value"] if ends else [])
-    keep = [*df.columns, name, *carried] + ([running_name] if running else [])
+    keep = [*df.columns, name, *carried, *sums]
 
     if hot.limit(1).count() == 0:
         series = Window.partitionBy(*keys)
@@ -90,44 +67,36 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
             made[total] = F.count(F.lit(1)).over(whole)
         if ends:
             made.update(first_value=F.first(ends).over(whole), last_value=F.last(ends).over(whole))
-        if running:
-            made[running_name] = F.coalesce(F.sum(running).over(upto), F.lit(0.0))
+        made.update({s: F.coalesce(F.sum(c).over(upto), F.lit(0)) for s, c in sums.items()})
         return df.withColumns(made).select(*keep)
 
-    cut, cuts = _cut(df, keys, order, hot, by_value, rows_per_task)
-    cut = cut.select(*df.columns, *cuts)
-    sizes = [F.count(F.lit(1)).alias("slice_rows")]
-    if running:
-        sizes.append(F.sum(running).alias("slice_sum"))
+    cut = _sliced(df, keys, order, hot, rows_per_task)
+    sizes = [F.count(F.lit(1)).alias("slice_rows"), *[F.sum(c).alias(f"slice_sum_{s}") for s, c in sums.items()]]
     if ends:
         sizes += [F.min_by(ends, F.struct(*order)).alias("slice_first"),
                   F.max_by(ends, F.struct(*order)).alias("slice_last")]
-    per_slice = cut.groupBy(*keys, *cuts).agg(*sizes)
+    per_slice = cut.groupBy(*keys, "slice").agg(*sizes)
     series = Window.partitionBy(*keys)
-    before = series.orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+    before = series.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = {"rows_before": F.coalesce(F.sum("slice_rows").over(before), F.lit(0))}
     if total:
         starts[total] = F.sum("slice_rows").over(series)
     if ends:
-        starts["first_value"] = F.min_by("slice_first", F.struct(*cuts)).over(series)
-        starts["last_value"] = F.max_by("slice_last", F.struct(*cuts)).over(series)
-    if running:
-        starts["sum_before"] = F.coalesce(F.sum("slice_sum").over(before), F.lit(0.0))
-    offsets = per_slice.withColumns(starts).drop("slice_rows", "slice_sum", "slice_first", "slice_last")
+        starts["first_value"] = F.min_by("slice_first", "slice").over(series)
+        starts["last_value"] = F.max_by("slice_last", "slice").over(series)
+    starts.update({f"before_{s}": F.coalesce(F.sum(f"slice_sum_{s}").over(before), F.lit(0)) for s in sums})
+    offsets = per_slice.withColumns(starts).drop("slice_rows", *[f"slice_sum_{s}" for s in sums], "slice_first", "slice_last")
 
     # Each slice's start travels as one row ahead of the rows of that slice, so
     # the same window adds it in and no join is needed.
-    step = {"is_start": F.lit(0), "step": F.lit(1).cast("long")}
-    start = {"is_start": F.lit(1), "step": F.col("rows_before").cast("long")}
-    if running:
-        step["add"], start["add"] = F.col(running).cast("double"), F.col("sum_before").cast("double")
+    step = {"is_start": F.lit(0), "step": F.lit(1).cast("long"), **{f"add_{s}": F.col(c) for s, c in sums.items()}}
+    start = {"is_start": F.lit(1), "step": F.col("rows_before").cast("long"),
+             **{f"add_{s}": F.col(f"before_{s}") for s in sums}}
     rows = cut.withColumns(step).unionByName(
-        offsets.withColumns(start).drop("rows_before", "sum_before"), allowMissingColumns=True)
-    inside = (Window.partitionBy(*keys, *cuts).orderBy(F.desc("is_start"), *order)
+        offsets.withColumns(start).drop("rows_before", *[f"before_{s}" for s in sums]), allowMissingColumns=True)
+    inside = (Window.partitionBy(*keys, "slice").orderBy(F.desc("is_start"), *order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    made = {name: F.sum("step").over(inside)}
-    if running:
-        made[running_name] = F.sum("add").over(inside)
+    made = {name: F.sum("step").over(inside), **{s: F.sum(f"add_{s}").over(inside) for s in sums}}
     made.update({c: F.first(c).over(inside) for c in carried})
     return rows.withColumns(made).filter(F.col("is_start") == 0).select(*keep)
 

@@ -222,9 +222,9 @@ def two_way_diagnostics(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
 
 def _ranked(df: DataFrame, keys: Sequence[str], y: str, ties: Sequence[str],
             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Rank and group size; crowds of equal values are cut along the tie column."""
+    """Rank and group size; ties may be of any orderable type."""
     used = df.select(*keys, y, *ties).dropna(subset=[y])
-    return numbered(used, keys, [y, *ties], name="i", total="n", by_value=True, rows_per_task=rows_per_task)
+    return numbered(used, keys, [y, *ties], name="i", total="n", rows_per_task=rows_per_task)
 
 
 def qq_points(df: DataFrame, keys: Sequence[str], y: str, ties: Sequence[str] = ()) -> DataFrame:

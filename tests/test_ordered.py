@@ -40,12 +40,38 @@ def test_ranks_of_values_with_heavy_ties(spark, rows_per_task):
     rng = random.Random(8)
     data = [("g" if rng.random() < 0.7 else "h", rng.choice([1.0, 1.0, 2.5, -3.0, round(rng.gauss(0, 1e3), 1)]), i) for i in range(1500)]
     df = spark.createDataFrame(data, "k string, v double, id int")
-    got = W.numbered(df, ["k"], ["v", "id"], total="m", by_value=True, rows_per_task=rows_per_task).toPandas().set_index("id").sort_index()
+    got = W.numbered(df, ["k"], ["v", "id"], total="m", rows_per_task=rows_per_task).toPandas().set_index("id").sort_index()
     p = pd.DataFrame(data, columns=["k", "v", "id"]).sort_values(["k", "v", "id"])
     want = p.assign(n=p.groupby("k").cumcount() + 1, m=p.groupby("k").id.transform("size")).set_index("id").sort_index()
     assert (got.n == want.n).all() and (got.m == want.m).all()
 
 
+@pytest.mark.parametrize("rows_per_task", [10 ** 6, 50])
+def test_crowded_instant_with_a_text_tie(spark, rows_per_task):
+    rng = random.Random(5)
+    data = [("hot", None if rng.random() < 0.02 else 7 if rng.random() < 0.9 else rng.randrange(20), f"id-{i:04d}", i % 7)
+            for i in range(2000)] + [("cold", 1, "z", 2), ("cold", 1, "a", 3)]
+    df = spark.createDataFrame(data, "k string, t int, tie string, v long")
+    got = W.numbered(df, ["k"], ["t", "tie"], total="m", running={"upto": "v"}, ends="tie", rows_per_task=rows_per_task).collect()
+    want, n, upto = {}, {}, {}
+    for k, t, tie, v in sorted(data, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+        n[k], upto[k] = n.get(k, 0) + 1, upto.get(k, 0) + v
+        want[k, tie] = (n[k], upto[k])
+    assert {(r.k, r.tie): (r.n, r.upto) for r in got} == want
+    assert {(r.k, r.m) for r in got} == {("hot", 2000), ("cold", 2)}
+    assert {r.first_value for r in got if r.k == "cold"} == {"a"} and {r.last_value for r in got if r.k == "cold"} == {"z"}
+
+
+def test_no_slice_holds_a_crowd(spark):
+    """Rows that are equal in key, order and tie are spread too."""
+    df = spark.range(4000, numPartitions=4).select(F.lit("k").alias("k"), F.lit(3).alias("t"))
+    hot = df.groupBy("k").agg(F.count("*").alias("hot_n"))
+    sizes = [r["count"] for r in W._sliced(df, ["k"], ["t"], hot, 200).groupBy("slice").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 200
+    numbers = sorted(r.n for r in W.numbered(df, ["k"], ["t"], rows_per_task=200).collect())
+    assert numbers == list(range(1, 4001))
+
+
 def test_skip_then_thin(series):
     df, p = series
     p = p.assign(k=p.k.fillna("NULL")).sort_values(["k", "t", "id"])
