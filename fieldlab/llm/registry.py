@@ -8,6 +8,7 @@ from . import personal_data as pii
 from . import secret_scan, sql
 from .common import fresh_path, table
 from .decontaminate import find_benchmark
+from .hard_negatives import hard_negatives
 from .line_dedup import dedup_lines
 from .near_dedup import near_classes
 from .packing import pack_documents
@@ -65,7 +66,14 @@ def op10_decontamination(spark, folder):
     return find_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_hard_negatives(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_personal_data, op3_suffix_dedup, op4_substring_dedup, op5_secret_scan, op6_warc,
-    op7_best_fit_packing, op8_line_dedup, op9_quality_rules, op10_decontamination)}
+    op7_best_fit_packing, op8_line_dedup, op9_quality_rules, op10_decontamination,
+    op13_hard_negatives)}
 SQL = sql.STATEMENTS

