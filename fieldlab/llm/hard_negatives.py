@@ -14,8 +14,8 @@ blocks. Anchors are a stated query set; slices of ``SLICE_BYTES`` of them are
 broadcast one after the other, and each slice is met by every block.
 
 Rows with a null label, a null vector, or a null or non-finite component take no
-part. A vector shorter than others counts zeros for what it lacks. Other rows of an
-anchor are those with another id; rows that share an id are rows of their own, and
+part. A vector shorter than others counts zeros for what it lacks. An anchor's
+positives have another id; rows that share an id are rows of their own, and
 a null id comes last among ties and is no anchor. Quantised components and scores
 that do not fit a long are cut to its ends. An empty table gives no rows. Only the
 named columns are read.

@@ -151,7 +151,7 @@ def _hard_negatives(positives: int = 5, negatives: int = 5) -> str:
         anchors AS (SELECT * FROM rows WHERE vec_id % 100 = 0),
         scored AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
                           list_inner_product(a.v, r.v)::BIGINT AS score
-                   FROM anchors a JOIN rows r ON a.vec_id <> r.vec_id),
+                   FROM anchors a JOIN rows r ON a.vec_id <> r.vec_id OR a.label <> r.label),
         best AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {positives}),
         ranked AS (SELECT b.*, s.id AS negative_id, s.score AS negative_score,

@@ -19,7 +19,7 @@ def brute(rows, is_anchor, positives=5, negatives=5, low=80, of=100):
     for i, x, v in rows:
         if i == LAST or not is_anchor(i):
             continue
-        scored = sorted((-max(-2 ** 63, min(LAST, sum(a * b for a, b in zip(v, w)))), j, y) for j, y, w in rows if j != i)
+        scored = sorted((-max(-2 ** 63, min(LAST, sum(a * b for a, b in zip(v, w)))), j, y) for j, y, w in rows if j != i or y != x)
         for ps, p in [(-s, j) for s, j, y in scored if y == x][:positives]:
             found = [(-s, j) for s, j, y in scored if y != x and low * ps <= of * -s <= of * ps][:negatives]
             out += [(i, name(p), n + 1, name(j), ps, s) for n, (s, j) in enumerate(found)]
