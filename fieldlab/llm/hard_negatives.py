@@ -91,6 +91,10 @@ def _blocks(block_bytes: int):
     return run
 
 
+def _clipped(x: np.ndarray) -> np.ndarray:
+    return x if x.dtype != object else np.array([max(-2 ** 63, min(2 ** 63 - 1, v)) for v in x], object)
+
+
 class _Scan:
     """One block against one anchor: partial scores of the candidates left, and what is still to come."""
 
@@ -109,6 +113,7 @@ class _Scan:
     def step(self) -> bool:
         """Read some more dimensions; False when all are read."""
         if self.read >= len(self.order) or not len(self.alive):
+            self.scores = _clipped(self.scores)
             return False
         for d in self.order[self.read:self.read + STEP]:
             self.scores = self.scores + self.columns[d][self.alive] * self.a[d]
@@ -116,7 +121,7 @@ class _Scan:
         return True
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.scores + self.least[self.read], self.scores + self.greatest[self.read]
+        return _clipped(self.scores + self.least[self.read]), _clipped(self.scores + self.greatest[self.read])
 
     def keep(self, bits: np.ndarray) -> None:
         self.alive, self.scores = self.alive[bits], self.scores[bits]
@@ -157,10 +162,6 @@ def windows_of_block(scan: _Scan, ids: np.ndarray, windows: list[tuple[int, int,
     return out
 
 
-def _clipped(x) -> int:
-    return max(-2 ** 63, min(2 ** 63 - 1, int(x)))
-
-
 def _meet(work):
     """Pairs of a block and a group of anchors -> what ``work`` finds for each anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def _meet(work):
 def _positives(k: int):
     def work(row, j, ids, labels, scan):
         alive = (labels == row["a_labels"][j]) & (ids != row["a_ids"][j])
-        return [(0, int(ids[r]), _clipped(s)) for r, s in best_of_block(scan(alive), ids, k)]
+        return [(0, int(ids[r]), int(s)) for r, s in best_of_block(scan(alive), ids, k)]
     return work
 
 
@@ -200,7 +201,7 @@ def _negatives(k: int, low: int, high: int, of: int):
         windows = [w for w in windows if w[1] <= w[2]]
         if not windows:
             return []
-        return [(w, int(ids[r]), _clipped(s)) for w, r, s in windows_of_block(scan(labels != row["a_labels"][j]), ids, windows, k)]
+        return [(w, int(ids[r]), int(s)) for w, r, s in windows_of_block(scan(labels != row["a_labels"][j]), ids, windows, k)]
     return work
 
 
