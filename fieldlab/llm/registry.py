@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import personal_data as pii
 from . import secret_scan, sql
 from .common import fresh_path, table
+from .conversation_trie import conversation_trie, ordered_turns, shared_openings
 from .decontaminate import find_benchmark
 from .hard_negatives import hard_negatives
 from .line_dedup import dedup_lines
@@ -66,6 +67,10 @@ def op10_decontamination(spark, folder):
     return find_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_conversation_trie(spark, folder):
+    return conversation_trie(*shared_openings(ordered_turns(table(spark, folder, "conversations")))).drop("node", "parent")
+
+
 def op13_hard_negatives(spark, folder):
     vectors = table(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -75,5 +80,5 @@ def op13_hard_negatives(spark, folder):
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_personal_data, op3_suffix_dedup, op4_substring_dedup, op5_secret_scan, op6_warc,
     op7_best_fit_packing, op8_line_dedup, op9_quality_rules, op10_decontamination,
-    op13_hard_negatives)}
+    op12_conversation_trie, op13_hard_negatives)}
 SQL = sql.STATEMENTS

@@ -142,6 +142,43 @@ def _decontamination(window: int = 13) -> str:
         FROM texts LEFT JOIN totals USING (r) LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
 
 
+#: CRC-32 of a list of bytes, with its table made by the rule of the polynomial
+CRC_TABLE = """(SELECT list(list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+                lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY i) FROM range(256) t(i))"""
+
+
+def _crc(octets: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            "lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)")
+
+
+def _conversation_trie(family: int = 5, opening: int = 9) -> str:
+    digits = "list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return f"""
+        WITH turns AS (SELECT conv_id, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS what,
+                              strlen(coalesce(text, '')) AS bytes, turn FROM conversations WHERE conv_id IS NOT NULL),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, what) AS n FROM turns),
+        convs AS (SELECT conv_id, conv_id - conv_id % {family} AS base, {_crc(digits)} % {opening} AS h
+                  FROM (SELECT DISTINCT conv_id FROM turns), (SELECT {CRC_TABLE} AS crc)),
+        rebuilt AS (SELECT c.conv_id, 0 AS own, n, what, bytes FROM convs c JOIN numbered t ON t.conv_id = c.base AND n <= h
+                    UNION ALL SELECT c.conv_id, 1, n, what, bytes FROM convs c JOIN numbered t ON t.conv_id = c.conv_id AND n > h),
+        ways AS (SELECT conv_id, bytes, row_number() OVER o AS depth, list(what) OVER o AS way,
+                        count(*) OVER (PARTITION BY conv_id) AS size FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY own, n)
+                 UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[], coalesce((SELECT count(*) FROM rebuilt r WHERE r.conv_id = convs.conv_id), 0)
+                 FROM convs),
+        nodes AS (SELECT way, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+                         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+                  FROM ways GROUP BY way, depth),
+        kids AS (SELECT way[:-2] AS way, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        below AS (SELECT DISTINCT w[:a] AS way, w AS under FROM (SELECT way AS w, unnest(range(0, depth + 1)) AS a FROM nodes)),
+        sums AS (SELECT below.way, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+                 FROM below JOIN nodes u ON u.way = below.under LEFT JOIN kids k ON k.way = below.under GROUP BY below.way)
+        SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+               n_leaves, saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s ON s.way = n.way LEFT JOIN kids k ON k.way = n.way
+             LEFT JOIN nodes p ON n.depth > 0 AND p.way = n.way[:-2]"""
+
+
 def _hard_negatives(positives: int = 5, negatives: int = 5) -> str:
     return f"""
         WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -164,4 +201,4 @@ def _hard_negatives(positives: int = 5, negatives: int = 5) -> str:
 
 STATEMENTS = {"op5_secret_scan": _secrets(), "op6_warc": _warc(), "op8_line_dedup": _line_dedup(),
               "op9_quality_rules": _quality(), "op10_decontamination": _decontamination(),
-              "op13_hard_negatives": _hard_negatives()}
+              "op12_conversation_trie": _conversation_trie(), "op13_hard_negatives": _hard_negatives()}
