@@ -15,6 +15,7 @@ from .near_dedup import near_classes
 from .packing import pack_documents
 from .phrase_dedup import dedup_bytes
 from .quality import quality_rules
+from .sharding import shard_documents
 from .substring_dedup import PASSAGE_WORDS, dedup_sentences
 from .warc import read_archives, write_archives
 
@@ -67,6 +68,10 @@ def op10_decontamination(spark, folder):
     return find_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_sharding(spark, folder):
+    return shard_documents(table(spark, folder, "documents"))
+
+
 def op12_conversation_trie(spark, folder):
     return conversation_trie(*shared_openings(ordered_turns(table(spark, folder, "conversations")))).drop("node", "parent")
 
@@ -80,5 +85,5 @@ def op13_hard_negatives(spark, folder):
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_personal_data, op3_suffix_dedup, op4_substring_dedup, op5_secret_scan, op6_warc,
     op7_best_fit_packing, op8_line_dedup, op9_quality_rules, op10_decontamination,
-    op12_conversation_trie, op13_hard_negatives)}
+    op11_sharding, op12_conversation_trie, op13_hard_negatives)}
 SQL = sql.STATEMENTS

@@ -152,6 +152,37 @@ def _crc(octets: str) -> str:
             "lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)")
 
 
+def _sharding(shards: int = 40, overhead: int = 16) -> str:
+    octets = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)"
+    upto = "coalesce((SELECT max(upto) FROM running WHERE upto <= {} + {}), 0)"
+    return f"""
+        WITH RECURSIVE {TEXTS},
+        rows AS (SELECT r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, octet_length(encode(text)) + {overhead} AS size,
+                        CASE WHEN text = '' THEN 0 ELSE {_crc(octets)} END AS crc, md5(text) AS key
+                 FROM texts, (SELECT {CRC_TABLE} AS crc)),
+        groups AS (SELECT key, min(d) AS first, sum(size)::BIGINT AS bytes FROM rows GROUP BY key),
+        falling AS (SELECT *, row_number() OVER o - 1 AS k, sum(bytes) OVER () - coalesce(sum(bytes) OVER
+                           (ORDER BY bytes DESC, first, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_bytes
+                    FROM groups WINDOW o AS (ORDER BY bytes DESC, first, key)),
+        judged AS (SELECT *, k < {shards} AND bool_and(bytes * ({shards} - k) >= left_bytes) OVER (ORDER BY k) AS alone FROM falling),
+        running AS (SELECT key, first, sum(bytes) OVER (ORDER BY first, key)::BIGINT AS upto FROM judged WHERE NOT alone),
+        scope AS (SELECT (SELECT coalesce(max(upto), 0) FROM running) AS total, {shards} - (SELECT count(*) FROM judged WHERE alone) AS n),
+        search AS (SELECT 1::BIGINT AS low, total AS high, 0::BIGINT AS j, 0::BIGINT AS pos FROM scope UNION ALL
+                   SELECT CASE WHEN NOT fits AND over THEN middle + 1 ELSE low END, CASE WHEN fits THEN middle ELSE high END,
+                          CASE WHEN fits OR over THEN 0 ELSE j + 1 END, CASE WHEN fits OR over THEN 0 ELSE next END
+                   FROM (SELECT *, next >= total AS fits, j + 1 >= n OR next = pos AS over
+                         FROM (SELECT s.*, total, n, (low + high) // 2 AS middle, {upto.format("s.pos", "(low + high) // 2")} AS next
+                               FROM search s, scope WHERE low < high))),
+        capacity AS (SELECT min(low) AS c FROM search WHERE low = high),
+        ends AS (SELECT 1 AS j, {upto.format(0, "c")} AS pos FROM capacity UNION ALL
+                 SELECT j + 1, {upto.format("e.pos", "c")} FROM ends e, capacity, scope WHERE j < n),
+        places AS (SELECT key, k AS shard, first FROM judged WHERE alone UNION ALL
+                   SELECT key, {shards} - n + (SELECT count(*) FROM ends WHERE pos < upto), first FROM running, scope)
+        SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY first, key, d) - 1 AS slot, NULL::INTEGER AS grown_shard
+        FROM rows JOIN places USING (key)"""
+
+
 def _conversation_trie(family: int = 5, opening: int = 9) -> str:
     digits = "list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
     return f"""
@@ -201,4 +232,4 @@ def _hard_negatives(positives: int = 5, negatives: int = 5) -> str:
 
 STATEMENTS = {"op5_secret_scan": _secrets(), "op6_warc": _warc(), "op8_line_dedup": _line_dedup(),
               "op9_quality_rules": _quality(), "op10_decontamination": _decontamination(),
-              "op12_conversation_trie": _conversation_trie(), "op13_hard_negatives": _hard_negatives()}
+              "op11_sharding": _sharding(), "op12_conversation_trie": _conversation_trie(), "op13_hard_negatives": _hard_negatives()}
