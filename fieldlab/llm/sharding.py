@@ -72,18 +72,15 @@ class Cells:
         return low
 
     def unsure(self, low: list[int], high: list[int]) -> list[tuple[int, int]]:
-        """Merged stretches of the open cells that hold a possible end of a shard."""
+        """One stretch for each end of a shard that is not yet known, from the first open cell that may hold it to the last; overlaps are merged."""
         out: list[list[int]] = []
         for a, b in sorted(zip(low, high)):
-            i = max(0, bisect_right(self.lows, a) - 1)
-            while i < len(self.cells) and self.lows[i] <= b:
-                start, stop, n = self.cells[i]
-                if n > 2 and stop >= a:
-                    if out and start <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], stop)
-                    else:
-                        out.append([start, stop])
-                i += 1
+            within = range(max(0, bisect_right(self.lows, a) - 1), bisect_right(self.lows, b))
+            opened = [i for i in within if self.cells[i][2] > 2 and self.cells[i][1] >= a]
+            if opened and out and self.cells[opened[0]][0] <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], self.cells[opened[-1]][1])
+            elif opened:
+                out.append([self.cells[opened[0]][0], self.cells[opened[-1]][1]])
         return [(a, b) for a, b in out]
 
     def replaced(self, stretches: list[tuple[int, int]], finer: list[tuple[int, int, int]]) -> Cells:
