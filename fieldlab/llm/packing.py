@@ -32,7 +32,6 @@ from .common import store
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 120
 STEP = 0.5
 SLACK = 0.3
 CACHED_WORDS = 700_000
@@ -139,18 +138,20 @@ def _fill(room: int, take: list[int], used: list[int]) -> list[int]:
     return items
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP,
-                   slack: float = SLACK) -> dict[tuple, float]:
+def configurations(counts: np.ndarray, capacity: int, step: float = STEP, slack: float = SLACK) -> dict[tuple, float]:
     """Fractional cover of the histogram by multiplicative weights: configuration -> times used.
 
     A length's weight starts as its tokens and shrinks by exp(-share covered). Each
     round one knapsack table gives the best configuration through every length;
-    those within ``slack`` of the best of all get a step.
+    those within ``slack`` of the best of all get a step. Rounds go on until every
+    length is covered; one that adds nothing would be the last, since it would repeat.
     """
     used: dict[tuple, float] = {}
     covered, demand = np.zeros(capacity + 1), counts.astype(float)
     wanted = np.flatnonzero(counts)
-    for _ in range(rounds):
+    added = True
+    while added:
+        added = False
         share = covered[wanted] / demand[wanted]
         open_, share = wanted[share < 1 - 1e-9], share[share < 1 - 1e-9]
         if not len(open_):
@@ -163,6 +164,7 @@ def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step
             amount = min(step * demand[v], *((demand[u] - covered[u]) / n for u, n in config.items()))
             if amount <= 1e-9 * demand[v]:
                 continue
+            added = True
             key = tuple(sorted(config.items(), reverse=True))
             used[key] = used.get(key, 0.0) + amount
             for u, n in config.items():

@@ -317,6 +317,28 @@ def test_configuration_program():
         assert sum(t for _, t in plan) <= 1.05 * (counts @ np.arange(capacity + 1)) / capacity + 3
 
 
+def test_program_covers_all_and_beats_best_fit():
+    """Lengths on which falling best fit needs 11 sequences for every 9 of the best."""
+    import numpy as np
+    for k in (1, 40):
+        counts = np.zeros(2049, np.int64)
+        for length, n in ((1044, 6 * k), (552, 6 * k), (532, 6 * k), (472, 12 * k)):
+            counts[length] = n
+        tokens = counts @ np.arange(2049)
+        covered = sum(times * sum(v * a for v, a in config) for config, times in packing.configurations(counts, 2048).items())
+        assert covered >= 0.99 * tokens
+        alone, packed = (sum(t for _, t in plan) for plan in (packing.best_fit(counts, 2048), packing.solve(counts, 2048)))
+        assert alone == 11 * k and packed <= 9.3 * k + 1
+    pick = np.random.default_rng(4)
+    for capacity, n in ((100, 1000), (2048, 3000)):
+        counts = np.bincount(pick.integers(1, capacity + 1, n) // pick.integers(1, 6, n) + 1, minlength=capacity + 1)[:capacity + 1]
+        counts[0] = 0
+        covered = sum(times * sum(v * a for v, a in config) for config, times in packing.configurations(counts, capacity).items())
+        assert covered >= 0.99 * (counts @ np.arange(capacity + 1))
+        alone, packed = (sum(t for _, t in plan) for plan in (packing.best_fit(counts, capacity), packing.solve(counts, capacity)))
+        assert packed <= alone
+
+
 def test_packing(spark, docs, rows):
     import zlib
     from collections import defaultdict
