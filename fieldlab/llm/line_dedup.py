@@ -3,12 +3,14 @@
 ``LineRuns`` keeps (line hash, first document) in runs that are bucketed and
 sorted by the hash. A new batch is joined against the runs (a merge join without
 moving the runs), its unseen hashes become a new run, and when a level holds
-``fanout`` runs they are compacted into one run of the next level. Batches come
-in ascending document order, so the first holder of a line is its smallest id.
-
-Null or empty texts are one empty line and lose nothing. Rows that share an id
-are one document. A null id counts as the largest id. Only the two named columns
-are read; others do no harm whatever their names.
+``fanout`` runs they are compacted into one run of the next level, bucket by bucket
+in merge joins that move no rows. Batches are cut at quantiles of the ids and come
+in ascending order, so the first holder of a line is its smallest id.
+
+Null or empty texts are one empty line and lose nothing; a long text is split as
+any other. Rows that share an id are one document. A null id counts as the largest
+id and comes in the last batch, whatever the others are; rows without any id are one
+batch. Only the two named columns are read; others do no harm whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_path, let, ordered_id, store, trimmed
+from .common import LAST_ID, ascii_lower, fresh_path, let, ordered_id, store, trimmed
 
 SHORTEST_KEY = 10
 BATCHES = 4
@@ -41,17 +43,24 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def _write(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt by the hash of the key -> a bucketed, sorted run."""
         name = f"line_run_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key")
+        (rows.write.bucketBy(self.buckets, "key").sortBy("key")
              .option("path", fresh_path(self.spark, "line-run")).saveAsTable(name))
         return self.spark.table(name)
 
+    @staticmethod
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs share no key; as they are bucketed alike, the full join reads bucket beside bucket."""
+        return (a.join(b.withColumnRenamed("first", "other"), "key", "full")
+                .select("key", F.coalesce("first", "other").alias("first")))
+
     def _add(self, run: DataFrame, level: int = 0) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(reduce(DataFrame.union, self.levels[level]))
+            merged = reduce(lambda a, b: self._write(self.merged(a, b)), self.levels[level])
             self.levels[level] = []
             self._add(merged, level + 1)
 
@@ -61,7 +70,7 @@ class LineRuns:
         fresh = held
         for run in self.runs():
             fresh = fresh.join(run.select("key"), "key", "left_anti")
-        fresh = self.spark.table(self._stored(fresh))
+        fresh = self._write(fresh.repartition(self.buckets, "key"))
         old = held.join(fresh.select("key"), "key", "left_anti").select("key", F.lit(None).cast("long").alias("first"))
         twice = fresh.where("first < last").select("key", "first")
         gone = old.union(twice)
@@ -69,11 +78,14 @@ class LineRuns:
         self._add(fresh.select("key", "first"))
         return found
 
-    def _stored(self, rows: DataFrame) -> str:
-        name = f"line_new_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key")
-             .option("path", fresh_path(self.spark, "line-new")).saveAsTable(name))
-        return name
+
+def id_ranges(lines: DataFrame, batches: int) -> list[Column]:
+    """Conditions that cut the rows into batches of like size by quantiles of the known ids; the last one takes null ids too."""
+    known = F.when(F.col("doc") != LAST_ID, F.col("doc"))
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(lines.agg(F.percentile_approx(known, shares)).first()[0] or [])) if shares else []
+    after = [F.lit(True)] + [F.col("doc") > c for c in cuts]
+    return [a & (F.col("doc") <= c) for a, c in zip(after, cuts)] + after[-1:]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES,
@@ -88,16 +100,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .where(F.length("line") >= shortest)
              .select("doc", "row", "pos", F.unhex(F.md5("line")).alias("key")))
     lines = store(lines, "lines")
-    low, high = lines.agg(F.min("doc"), F.max("doc")).first()
-    dropped = []
-    if low is not None:
-        runs = LineRuns(spark, fanout)
-        width = max(1, -(-(high - low + 1) // batches))
-        for i in range(batches):
-            part = lines.where((F.col("doc") >= low + i * width) & (F.col("doc") <= min(low + (i + 1) * width - 1, high)))
-            if low + i * width <= high:
-                dropped.append(runs.absorb(part))
-    gone = reduce(DataFrame.union, dropped) if dropped else lines.select("doc", "row", "pos").limit(0)
+    runs = LineRuns(spark, fanout)
+    dropped = [runs.absorb(lines.where(part)) for part in id_ranges(lines, batches)]
+    gone = reduce(DataFrame.union, dropped)
     gone = gone.groupBy("doc", "row").agg(F.collect_set("pos").alias("gone"))
     out = d.join(gone, ["doc", "row"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(
