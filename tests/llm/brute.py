@@ -172,23 +172,35 @@ def classes(rows, pairs):
     return least
 
 
-def sentences_removed(rows, sentences=3, least_words=20):
-    """rows (doc_id, text) -> per row (n_sentences, n_removed, kept text)."""
+def sentences_removed(rows, bounds, least_words=25):
+    """rows (doc_id, text), bounds: text -> word numbers at which pieces start -> per row (n_sentences, n_removed, n_spans, kept text)."""
     cut, first = [], {}
     for d, t in rows:
-        pieces = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t or "")
-        words = [re.findall(r"[^\W_]+", p.lower()) for p in pieces]
-        runs = []
-        for i in range(len(pieces)):
-            for j in range(i + sentences, len(pieces) + 1):
-                if sum(map(len, words[i:j])) >= least_words:
-                    key = tuple(w for s in words[i:j] for w in s)
-                    runs.append((i, j, key))
-                    first[key] = min(first.get(key, (d, i)), (d, i))
-                    break
-        cut.append((d, pieces, runs))
+        t = t or ""
+        ends = [m.end() for m in re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t)]
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)]
+        at = bounds(t) + [len(words)]
+        places = []
+        for w in at[:-1]:
+            low = words[w - 1][1] if w else 0
+            stops = [i + 1 for i in range(low, words[w][0]) if t[i] in ".!?\n"]
+            places.append(stops[-1] if stops else 0 if not w else words[w][0])
+        places.append(len(t))
+        closing = {b for b in range(1, len(at)) if b == len(at) - 1 or any(c in ".!?\n" for c in t[words[at[b] - 1][1]:words[at[b]][0]])}
+        runs = set()
+        for a in range(len(at) - 1):
+            runs.update([(a, b) for b in range(a + 1, len(at)) if at[b] - at[a] >= least_words][:1])
+        for b in closing:
+            runs.update([(a, b) for a in range(b - 1, -1, -1) if at[b] - at[a] >= least_words][:1])
+        named = [(a, b, tuple(w[2] for w in words[at[a]:at[b]])) for a, b in sorted(runs)]
+        for n, (_, _, key) in enumerate(named):
+            first[key] = min(first.get(key, (d, n)), (d, n))
+        cut.append((d, t, ends, words, at, places, named))
     out = []
-    for d, pieces, runs in cut:
-        gone = {n for i, j, key in runs if first[key] < (d, i) for n in range(i, j)}
-        out.append((len(pieces), len(gone), "".join(p for n, p in enumerate(pieces) if n not in gone)))
+    for d, t, ends, words, at, places, named in cut:
+        dead = {p for n, (a, b, key) in enumerate(named) if first[key] < (d, n) for p in range(a, b)}
+        lost = {sum(e <= words[w][0] for e in ends) for p in dead for w in range(at[p], at[p + 1])}
+        kept = t[:places[0]] if len(at) > 1 else t
+        kept += "".join(t[places[p]:places[p + 1]] for p in range(len(at) - 1) if p not in dead)
+        out.append((len(ends), len(lost), sum(p - 1 not in dead for p in dead), kept))
     return out

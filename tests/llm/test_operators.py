@@ -12,7 +12,7 @@ from fieldlab.llm import personal_data as pii
 from fieldlab.llm.decontaminate import find_benchmark
 from fieldlab.llm.line_dedup import dedup_lines
 from fieldlab.llm.quality import quality_rules
-from fieldlab.llm.substring_dedup import dedup_sentences
+from fieldlab.llm.substring_dedup import Cut, dedup_sentences
 
 FOLDER = "/root/testdata/sf0.001"
 LAST = 2 ** 63 - 1
@@ -129,10 +129,38 @@ def test_sentences(spark):
     assert got[2].n_removed == 6 and got[2].kept_text == " Another end." and got[2].n_spans == 1
 
 
-def test_sentences_against_plain_version(docs, rows):
-    got = table(dedup_sentences(docs), "doc_id", "n_sentences", "n_removed", "kept_text")
-    want = B.sentences_removed([(as_id(d), t) for d, t in rows])
-    assert got == sorted(((d, *w) for (d, _), w in zip(rows, want)), key=repr)
+def test_sentences_against_plain_version(spark, docs, rows):
+    pick = random.Random(12)
+    say = lambda n: " ".join(pick.choice(["Straße", "x_y", "one", "two.", "three!", "4", "five\n", "…", "sIx?!", "seven,"]) for _ in range(n))
+    shared = [say(n) for n in (30, 60, 200)]
+    more = [(30000 + i, say(20) + " " + pick.choice(shared) + pick.choice([" ", ". "]) + say(15)) for i in range(40)]
+    more += [(31000, shared[2]), (31000, shared[2] + shared[2]), (None, shared[1]), (None, None)]
+    cut = lambda t: Cut([t]).at[:-1].tolist()
+    df = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    got = table(dedup_sentences(df), "doc_id", "n_sentences", "n_removed", "n_spans", "kept_text")
+    everything = rows + more
+    want = B.sentences_removed([(as_id(d), t) for d, t in everything], cut)
+    assert got == sorted(((d, *w) for (d, _), w in zip(everything, want)), key=repr)
+    assert sum(w[1] > 0 for w in want) > 40
+
+
+def test_any_shared_passage_is_caught(spark):
+    """51 words, cut out anywhere and put anywhere into other texts, hold a run; texts that share less stay whole."""
+    pick = random.Random(9)
+    say = lambda n: " ".join(f"{pick.choice('abcdefg')}{pick.randrange(10 ** 6)}" + pick.choice([""] * 12 + [". ", ", "]) for _ in range(n))
+    rows = []
+    for i in range(300):
+        words = [51, 51, 55, 70, 120][i % 5]
+        passage = say(words)
+        rows += [(3 * i, say(pick.randrange(3, 40)) + " " + passage + " " + say(9)), (3 * i + 1, say(pick.randrange(3, 40)) + " " + passage + " " + say(30)),
+                 (3 * i + 2, say(40) + " " + " ".join(passage.split()[:24]) + " " + say(8))]
+    got = {r.doc_id: r for r in dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[d].n_removed > 0) == (d % 3 == 1) for d, _ in rows)
+    for d, t in rows:
+        if d % 3 == 1:
+            lost = len(t.split()) - len(got[d].kept_text.split())
+            words = [51, 51, 55, 70, 120][d // 3 % 5]
+            assert words - 2 * 2 * 7 <= lost <= words + 1
 
 
 def test_long_sentences(spark):
@@ -145,12 +173,12 @@ def test_long_sentences(spark):
              (3, f"Third {say('r', 9)}. {two} Then {say('s', 9)}."), (4, f"Fourth {say('t', 9)}. {two} More {say('u', 9)}."),
              (5, f"{tail} Fifth {say('k', 9)}."), (6, f"{tail} Sixth {say('l', 9)}."),
              (7, say("m", 80) + " " + endless), (8, say("n", 80) + " " + endless)]
-    got = {r.doc_id: r for r in dedup_sentences(spark.createDataFrame(texts, "doc_id long, text string"), passage_words=50).collect()}
+    got = {r.doc_id: r for r in dedup_sentences(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert all(got[d].kept_text == t for d, t in texts if d % 2)
     assert got[2].kept_text == f"Other {say('v', 9)}. More {say('w', 9)}." and got[2].n_removed == 1
     assert got[4].kept_text == f"Fourth {say('t', 9)}. More {say('u', 9)}." and got[4].n_removed == 2
     assert got[6].kept_text == f" Sixth {say('l', 9)}." and got[6].n_removed == 4
-    assert got[8].kept_text.startswith(say("n", 80)) and len(got[8].kept_text.split()) < 80 + 100
+    assert got[8].kept_text.startswith(say("n", 80)) and len(got[8].kept_text.split()) < 80 + 15
 
 
 def test_banded_distance():
