@@ -14,13 +14,14 @@ comes from an alignment inside the band that this bound leaves.
 
 Copies (equal words) collapse into their smallest id before anything else. In a
 bucket each text is aligned with the bucket's head, its smallest id, and texts
-unlike the head with a second head, the smallest id among themselves. Rounds then
-go on over the buckets whose rest is of more than one class: each takes twice as
-many heads as the one before and aligns the rest with all of them. A text leaves
-its bucket when it is like a head or in the head's class, so at the end every text
-of every bucket was a head itself or has joined one. Two texts of a bucket that
-joined different heads are not aligned with each other there. Classes are the
-connected components.
+unlike the head with a second head, the smallest id among themselves. Where more than
+one class is left after that, the rest is split by content: what such texts share
+with the head, most of it a template that many texts hold, can't tell them apart, so
+each is sketched once more over the k-mers that the head lacks, and the keys, which
+hold for members of that head only, make smaller buckets with heads of their own;
+and so on until no bucket has two classes left that have not met. No round makes more
+than ``rest_sketches`` rows of a text and a head it has met, and no bucket is taken
+pair by pair. Classes are the connected components.
 
 A null text counts as empty; texts without words are copies of each other. A node
 of the graph is an id with the hash of the words, so different texts that share an
@@ -45,6 +46,8 @@ SIMILARITY = 0.8
 SKETCHES = 28
 PICKS = 5
 SHORT = 40
+REST_SKETCHES = 10
+REST_PICKS = 2
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 _WIDTH = 4_000_000  # hashes computed at once
 
@@ -122,8 +125,8 @@ def _sketch(k: int, sketches: int, picks: int, similarity: float):
                 keys.append(key.view(np.int64))
             sizes = np.diff(ends)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("h"), batch.column("d"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "h", "d", "n", "keys"])
+                [batch.column("id"), batch.column("h"), batch.column("d"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), words],
+                names=["id", "h", "d", "n", "keys", "words"])
     return run
 
 
@@ -201,33 +204,54 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def _numbered(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
-    """Both texts as numbers of a vocabulary of their own."""
-    ids: dict[str, int] = {}
-    pair = [np.fromiter((ids.setdefault(w, len(ids)) for w in t.split(" ")), np.int64) for t in (a, b)]
-    return pair[0], pair[1]
-
-
-def is_near(a: str, b: str, similarity: float) -> bool:
-    """Whether two word sequences (joined by spaces) have that edit similarity."""
-    x, y = _numbered(a, b)
-    longest = max(len(x), len(y))
+def is_near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sequences of hashed words have that edit similarity."""
+    longest = max(len(a), len(b))
     most = int((1 - similarity) * longest + 1e-9)
-    size = max(x.max(), y.max()) + 1
+    if abs(len(a) - len(b)) > most:
+        return False
+    numbers = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    x, y = numbers[:len(a)], numbers[len(a):]
+    size = numbers.max() + 1
     shared = np.minimum(np.bincount(x, minlength=size), np.bincount(y, minlength=size)).sum()
     if longest - shared > most:  # each edit mends one word at most
         return False
     return banded_distance(x, y, most) is not None
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [is_near(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column("x"), batch.column("y"))]
+            near = [is_near(x, y, similarity) for x, y in zip(_lists(batch.column("x")), _lists(batch.column("y")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
     return run
 
 
+def rest_keys(text: np.ndarray, head: np.ndarray, k: int, seeds: np.ndarray, picks: int) -> np.ndarray:
+    """Keys of a text over the k-mers that the head lacks, or over all if hardly any is left."""
+    own = kmers(text.view(np.uint64), k)
+    rest = own[~np.isin(own, kmers(head.view(np.uint64), k))]
+    return order_minhash(rest if 10 * len(rest) >= len(own) else own, seeds, picks)
+
+
+def _rest(k: int, sketches: int, picks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _mix(np.arange(1001, sketches + 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for batch in batches:
+            keys = []
+            for head, x, y in zip(batch.column("head").to_pylist(), _lists(batch.column("x")), _lists(batch.column("y"))):
+                scope = np.frombuffer(head[-8:], np.uint64)
+                keys.append(_mix(rest_keys(x, y, k, seeds, picks) ^ scope).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("d", "n", "c")] + [pa.array(keys, pa.list_(pa.int64()))],
+                                             names=["d", "n", "c", "keys"])
+    return run
+
+
 def _node(d: Column, md5: Column) -> Column:
     """24 bytes in the order of the id, then of the hash of the words."""
     return F.unhex(F.concat(F.lpad(F.hex(d.bitwiseXOR(F.lit(-2 ** 63))), 16, "0"), md5))
@@ -254,34 +278,34 @@ def components(edges: DataFrame) -> DataFrame:
         at, before = after, mark
 
 
-def _more_heads(left: DataFrame, tried: DataFrame, verified, similarity: float) -> DataFrame | None:
-    """Links of bucket members (key, d, n, c: class so far) with more and more heads, until no bucket has two classes left."""
-    links, wanted = None, 2
-    while True:
-        sizes = store(left.groupBy("key").agg(F.count("*").alias("m"), F.min("d").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-                      .where("c0 < c1").select("key", "m", "least"), "open")
-        if sizes.isEmpty():
-            return links
-        # The smallest id is a head, others by chance: no bucket is sorted, and the rest shrinks in every round.
-        chance = F.pmod(F.xxhash64("key", "d"), F.lit(1 << 20)) * F.col("m") < wanted * (1 << 20)
-        members = store(left.join(few(sizes), "key").withColumn("is_head", chance | (F.col("d") == F.col("least"))), "members")
-        heads = members.where("is_head").groupBy("key").agg(F.collect_list(F.struct("d", "n", "c")).alias("heads"))
-        met = (members.join(store(heads, "heads"), "key").withColumn("head", F.explode("heads")).where(F.col("d") != F.col("head.d"))
-               .select("key", "d", "is_head", F.greatest("d", "head.d").alias("a"), F.least("d", "head.d").alias("b"),
-                       (F.col("c") == F.col("head.c")).alias("same"),
-                       (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-9).alias("fits")))
-        met = store(met.where("same or fits"), "met")
-        fresh = store(met.where("fits and not same").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+def _by_content(left: DataFrame, tried: DataFrame, texts: DataFrame, verified, k: int, similarity: float,
+                sketches: int, picks: int) -> DataFrame | None:
+    """Links of texts unlike their bucket's heads: left has (d, n, c: class so far, head: the last one met)."""
+    links, left = None, store(left, "left")
+    split = left.select("d", "head")
+    while not left.isEmpty():
+        both = (left.join(texts.select("d", F.col("t").alias("x")), "d")
+                .join(texts.select(F.col("d").alias("head"), F.col("t").alias("y")), "head"))
+        rows = store(both.mapInArrow(_rest(k, sketches, picks), "d binary, n long, c binary, keys array<long>"), "rest-keys")
+        rows = rows.select("d", "n", "c", F.explode("keys").alias("key"))
+        heads = (rows.groupBy("key").agg(F.min(F.struct("d", "n", "c")).alias("first"), F.count("*").alias("m"),
+                                         F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key", "first", "m"))
+        met = (rows.join(heads, "key").where((F.col("d") != F.col("first.d")) & (F.col("c") != F.col("first.c")))
+               .groupBy("d", "n", "c", F.col("first.d").alias("head"), F.col("first.n").alias("head_n")).agg(F.max("m").alias("m")))
+        met = store(met, "met")
+        fits = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n") - 1e-9
+        fresh = store(met.where(fits).select(F.col("d").alias("a"), F.col("head").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = verified(fresh)
         tried, links = tried.union(fresh), found if links is None else links.union(found)
-        joined = met.where("same").select("key", "d").union(met.join(few(links), ["a", "b"], "left_semi").select("key", "d"))
-        left = store(members.where("not is_head").join(joined.distinct(), ["key", "d"], "left_anti").select("key", "d", "n", "c"), "left")
-        wanted *= 2
+        unlike = met.where("m > 2").join(links.select(F.col("a").alias("d"), F.col("b").alias("head")), ["d", "head"], "left_anti")
+        left = store(unlike.join(split, ["d", "head"], "left_anti").select("d", "n", "c", "head"), "left")
+        split = split.union(left.select("d", "head"))
+    return links
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = KMER,
                  similarity: float = SIMILARITY, sketches: int = SKETCHES, picks: int = PICKS,
-                 version: str = "") -> DataFrame:
+                 rest_sketches: int = REST_SKETCHES, rest_picks: int = REST_PICKS, version: str = "") -> DataFrame:
     """One row per input row: id, group_id (smallest id of its class) and kept (it has that id and its words);
     if ``version`` is named, also a struct of ordered id and text hash by which rows can be told apart."""
     named = docs.select(F.col(id_col).alias("id"), ordered_id(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -289,7 +313,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = named.select("id", "h", _node(F.col("d"), F.md5(F.array_join("w", " "))).alias("d"), "w")
     hashed = named.select("id", "h", "d", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
     kind = dict(named.dtypes)["id"]
-    table = store(hashed.mapInArrow(_sketch(k, sketches, picks, similarity), f"id {kind}, h long, d binary, n long, keys array<long>"), "sketches")
+    table = store(hashed.mapInArrow(_sketch(k, sketches, picks, similarity),
+                                    f"id {kind}, h long, d binary, n long, keys array<long>, words array<long>"), "sketches")
     contents = table.select("d", F.substring("d", 9, 16).alias("content"))
     several = store(contents.groupBy("content").agg(F.min("d").alias("first"), F.max("d").alias("last"))
                     .where("first < last").select("content", "first"), "several")
@@ -300,7 +325,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = rows.groupBy("key").agg(least.alias("head"), F.max("d").alias("last")).where("head.d < last").select("key", "head")
     buckets = store(rows.join(heads, "key").where(F.col("d") != F.col("head.d")).select("key", "d", "n", "head").distinct(), "buckets")
     asked = buckets.select("d").union(buckets.select("head.d")).distinct()
-    texts = store(named.join(few(store(asked, "bucketed")), "d").select("d", F.array_join("w", " ").alias("t")), "texts")
+    texts = table.join(few(store(asked, "bucketed")), "d").groupBy("d").agg(F.first("words").alias("t"))
+    texts = store(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(texts.select(F.col("d").alias("a"), F.col("t").alias("x")), "a")
@@ -325,11 +351,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         edges = found.toDF("u", "v").union(copies.select(F.col("d").alias("u"), F.col("first").alias("v")))
         return store(components(edges).select(F.col("u").alias("d"), F.col("v").alias("group")), "classes")
     classes = linked(links)
-    # Members unlike both heads, each with its class so far.
+    # Members unlike both heads, each with its class so far, of buckets with more than one class left.
     far = seconds.select("key", "d", "n", F.col("head.d").alias("h"))
-    far = store(far.join(few(links.select(F.col("a").alias("d"), F.col("b").alias("h"))), ["d", "h"], "left_anti").select("key", "d", "n"), "left")
-    far = far.join(few(classes), "d", "left").select("key", "d", "n", F.coalesce("group", "d").alias("c"))
-    later = _more_heads(store(far, "left"), tried, verified, similarity)
+    far = far.join(few(links.select(F.col("a").alias("d"), F.col("b").alias("h"))), ["d", "h"], "left_anti")
+    far = store(far.join(few(classes), "d", "left").select("key", "d", "n", F.col("h").alias("head"), F.coalesce("group", "d").alias("c")), "left")
+    open_ = far.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    far = far.join(open_, "key", "left_semi").select("d", "n", "c", "head").distinct()
+    later = _by_content(far, tried, texts, verified, k, similarity, rest_sketches, rest_picks)
     if later is not None:
         classes = linked(links.union(later))
     out = table.select("id", "h", "d").join(few(classes), "d", "left").withColumn("group", F.coalesce("group", "d"))

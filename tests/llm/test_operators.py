@@ -285,6 +285,21 @@ def test_near_classes_against_all_pairs(spark):
     for d, group in got.items():
         assert wide[group] == wide[d]
         assert got[sure[d]] == group
+    recall = sum(got[as_id(rows[a][0])] == got[as_id(rows[b][0])] for a, b in pairs) / len(pairs)
+    assert recall >= 0.97  # of all pairs by edit similarity; of those that share 0.8 of their shingles too all are found
+
+
+def test_bucket_of_one_template_is_not_taken_pair_by_pair(spark, monkeypatch):
+    """Texts that share two thirds meet in the buckets of the template; they are split by what is their own."""
+    block = [f"block{i}" for i in range(200)]
+    own = {n: [f"own{n}x{i}" for i in range(100)] for n in range(150)}
+    texts = {n: " ".join(block + own[n]) for n in own} | {1000 + n: " ".join(block + own[n][:-2] + ["some", "changes"]) for n in own}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked, plain = [], near_dedup.store
+    monkeypatch.setattr(near_dedup, "store", lambda d, name: (lambda kept: (asked.append(kept.count()) if name == "pairs" else None, kept)[1])(plain(d, name)))
+    got = {r.doc_id: r.group_id for r in near_dedup.near_classes(df).collect()}
+    assert all(got[n] == got[1000 + n] == n for n in own)
+    assert sum(asked) < 12 * len(texts)  # of 44,850 pairs
 
 
 def test_warc_round_trip(spark):
