@@ -47,6 +47,10 @@ def temperature_1968(t: Column | str) -> Column:
     return (as_column(t) - 0.0002) / 0.99975
 
 
+# Share of the conductivity at 25 degrees C by which a degree changes it (linear compensation of natural waters).
+COMPENSATION = 0.0191
+
+
 def density(salinity: Column | str, temperature: Column | str) -> Column:
     """Seawater density at the surface, kg per cubic metre."""
     s = as_column(salinity).cast("double")
@@ -80,6 +84,16 @@ def practical_salinity(conductivity: Column | str, temperature: Column | str,
     return polynomial(root, PSS_A) + dt / (1.0 + PSS_K * dt) * polynomial(root, PSS_B)
 
 
+def specific_conductance(conductivity: Column | str, temperature: Column | str, per_degree: float = COMPENSATION) -> Column:
+    """Conductivity as it would be at 25 degrees C, by linear compensation."""
+    return as_column(conductivity) / (1.0 + per_degree * (as_column(temperature) - 25.0))
+
+
+def conductivity_at(specific: Column | str, temperature: Column | str, per_degree: float = COMPENSATION) -> Column:
+    """Conductivity at a temperature from the one at 25 degrees C; undoes ``specific_conductance``."""
+    return as_column(specific) * (1.0 + per_degree * (as_column(temperature) - 25.0))
+
+
 def tris_ph(salinity: Column | str, temperature: Column | str) -> Column:
     """pH of the tris buffer on the total scale."""
     s = as_column(salinity)

@@ -34,6 +34,36 @@ def one_point_calibration(series: DataFrame, references: DataFrame, key: str, ti
     return attach(series, offset, [key]).withColumn(name, F.col(value) + F.col("offset"))
 
 
+def two_channel_calibration(series: DataFrame, references: DataFrame, key: str, time: str, conductivity: str,
+                            temperature: str, reference: str = "reference", reference_temperature: str = "reference_temperature",
+                            flag: str = "flag", start: str = "start", stop: str = "stop",
+                            per_degree: float = water.COMPENSATION) -> DataFrame:
+    """One-point calibration of a conductivity logger and its thermometer, in one pass over the calibration window.
+
+    The thermometer is shifted by (reference temperature - mean reading in the
+    window); without a reference temperature it stays as it is. The flag says what
+    the reference conductivity is: ``EC``, as measured, or ``SC``, at 25 degrees C;
+    the latter is first brought to the calibrated temperature of the window. The
+    conductivity is then shifted by (reference - mean reading). Adds
+    ``temperature_cal``, ``conductivity_cal`` and ``specific_cal`` (at 25 degrees).
+
+    One reference row per logger. A logger without a row, without readings in its
+    window, with a NULL reference or with another flag keeps NULL in the
+    conductivities, so a failed calibration is seen.
+    """
+    windows = references.select(key, start, stop, F.col(reference).alias("_ref"), F.col(reference_temperature).alias("_ref_t"),
+                                F.upper(F.col(flag)).alias("_flag"))
+    inside = interval_join(series.select(key, time, conductivity, temperature), windows, [key], time, start, stop)
+    means = inside.groupBy(key).agg(F.avg(conductivity).alias("c"), F.avg(temperature).alias("t"), F.max("_ref").alias("ref"),
+                                    F.max("_ref_t").alias("ref_t"), F.max("_flag").alias("flag"))
+    at = F.coalesce("ref_t", "t")
+    target = F.when(F.col("flag") == "EC", F.col("ref")).when(F.col("flag") == "SC", water.conductivity_at("ref", at, per_degree))
+    shifts = means.select(key, (target - F.col("c")).alias("_dc"), (at - F.col("t")).alias("_dt"))
+    out = attach(series, shifts, [key]).withColumns({"temperature_cal": F.col(temperature) + F.coalesce("_dt", F.lit(0.0)),
+                                                     "conductivity_cal": F.col(conductivity) + F.col("_dc")})
+    return out.withColumn("specific_cal", water.specific_conductance("conductivity_cal", "temperature_cal", per_degree)).drop("_dc", "_dt")
+
+
 def offset_after(series: DataFrame, references: DataFrame, key: str, time: str, value: str,
                  at: str = "at", reference: str = "reference", name: str = "corrected") -> DataFrame:
     """From the calibration instant on, shift by (reference - reading at it)."""

@@ -44,6 +44,32 @@ def c21(t):
     return c.select("event_id", "logger", F.round("calibrated", 6).alias("calibrated"))
 
 
+#: Reference conductivity, reference temperature (none for one logger) and flag of each logger
+REFERENCE_CELLS = ((0, 52.5, 24.5, "EC"), (1, 53.25, 26.0, "SC"), (2, 51.0, None, "SC"), (3, 54.0, None, "EC"))
+CHANNELS_SQL = """(SELECT event_id, ts, user_id % 4 AS logger, 50 + user_id % 12 + value / 1000 AS ec, 20 + user_id % 9 + value / 500 AS temp
+    FROM events)"""
+
+
+@query("C21_two_channel_calibration", f"""
+    WITH refs(logger, ref, ref_t, flag) AS (VALUES {", ".join(f"({k}, {c}, {'NULL' if t is None else t}, '{flag}')" for k, c, t, flag in REFERENCE_CELLS)}),
+    means AS (SELECT logger, avg(ec) AS c, avg(temp) AS t FROM {CHANNELS_SQL} JOIN {INSTANTS_SQL} USING (logger)
+              WHERE ts BETWEEN start AND stop GROUP BY logger),
+    shifts AS (SELECT logger, coalesce(ref_t, t) - t AS dt,
+                      CASE flag WHEN 'EC' THEN ref ELSE ref * (1 + 0.0191 * (coalesce(ref_t, t) - 25)) END - c AS dc
+               FROM refs JOIN means USING (logger))
+    SELECT event_id, logger, round(temp + dt, 6) AS temperature_cal, round(ec + dc, 6) AS conductivity_cal,
+           round((ec + dc) / (1 + 0.0191 * (temp + dt - 25)), 6) AS specific_cal
+    FROM {CHANNELS_SQL} JOIN shifts USING (logger)""")
+def c21_channels(t):
+    rows = S.literal_table(t.spark, REFERENCE_CELLS, "logger int, reference double, reference_temperature double, flag string")
+    refs = instants(t).join(F.broadcast(rows), "logger")
+    channels = t.events.select("event_id", "ts", (F.col("user_id") % 4).alias("logger"),
+                               (50 + F.col("user_id") % 12 + F.col("value") / 1000).alias("ec"),
+                               (20 + F.col("user_id") % 9 + F.col("value") / 500).alias("temp"))
+    c = loggers.two_channel_calibration(channels, refs, "logger", "ts", "ec", "temp")
+    return c.select("event_id", "logger", *[F.round(n, 6).alias(n) for n in ("temperature_cal", "conductivity_cal", "specific_cal")])
+
+
 OFFSET_SQL = f"""(SELECT event_id, logger, ts, value + 36.0 + logger - at_cal AS corrected FROM {LOGGER_SQL} JOIN
     (SELECT logger, stop, value AS at_cal FROM {INSTANTS_SQL} i JOIN {LOGGER_SQL} s USING (logger) WHERE s.ts = i.stop)
     USING (logger) WHERE ts >= stop)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -56,6 +57,39 @@ def s3(t):
     return logs.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+#: Lines above the readings of a logger file, in three wordings; {0}, {1}, {2} are time, value and kind
+WORDINGS = ((("Plot title: north site",), '"Date Time, GMT-10:00","Conductance, mS","Kind of reading"', "{0},{1},{2}"),
+            (("device 7", "1/5/2024 0:00:00,1.5,click", ""), "#,kind (set),HIGH conductance,DATE and time", "7,{2},{1},{0}"),
+            ((), 'kind,"started on date",note,conductance', "{2},{0},,{1}"))
+READINGS_A_FILE = 100_000
+
+
+@query("S3_header_maps", """
+    SELECT CAST(event_id % 3 AS INTEGER) AS wording, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total,
+           CAST(max(date_trunc('second', ts)) AS TIMESTAMP) AS last_reading
+    FROM events GROUP BY ALL""")
+def s3_headers(t):
+    base = S.stage_path(t.spark, "worded-logs")
+    per_wording = F.lit(t.events.count() // (3 * READINGS_A_FILE) + 1)
+    e = t.events.select((F.col("event_id") % 3).cast("int").alias("w"), F.floor(F.col("event_id") / 3).alias("k"),
+                        F.date_format(F.col("ts").cast("timestamp"), "M/d/yyyy H:mm:ss").alias("0"), F.col("value").alias("1"), F.col("event_type").alias("2"))
+
+    def line(pattern):
+        parts = re.split(r"\{(\d)\}", pattern)
+        return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+    body = F.when(F.col("w") == 0, line(WORDINGS[0][2])).when(F.col("w") == 1, line(WORDINGS[1][2])).otherwise(line(WORDINGS[2][2]))
+    files = e.select(F.col("w"), F.pmod("k", per_wording).alias("f"), F.lit(1 << 20).alias("place"), body.alias("line"))
+    heads = S.literal_table(t.spark, [(w, n, x) for w, (above, header, _) in enumerate(WORDINGS) for n, x in enumerate([*above, header])],
+                            "w int, place int, line string")
+    heads = files.select("w", "f").distinct().join(F.broadcast(heads), "w").select("w", "f", "place", "line")
+    (files.union(heads).repartition("w", "f").sortWithinPartitions("w", "f", "place").select("line", "w", "f")
+     .write.partitionBy("w", "f").text(base))
+    logs = S.read_header_maps(t.spark, base, {"date": "date", "value": "conductance", "kind": "kind"})
+    return (logs.groupBy(F.regexp_extract("file_path", r"w=(\d)", 1).cast("int").alias("wording"), "kind")
+            .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"),
+                 F.max(C.parse_time("date")).alias("last_reading")))
+
+
 @query("S4_logger_folder", """
     SELECT CAST(user_id % 4 AS VARCHAR) AS logger_id, count(*) AS n, round(sum(value), 4) AS total,
            CAST(max(date_trunc('second', ts)) AS TIMESTAMP) AS last_reading

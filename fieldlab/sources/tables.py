@@ -56,6 +56,41 @@ def read_log_tree(spark: SparkSession, path: str | list[str], columns: Sequence[
     return out.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in numbers})
 
 
+def read_header_maps(spark: SparkSession, path: str | list[str], names: Mapping[str, str], separator: str = ",",
+                     most_columns: int = 64, file_column: str = "file_id") -> DataFrame:
+    """Logger files of a tree, each with a header wording, column order and preamble of its own.
+
+    ``names`` maps a new name to a text that the column's header contains, in any
+    case. A file's header is its first line with a cell for every name; it is
+    looked for by the tasks that read the starts of files, and its positions, one
+    row a file, are the map by which the cells of all lines of that file are
+    picked. The header and what stands above it are dropped by place, whatever it
+    looks like. Cells come as text, ``NA`` and empty as NULL; missing cells are
+    NULL. A file without such a header gives no rows. Cells may be quoted but hold
+    no line breaks; only the first ``most_columns`` cells of a line are seen.
+    """
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(most_columns)])
+    lines = (spark.read.option("recursiveFileLookup", True).text(path)
+             .select("value", F.col("_metadata.file_name").alias(file_column), F.col("_metadata.file_path").alias("file_path"),
+                     (F.col("_metadata.file_block_start") == 0).alias("at_start"), F.monotonically_increasing_id().alias("line")))
+    cut = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+                     {"nullValue": "NA", "sep": separator, "mode": "PERMISSIVE"})
+    cells = lines.withColumn("cells", F.array(*[cut.getField(f.name) for f in schema]))
+
+    def place(text: str):
+        holds = F.transform("cells", lambda c: F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False)))
+        return F.array_position(holds, True)
+    found = cells.filter("at_start").withColumns({f"at_{n}": place(text) for n, text in names.items()})
+    for n in names:
+        found = found.filter(F.col(f"at_{n}") > 0)
+    headers = (found.groupBy("file_path").agg(F.min(F.struct("line", *[f"at_{n}" for n in names])).alias("header"))
+               .select("file_path", F.col("header.line").alias("header_line"), *[F.col(f"header.at_{n}").alias(f"at_{n}") for n in names]))
+    rows = natural_join(cells, small_side(headers), "inner", ["file_path"])
+    # Lines are numbered along each split, so those of a file's start compare with its header.
+    rows = rows.filter(~F.col("at_start") | (F.col("line") > F.col("header_line"))).filter(F.length(F.trim("value")) > 0)
+    return rows.select(*[F.get("cells", (F.col(f"at_{n}") - 1).cast("int")).alias(n) for n in names], file_column, "file_path")
+
+
 def read_fuzzy_header(spark: SparkSession, path: str, names: Mapping[str, str], skip: int = 1) -> DataFrame:
     """One logger file whose header wording varies, below ``skip`` preamble lines.
 
@@ -125,6 +160,6 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "stages", f"{name}-{uuid.uuid4().hex}")
 
 
-__all__ = ["read_parquet", "read_csv", "read_tree", "read_log_tree", "read_fuzzy_header",
+__all__ = ["read_parquet", "read_csv", "read_tree", "read_log_tree", "read_fuzzy_header", "read_header_maps",
            "logger_series", "select_files", "literal_table", "write_stage", "stage_path",
            "interval_join"]

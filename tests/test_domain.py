@@ -1,5 +1,7 @@
 """Domain jobs on small tables with published results."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,28 @@ def test_nutrient_summary(spark):
     df = spark.createDataFrame([("Seep_DL_2023", 11.5), ("HighFlow_DL_x", 1.0), ("HighFlow_DH_x", 2.0), ("LowFlow_DH_x", 3.0)], "s string, nn double")
     got = {r.site: (r.mean, r.se) for r in chemistry.nutrient_summary(df, "s", ["nn"], ["Seep"], {"HighFlow": "High"}).collect()}
     assert got == {"High": (1.5, pytest.approx(0.5)), "LowFlow": (3.0, None)}
+
+
+def test_two_channel_calibration(spark):
+    from fieldlab.functions import water
+    from fieldlab.plans import loggers
+    day = datetime.datetime(2024, 1, 1)
+    at = lambda h: day + datetime.timedelta(hours=h)
+    series = spark.createDataFrame([(k, at(h), 50.0 + k + h, 24.0 + h) for k in range(6) for h in range(5)], "k int, t timestamp_ntz, ec double, temp double")
+    refs = spark.createDataFrame([(0, 60.0, 26.0, "EC", at(1), at(3)), (1, 60.0, 26.0, "sc", at(1), at(3)), (2, 60.0, None, "SC", at(1), at(3)),
+                                  (3, 60.0, None, "EC", at(9), at(10)), (4, 60.0, 26.0, "??", at(1), at(3))],
+                                 "k int, reference double, reference_temperature double, flag string, start timestamp_ntz, stop timestamp_ntz")
+    got = {(r.k, r.t): r for r in loggers.two_channel_calibration(series, refs, "k", "t", "ec", "temp").collect()}
+    assert len(got) == 30
+    sc = lambda c, t: c / (1 + 0.0191 * (t - 25))
+    for h in range(5):  # means of the window are those of hour 2
+        r = got[0, at(h)]
+        assert r.temperature_cal == pytest.approx(24.0 + h) and r.conductivity_cal == pytest.approx(60.0 + h - 2)
+        assert r.specific_cal == pytest.approx(sc(60.0 + h - 2, 24.0 + h))
+        r = got[1, at(h)]
+        assert r.conductivity_cal == pytest.approx(60.0 * (1 + 0.0191) + h - 2)
+        assert got[2, at(h)].temperature_cal == 24.0 + h
+        assert all(got[k, at(h)].conductivity_cal is None and got[k, at(h)].specific_cal is None for k in (3, 4, 5))
+    assert got[1, at(2)].specific_cal == pytest.approx(60.0) and got[2, at(2)].specific_cal == pytest.approx(60.0)
+    both = spark.createDataFrame([(52.0, 3.5), (40.0, 31.0), (0.0, 25.0)], "c double, t double")
+    assert all(r.c == pytest.approx(r.back) for r in both.withColumn("back", water.conductivity_at(water.specific_conductance("c", "t"), "t")).collect())

@@ -72,3 +72,33 @@ def test_stage_round_trip(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
     back = S.write_stage(df, S.stage_path(spark, "t"), ["k"])
     assert back.count() == 100 and set(back.columns) == {"id", "k"}
+
+
+def test_header_maps(spark, tmp_path):
+    """Three wordings and preambles in nested folders; a line like a reading above the header, quoted cells, short lines, no header."""
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "one.csv").write_text("\ufeff" + 'Plot title\n"#","Date Time, GMT-10:00","Low Range, uS","Temp, C"\n1,"1/2/2023 0:00:00","5,1",NA\n\n2,1/3/2023 0:00:00,6,27.5\n')
+    (tmp_path / "a" / "b" / "two.csv").write_text("1/1/2023 0:00:00,9,9,9\nmore text\nTEMP (deg),range low,other,DATE\n28,7,x,1/4/2023 0:00:00\n29,8\n")
+    (tmp_path / "three.csv").write_text("date,temp,range\n1/5/2023 0:00:00,30,9\n")
+    (tmp_path / "none.csv").write_text("date,temp\n1/6/2023 0:00:00,30\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = S.read_header_maps(spark, str(tmp_path), {"date": "date", "temp": "temp", "low": "range"})
+    assert got.columns == ["date", "temp", "low", "file_id", "file_path"]
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == sorted([
+        ("1/2/2023 0:00:00", None, "5,1", "one.csv"), ("1/3/2023 0:00:00", "27.5", "6", "one.csv"), ("1/4/2023 0:00:00", "28", "7", "two.csv"),
+        (None, "29", "8", "two.csv"), ("1/5/2023 0:00:00", "30", "9", "three.csv")], key=repr)
+
+
+def test_header_maps_of_files_in_several_splits(spark, tmp_path):
+    lines = [f"{i},1/2/2023 0:00:00,{i * 2}" for i in range(4000)]
+    for name, above in (("x.csv", ["title"]), ("y.csv", ["title", "7,8,9", "notes"])):
+        (tmp_path / name).write_text("\n".join([*above, "n,date,value", *lines]) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = S.read_header_maps(spark, str(tmp_path), {"at": "date", "v": "value"})
+        assert got.rdd.getNumPartitions() > 4
+        sums = {r.file_id: (r.n, r.s) for r in got.groupBy("file_id").agg(F.count("at").alias("n"), F.sum(F.col("v").cast("long")).alias("s")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sums == {"x.csv": (4000, sum(range(0, 8000, 2))), "y.csv": (4000, sum(range(0, 8000, 2)))}
