@@ -164,21 +164,6 @@ def signif(c: Column | str, digits: int) -> Column:
     return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c * power) / power)
 
 
-BINS_PER_OCTAVE = 4096
-
-
-def value_bin(c: Column | str, unit: float = 1e-3) -> Column:
-    """Order-keeping bin of a number that needs no look at the data first.
-
-    Bins are even in the logarithm above ``unit`` and even in the value below
-    it, so any spread of magnitudes gives a bounded number of bins.
-    """
-    c = as_column(c)
-    size = F.floor(F.log2(1.0 + F.abs(c) / F.lit(unit)) * BINS_PER_OCTAVE).cast("long")
-    # NaN is the largest number, as in every sort.
-    return F.when(F.isnan(c.cast("double")), F.lit(2 ** 62)).when(c < 0, -size - 1).otherwise(size)
-
-
 def stars(p: Column | str) -> Column:
     """Significance marks from a p-value; NULL stays NULL."""
     p = as_column(p)

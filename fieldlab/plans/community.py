@@ -71,6 +71,6 @@ def _pairs(mapping: Mapping) -> Column:
 
 def map_centre(points: DataFrame, keys: Sequence[str], lat: str, lon: str) -> DataFrame:
     """Median position per location."""
-    a = exact_quantiles(points, keys, lat, {"lat": 0.5}, unit=1e-6).drop("n")
-    b = exact_quantiles(points, keys, lon, {"lon": 0.5}, unit=1e-6).drop("n")
+    a = exact_quantiles(points, keys, lat, {"lat": 0.5}).drop("n")
+    b = exact_quantiles(points, keys, lon, {"lon": 0.5}).drop("n")
     return natural_join(a, b, "full", list(keys))

@@ -99,6 +99,34 @@ def test_quantiles_are_exact_for_any_magnitude(series, scale):
             assert abs(r[name] - v.quantile(prob)) < 1e-9 * scale
 
 
+@pytest.mark.parametrize("rows_per_task", [10 ** 6, 60])
+def test_quantiles_of_crowded_values(spark, rows_per_task):
+    """Values that differ in their last digits only, ties, NaN, a NULL key and short keys; no bracket above the bound."""
+    rng = random.Random(3)
+    data = [("near", 1.0 + rng.randrange(10 ** 6) * 1e-12) for _ in range(3000)]
+    data += [("ties", rng.choice([1.0, 1.0, 1.0, 2.0, 2.0 + 1e-9])) for _ in range(2000)]
+    data += [(None, rng.gauss(0, 1e6)) for _ in range(500)] + [("short", 4.0), ("short", 2.0), ("one", 7.0), ("none", None)]
+    data += [("nan", float("nan") if i % 3 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    probs = {"low": 0.0, "a": 0.1, "b": 0.5, "c": 0.773, "high": 1.0}
+    got = {r.k: r for r in Q.exact_quantiles(df, ["k"], "v", probs, rows_per_task=rows_per_task).collect()}
+    assert set(got) == {"near", "ties", None, "short", "one", "nan"}
+    for k, r in got.items():
+        v = sorted((x for kk, x in data if kk == k and x is not None), key=lambda x: (x != x, x))
+        assert r.n == len(v)
+        for name, p in probs.items():
+            lo = int((len(v) - 1) * p)
+            hi = min(lo + ((len(v) - 1) * p > lo), len(v) - 1)
+            want = v[lo] + (v[hi] - v[lo]) * ((len(v) - 1) * p - lo)
+            assert (r[name] != r[name] and want != want) or abs(r[name] - want) <= 1e-15 * max(1, abs(want)), (k, name)
+    if rows_per_task == 60:
+        x = df.filter("k = 'near'").select("k", "v")
+        start = spark.createDataFrame([("near", "b", 3000, 1499, None, None, 0, 3000)],
+                                      "k string, name string, n long, pos long, low double, high double, below long, inside long")
+        b = Q.narrowed(x, ["k"], start, 60).first()
+        assert b.inside <= 60 and b.below <= 1499 and b.below + b.inside > 1499
+
+
 def test_box_summary_whiskers(spark):
     df = spark.createDataFrame([("g", float(v)) for v in [1, 2, 3, 4, 5, 6, 7, 8, 30]], "g string, v double")
     b = Q.box_summary(df, ["g"], "v").first()
