@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import as_column
+from ..functions.columns import as_column, recode
 from .joins import attach
 
 
@@ -102,3 +102,9 @@ def with_group_value(df: DataFrame, keys: Sequence[str], many: bool = False, **a
     back leaves a hot group spread out.
     """
     return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys, many=many)
+
+
+def combine_parts(df: DataFrame, keys: Sequence[str], member: str, aliases: Mapping[str, str], values: Sequence[str]) -> DataFrame:
+    """Sums per unit after records that are parts of one member got its name; one missing part makes a sum NULL."""
+    named = df.withColumn(member, recode(member, aliases))
+    return named.groupBy(*keys, member).agg(*[strict(F.sum, v).alias(v) for v in values])

@@ -100,33 +100,57 @@ def interval_join(readings: DataFrame, windows: DataFrame, keys: Sequence[str],
     return r.join(w, match, "inner").select("r.*", *extra)
 
 
+LEVEL_STEP = 3
+
+
+def grid_pieces(start: Column, stop: Column) -> Column:
+    """The one or two stretches that a window of slots (longs, both included) touches: an array of (level, place).
+
+    A stretch of a level covers 2 ** level slots. The level is the first multiple of
+    ``LEVEL_STEP`` whose stretches are as long as the window, so windows of any
+    length have two pieces at most, and few levels are in use.
+    """
+    level = (F.ceil(F.log2(stop - start + 1) / LEVEL_STEP) * LEVEL_STEP).cast("int")
+    places = F.array_distinct(F.array(F.call_function("shiftright", start, level), F.call_function("shiftright", stop, level)))
+    return F.transform(places, lambda p: F.struct(level.alias("level"), p.alias("place")))
+
+
 def exclude_windows(readings: DataFrame, windows: DataFrame, key: str, time: str,
-                    start: str = "start", stop: str = "stop", slot_seconds: int = 3600) -> DataFrame:
+                    start: str = "start", stop: str = "stop", slot_seconds: int = 60) -> DataFrame:
     """Drop readings inside a bad window; a window with a NULL key hits every key.
 
-    A NULL start or stop is no bound: such a window reaches to the end of the readings.
-    Both kinds of window are first cut into the time slots they touch, so each
-    anti join has an equality on the slot and no row meets windows of another.
+    A NULL start or stop is no bound; of such windows the last stop and the first
+    start of a key say all, one row a key. Other windows are put into stretches of
+    time about as long as they are, two at most. For each length of stretches in use
+    an anti join has an equality on the stretch, so a reading meets only windows
+    that are near, and nothing is asked of the readings before.
     """
-    if not windows.filter(F.col(start).isNull() | F.col(stop).isNull()).isEmpty():
-        first, last = readings.agg(F.min(time), F.max(time)).first()
-        windows = windows.withColumns({start: F.coalesce(start, F.lit(first)), stop: F.coalesce(stop, F.lit(last))})
-    lo = F.floor(seconds(start) / slot_seconds).cast("long")
-    hi = F.floor(seconds(stop) / slot_seconds).cast("long")
-    w = windows.select(F.col(key).alias("w_key"), F.col(start).alias(start), F.col(stop).alias(stop))
-    w = w.filter(F.col(start) <= F.col(stop)).withColumn("slot", F.explode(F.sequence(lo, hi)))
-    w = settle(w)
-    fits = w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-    def side(of_every_key):
-        part = w.filter(F.col("w_key").isNull() if of_every_key else F.col("w_key").isNotNull())
-        return F.broadcast(part) if fits else part
-
-    r = readings.withColumn("r_slot", F.floor(seconds(time) / slot_seconds).cast("long"))
-    inside = F.col(time).between(F.col(start), F.col(stop)) & (F.col("r_slot") == F.col("slot"))
-    return (r.join(side(False), (F.col(key) == F.col("w_key")) & inside, "left_anti")
-            .join(side(True), inside, "left_anti")
-            .drop("r_slot"))
+    w = windows.select(F.col(key).alias("w_key"), F.col(start).alias("w_start"), F.col(stop).alias("w_stop"))
+    w = w.filter(F.coalesce(F.col("w_start") <= F.col("w_stop"), F.lit(True)))
+    opened = (w.filter(F.col("w_start").isNull() | F.col("w_stop").isNull()).groupBy("w_key").agg(
+        F.max(F.when(F.col("w_start").isNull(), F.col("w_stop"))).alias("upto"),
+        F.min(F.when(F.col("w_stop").isNull(), F.col("w_start"))).alias("since"),
+        F.max(F.col("w_start").isNull() & F.col("w_stop").isNull()).alias("always")))
+    at = {c: F.floor(seconds(c) / slot_seconds).cast("long") for c in ("w_start", "w_stop")}
+    closed = w.filter(F.col("w_start").isNotNull() & F.col("w_stop").isNotNull()).withColumn("p", F.explode(grid_pieces(at["w_start"], at["w_stop"])))
+    closed = settle(closed.select("w_key", "w_start", "w_stop", "p.level", "p.place")
+                    .unionByName(opened.withColumn("level", F.lit(-1)), allowMissingColumns=True))
+    sizes = closed.groupBy("level", F.col("w_key").isNull().alias("of_every_key")).count().collect()  # two rows a level at most
+    fits = sum(r["count"] for r in sizes) <= BROADCAST_ROWS
+    out = readings.withColumn("_slot", F.floor(seconds(time) / slot_seconds).cast("long"))
+    t = F.col(time)
+    for r in sizes:
+        part = closed.filter((F.col("level") == r["level"]) & (F.col("w_key").isNull() == r["of_every_key"]))
+        if r["level"] < 0:
+            hit = t.isNotNull() & (F.coalesce(t <= F.col("upto"), F.lit(False)) | F.coalesce(t >= F.col("since"), F.lit(False)) | F.col("always"))
+        else:
+            hit = (F.shiftright("_slot", r["level"]) == F.col("place")) & t.between(F.col("w_start"), F.col("w_stop"))
+        if not r["of_every_key"]:
+            hit = (F.col(key) == F.col("w_key")) & hit
+        # The open windows of all keys together are one row.
+        small = fits or (r["level"] < 0 and r["of_every_key"])
+        out = out.join(F.broadcast(part) if small else part, hit, "left_anti")
+    return out.drop("_slot")
 
 
 def lookup_at(series: DataFrame, instants: DataFrame, keys: Sequence[str], time: str,

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import water
-from ..functions.columns import patch_value, percent_change, ratio, recode
-from ..operators.aggregates import mean_se, strict
+from ..functions.columns import patch_value, percent_change, ratio
+from ..operators.aggregates import combine_parts, mean_se, strict
 from ..operators.joins import natural_join
 from ..operators.verbs import keep_unless, stack
 from ..session import small_side
@@ -154,8 +154,7 @@ def assemblage_mass(volumes: DataFrame, masses: DataFrame, unit: Sequence[str],
     """
     v = volumes.withColumn(volume, patch_value(member, volume, volume_patches or {}))
     per_volume = v.groupBy(unit[0]).agg(strict(F.sum, volume).alias(volume))
-    m = masses.withColumn(member, recode(member, aliases or {}))
-    m = m.groupBy(member).agg(strict(F.sum, mass).alias(mass))
+    m = combine_parts(masses, [], member, aliases or {}, [mass])
     m = m.withColumn(mass, patch_value(member, mass, mass_patches or {}))
     used = natural_join(m, volumes.select(member, *unit).distinct(), "left", [member])
     per_mass = (used.filter(F.col(unit[0]).isNotNull()).groupBy(*unit)

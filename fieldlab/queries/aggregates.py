@@ -66,6 +66,19 @@ def a6(t):
                                                 F.round(F.sum("l_extendedprice"), 2).alias("price"))
 
 
+PART_NAMES = {"1": "first half", "2": "first half", "3": "first half"}
+
+
+@query("A6_alias_merge", f"""
+    SELECT l_orderkey, CASE part {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PART_NAMES.items())} ELSE part END AS part,
+           round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price
+    FROM (SELECT *, CAST(l_linenumber AS VARCHAR) AS part FROM lineitem) GROUP BY ALL""")
+def a6_alias(t):
+    rows = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("string").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    merged = A.combine_parts(rows, ["l_orderkey"], "part", PART_NAMES, ["quantity", "price"])
+    return merged.select("l_orderkey", "part", *[F.round(c, 2).alias(c) for c in ("quantity", "price")])
+
+
 @query("A7_unpaired", "SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) = 1")
 def a7(t):
     return A.sole_or_repeated(t.orders, ["o_custkey", "o_orderstatus"])

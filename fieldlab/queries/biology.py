@@ -102,14 +102,15 @@ def c4(t):
     return rounded_growth(growth_rows(t))
 
 
-CLEAN_SQL = f"""(SELECT * FROM {GROWTH_SQL} WHERE mg_g_day IS NOT NULL AND taxon NOT IN ('FURNITURE')
-    AND NOT (taxon = 'BUILDING' AND change_pct < 2) AND NOT (taxon = 'MACHINERY' AND change_pct < -50)
-    AND NOT (taxon = 'HOUSEHOLD' AND change_pct < 0))"""
+#: Taxa left out, and the least change in percent that counts as growth and not as breakage
+LEFT_OUT = ("BUILDING",)
+LEAST_CHANGE = {"AUTOMOBILE": -35.5, "FURNITURE": -62.5, "MACHINERY": -12.25}
+CLEAN_SQL = f"""(SELECT * FROM {GROWTH_SQL} WHERE mg_g_day IS NOT NULL AND taxon NOT IN ({", ".join(f"'{x}'" for x in LEFT_OUT)})
+    {" ".join(f"AND NOT (taxon = '{k}' AND change_pct < {v})" for k, v in LEAST_CHANGE.items())})"""
 
 
 def clean_rows(t) -> DataFrame:
-    return growth.clean_growth(growth_rows(t), "taxon", "change_pct", "mg_g_day", ["FURNITURE"],
-                               {"BUILDING": 2, "MACHINERY": -50, "HOUSEHOLD": 0})
+    return growth.clean_growth(growth_rows(t), "taxon", "change_pct", "mg_g_day", list(LEFT_OUT), LEAST_CHANGE)
 
 
 @query("C5_growth_cleaning", f"SELECT {ROUNDED_GROWTH} FROM {CLEAN_SQL}")
@@ -164,12 +165,20 @@ def c9(t):
     return g.select("organism", "taxon", F.round("mg_cm2_day", 4).alias("mg_cm2_day"))
 
 
-@query("C10_assemblage_mass", """
+#: Values put in place of single records
+VOLUME_PATCHES, MASS_PATCHES = {"7-1": 31.5}, {"7-2": 1840.25}
+
+
+def patched_sql(name: str, value: str, patches: dict) -> str:
+    return f"CASE {name} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in patches.items())} ELSE {value} END"
+
+
+@query("C10_assemblage_mass", f"""
     WITH m AS (SELECT l_orderkey, l_orderkey % 2 AS treatment, l_orderkey || '-' || l_linenumber AS member,
                l_quantity AS vol, (l_extendedprice - l_tax) - (l_discount - l_tax) AS mass FROM lineitem),
-    masses AS (SELECT l_orderkey, treatment, CASE WHEN member = '7-2' THEN 0.7 ELSE total END AS mass FROM
+    masses AS (SELECT l_orderkey, treatment, {patched_sql("member", "total", MASS_PATCHES)} AS mass FROM
                (SELECT l_orderkey, treatment, member, sum(mass) AS total FROM m GROUP BY ALL)),
-    v AS (SELECT l_orderkey, sum(CASE WHEN member = '7-1' THEN 25 ELSE vol END) AS volume FROM m GROUP BY 1)
+    v AS (SELECT l_orderkey, sum({patched_sql("member", "vol", VOLUME_PATCHES)}) AS volume FROM m GROUP BY 1)
     SELECT l_orderkey, treatment, round(any_value(volume), 2) AS volume, round(sum(mass), 2) AS mass
     FROM masses JOIN v USING (l_orderkey) GROUP BY ALL""")
 def c10(t):
@@ -178,7 +187,7 @@ def c10(t):
                              unite(["l_orderkey", "l_linenumber"], "-").alias("member"), F.col("l_quantity").alias("volume"),
                              growth.ash_free_mass("l_tax", "l_extendedprice", "l_discount").alias("mass"))
     a = growth.assemblage_mass(rows.drop("mass"), rows.select("member", "mass"), ["l_orderkey", "treatment"], "member",
-                               "volume", "mass", volume_patches={"7-1": 25.0}, mass_patches={"7-2": 0.7})
+                               "volume", "mass", volume_patches=VOLUME_PATCHES, mass_patches=MASS_PATCHES)
     return a.select("l_orderkey", "treatment", F.round("volume", 2).alias("volume"), F.round("mass", 2).alias("mass"))
 
 

@@ -45,6 +45,22 @@ def s2(t):
     return tree.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("S2_tree_scan", """
+    SELECT event_type AS folder, CAST(user_id % 3 AS INTEGER) AS subfolder, count(*) AS n, round(sum(value), 4) AS total
+    FROM events GROUP BY ALL""")
+def s2_tree(t):
+    """A tree of part files two folders deep, listed and read in one scan; each row knows its file."""
+    base = S.stage_path(t.spark, "event-tree")
+    rows = t.events.select("event_id", "value", "event_type", (F.col("user_id") % 3).cast("int").alias("part"))
+    for side, place in enumerate(("north", "south")):  # plain folders, not partitions of one table
+        half = rows.filter(F.col("event_id") % 2 == side)
+        half.write.partitionBy("event_type", "part").parquet(f"{base}/{place}/deep")
+    tree = S.read_tree(t.spark, base, "event_id long, value double", fmt="parquet")
+    named = tree.select("value", F.regexp_extract("file_path", "event_type=([^/]*)/", 1).alias("folder"),
+                        F.regexp_extract("file_path", r"part=(\d+)/", 1).cast("int").alias("subfolder"))
+    return named.groupBy("folder", "subfolder").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("S3_preamble_scan", """
     SELECT event_type AS channel, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type""")
 def s3(t):
@@ -232,10 +248,14 @@ def p9(t):
     return t.orders.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P10_patch", """
-    SELECT p_partkey, CASE p_partkey WHEN 7 THEN 25.0 WHEN 11 THEN 0.7 ELSE p_retailprice END AS price FROM part""")
+PRICE_PATCHES = {3: 112.5, 17: 480.75, 29: 0.0}
+
+
+@query("P10_patch", f"""
+    SELECT p_partkey, CASE p_partkey {" ".join(f"WHEN {k} THEN {v}" for k, v in PRICE_PATCHES.items())} ELSE p_retailprice END AS price
+    FROM part""")
 def p10(t):
-    return t.part.select("p_partkey", C.patch_value("p_partkey", "p_retailprice", {7: 25.0, 11: 0.7}).alias("price"))
+    return t.part.select("p_partkey", C.patch_value("p_partkey", "p_retailprice", PRICE_PATCHES).alias("price"))
 
 
 @query("P10_patch_table", """
@@ -368,6 +388,12 @@ def f5(t):
                          F.format_string("%.2f", "p_retailprice").alias("price_text"))
 
 
+@query("F5s_scientific", """
+    SELECT c_custkey, CASE WHEN c_acctbal > 1000 THEN format('{:.1e}', c_acctbal) ELSE CAST(c_acctbal AS VARCHAR) END AS shown FROM customer""")
+def f5s_scientific(t):
+    return t.customer.select("c_custkey", C.scientific_if_large("c_acctbal").alias("shown"))
+
+
 @query("D1_parse_time", """
     SELECT event_id, date_trunc('second', ts) AS parsed, CAST(ts AS DATE) AS parsed_day, CAST(NULL AS TIMESTAMP) AS bad
     FROM events""")

@@ -66,9 +66,9 @@ def test_assemblage_mass_merges_patches_and_stays_strict(spark):
     tins = spark.createDataFrame([("x", 1.0, 3.0, 2.0), ("x_2", 1.0, 2.5, 2.0), ("y", 1.0, 2.0, None), ("z", 1.0, 2.0, 1.5), ("unused", 1.0, 9.0, 2.0)],
                                  "id string, tin double, dry double, ash double")
     mass = tins.select("id", growth.ash_free_mass("tin", "dry", "ash").alias("m"))
-    a = growth.assemblage_mass(vol, mass, ["unit", "et"], "id", "v", "m", {"x_2": "x"}, {"y": 25.0}, {"y": 0.7})
+    a = growth.assemblage_mass(vol, mass, ["unit", "et"], "id", "v", "m", {"x_2": "x"}, {"y": 21.0}, {"y": 1.4})
     got = {r.unit: (r.et, r.v, r.m) for r in a.collect()}
-    assert got["A1"] == ("H", 35.0, pytest.approx(1.0 + 0.5 + 0.7))
+    assert got["A1"] == ("H", 31.0, pytest.approx(1.0 + 0.5 + 1.4))
     assert got["B1"] == ("H", None, pytest.approx(0.5))
 
 

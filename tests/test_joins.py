@@ -87,3 +87,32 @@ def test_open_windows_have_no_bound(spark):
     w = spark.createDataFrame([("a", None, "2024-01-01 12:00:00"), ("b", "2024-01-02 09:00:00", None)], "k string, start string, stop string")
     w = w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
     assert J.exclude_windows(r, w, "k", "t").count() == 0
+
+
+def test_windows_of_any_length_have_two_pieces(spark):
+    import random
+    rng = random.Random(2)
+    windows = [(a, a + rng.choice([0, 1, 5, 63, 10 ** 4, 10 ** 7])) for a in (rng.randrange(-10 ** 6, 10 ** 6) for _ in range(60))]
+    windows += [(0, 10 * 366 * 24 * 60), (-8, -1), (-1, 0), (-2 ** 40, 2 ** 40)]
+    df = spark.createDataFrame(windows, "a long, b long")
+    for r in df.select("a", "b", J.grid_pieces(F.col("a"), F.col("b")).alias("p")).collect():
+        assert 1 <= len(r.p) <= 2 and len({p.level for p in r.p}) == 1
+        for slot in (r.a, r.b, (r.a + r.b) // 2):
+            assert any(p.place == slot >> p.level for p in r.p)
+        assert 1 << r.p[0].level < 8 * (r.b - r.a + 1)
+
+
+def test_long_and_open_windows(spark):
+    import datetime
+    import random
+    rng = random.Random(7)
+    day = datetime.datetime(2015, 1, 1)
+    when = lambda h: day + datetime.timedelta(seconds=h)
+    ten_years = 3653 * 86400
+    readings = [(i, rng.choice(["a", "b", None]), None if i % 50 == 0 else when(rng.randrange(-ten_years, 2 * ten_years) + rng.random())) for i in range(800)]
+    readings += [(1000, "a", when(0)), (1001, "a", when(ten_years)), (1002, "b", when(5)), (1003, "b", when(5.000001))]
+    windows = [("a", when(0), when(ten_years)), ("b", None, when(5)), (None, when(int(1.9 * ten_years)), None), ("b", when(10), when(9)), ("c", None, None)]
+    r = spark.createDataFrame(readings, "id int, k string, t timestamp_ntz")
+    w = spark.createDataFrame(windows, "k string, start timestamp_ntz, stop timestamp_ntz")
+    hit = lambda k, t: t is not None and any((wk is None or wk == k) and (lo is None or t >= lo) and (hi is None or t <= hi) for wk, lo, hi in windows)
+    assert {x.id for x in J.exclude_windows(r, w, "k", "t").collect()} == {i for i, k, t in readings if not hit(k, t)}
