@@ -133,14 +133,18 @@ def exclude_windows(readings: DataFrame, windows: DataFrame, key: str, time: str
         F.max(F.col("w_start").isNull() & F.col("w_stop").isNull()).alias("always")))
     at = {c: F.floor(seconds(c) / slot_seconds).cast("long") for c in ("w_start", "w_stop")}
     closed = w.filter(F.col("w_start").isNotNull() & F.col("w_stop").isNotNull()).withColumn("p", F.explode(grid_pieces(at["w_start"], at["w_stop"])))
-    closed = settle(closed.select("w_key", "w_start", "w_stop", "p.level", "p.place")
-                    .unionByName(opened.withColumn("level", F.lit(-1)), allowMissingColumns=True))
-    sizes = closed.groupBy("level", F.col("w_key").isNull().alias("of_every_key")).count().collect()  # two rows a level at most
+    closed = closed.select("w_key", "w_start", "w_stop", "p.level", "p.place")
+    of_every_key = F.col("w_key").isNull().alias("of_every_key")
+    sizes = (closed.select("level", of_every_key).union(opened.select(F.lit(-1), of_every_key))
+             .groupBy("level", "of_every_key").count().collect())  # two rows a level at most
     fits = sum(r["count"] for r in sizes) <= BROADCAST_ROWS
+    if not fits:
+        closed, opened = settle(closed), settle(opened)
     out = readings.withColumn("_slot", F.floor(seconds(time) / slot_seconds).cast("long"))
     t = F.col(time)
     for r in sizes:
-        part = closed.filter((F.col("level") == r["level"]) & (F.col("w_key").isNull() == r["of_every_key"]))
+        part = opened if r["level"] < 0 else closed.filter(F.col("level") == r["level"])
+        part = part.filter(F.col("w_key").isNull() == r["of_every_key"])
         if r["level"] < 0:
             hit = t.isNotNull() & (F.coalesce(t <= F.col("upto"), F.lit(False)) | F.coalesce(t >= F.col("since"), F.lit(False)) | F.col("always"))
         else:
