@@ -1,7 +1,9 @@
-"""Normal quantile as a Column, so ranks never leave the JVM."""
+"""Normal quantile and tail as Columns, so ranks and tests never leave the JVM."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,21 @@ def normal_quantile(p: Column) -> Column:
     tail = polynomial(s - 5.0, TAIL_TOP) / polynomial(s - 5.0, TAIL_BOTTOM)
     outer = F.when(s <= 5.0, middle).otherwise(tail)
     return F.when(F.abs(q) <= 0.425, centre).when(q < 0, -outer).otherwise(outer)
+
+
+# Rational approximation of the upper tail (Hart 1968, no. 5666), lowest order first.
+UPPER_TOP = (220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383,
+             6.37396220353165, 0.700383064443688, 3.52624965998911e-2)
+UPPER_BOTTOM = (440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674,
+                86.7807322029461, 16.064177579207, 1.75566716318264, 8.83883476483184e-2)
+
+
+def normal_upper(z: Column) -> Column:
+    """P(Z > z) to 1e-15; small tails keep eight digits."""
+    a = F.abs(z)
+    near = polynomial(a, UPPER_TOP) / polynomial(a, UPPER_BOTTOM)
+    far = a + 0.65
+    for i in (4.0, 3.0, 2.0, 1.0):
+        far = a + F.lit(i) / far
+    tail = F.exp(-a * a / 2.0) * F.when(a < 7.07106781186547, near).otherwise(F.lit((2.0 * math.pi) ** -0.5) / far)
+    return F.when(z < 0, 1.0 - tail).otherwise(tail)

@@ -143,7 +143,7 @@ def _panels(lo, hi, n):
 def _range_sf(w, k):
     """P(range of k standard normals > w), for an array w; small values keep their digits."""
     # Integrate k * phi(u) * (Phi(u)^(k-1) - (Phi(u) - Phi(u - w))^(k-1)) over the largest value u.
-    u, weights = _panels(-9.0, 39.0, 24)
+    u, weights = _panels(-9.0, 39.0, 48)
     below = normal_sf(-u)
     gone = np.minimum(normal_sf(np.asarray(w, dtype=float)[..., None] - u) / below, 1.0 - 1e-16)
     part = below ** (k - 1) * -np.expm1((k - 1) * np.log1p(-gone))
@@ -174,7 +174,23 @@ def tukey_sf(q, k, df):
         spread = 1.0 / math.sqrt(2.0 * df[i])
         lo = -0.5 * math.log1p(q[i] ** 2 / (2.0 * df[i])) - 10.0 * spread - 40.0 / df[i]
         hi = 10.0 * spread
-        y, weights = _panels(lo, hi, math.ceil((hi - lo) / (2.0 * spread)))
+        # The range of many means passes from one to zero on a scale far below the width of the density.
+        y, weights = _panels(lo, hi, (1 if k[i] <= 64 else 4) * math.ceil((hi - lo) / (2.0 * spread)))
         log_pdf = math.log(2.0) + _log_chi_factor(df[i] / 2.0) + df[i] * (y - 0.5 * np.expm1(2.0 * y))
         out[i] = min(1.0, float(np.sum(weights * np.exp(log_pdf) * _range_sf(q[i] * np.exp(y), k[i]))))
     return out
+
+
+def tukey_point(alpha, k, df):
+    """The studentised range that is passed with probability alpha; one value of k and df."""
+    if not df > 0 or k < 2:
+        return math.nan
+    lo, hi = 0.0, 4.0
+    while tukey_sf(hi, k, df)[0] > alpha:
+        lo, hi = hi, 2.0 * hi
+    while hi - lo > 1e-12 * hi:
+        # Sixteen points at once narrow the bracket to a seventeenth.
+        points = np.linspace(lo, hi, 18)
+        above = int(np.sum(tukey_sf(points[1:-1], k, df) > alpha))
+        lo, hi = points[above], points[above + 1]
+    return 0.5 * (lo + hi)

@@ -6,18 +6,21 @@ merged stably on the map side. Only cells reach the numpy steps.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from string import ascii_letters
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import dash_if_null, signif, stars, unite
-from ..functions.normal import normal_quantile
-from ..functions.tails import f_sf, t_sf2, tukey_sf
+from ..functions.normal import normal_quantile, normal_upper
+from ..functions.studentised import range_tails
+from ..functions.tails import f_sf, tukey_point
+from ..functions.water import polynomial
 from ..operators.joins import attach
 from ..operators.ordered import ROWS_PER_TASK, numbered
 from ..operators.quantiles import medians
@@ -102,12 +105,6 @@ def two_way(df: DataFrame, keys: Sequence[str], a: str, b: str, y: str, p_value:
     return out if p_value else out.drop("p")
 
 
-@F.pandas_udf(T.DoubleType())
-def p_of_range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
-    """Upper tail of the studentised range for contrast rows."""
-    return pd.Series(tukey_sf(q.to_numpy(float), k.to_numpy(float), df.to_numpy(float)))
-
-
 def pairwise(df: DataFrame, keys: Sequence[str], factors: Sequence[str], y: str, p_value: bool = True) -> DataFrame:
     """All differences between cell means, adjusted for the number of cells.
 
@@ -134,33 +131,43 @@ def pairwise(df: DataFrame, keys: Sequence[str], factors: Sequence[str], y: str,
         se.alias("std_error"), F.col("a.df").alias("df"), F.col("a.k").alias("k"))
     out = out.withColumn("t_ratio", F.try_divide("estimate", "std_error"))
     if p_value:
-        out = out.withColumn("p_adj", p_of_range(F.abs("t_ratio") * F.sqrt(F.lit(2.0)), "k", "df"))
+        out = out.withColumn("_q", F.abs("t_ratio") * F.sqrt(F.lit(2.0)))
+        out = range_tails(out, "_q", "k", "df", "p_adj").drop("_q")
     return out
 
 
 def _letters(names: list, different: np.ndarray) -> list[str]:
-    """Insert-and-absorb: levels that share a letter do not differ."""
+    """Insert-and-absorb: levels that share a letter do not differ.
+
+    Groups are bit sets. Level by level, a group that holds a level and some that
+    differ from it is split into one without the level and one without those.
+    """
     k = len(names)
-    groups = [set(range(k))]
+    groups = {(1 << k) - 1}
     for i in range(k):
-        for j in range(i + 1, k):
-            if different[i, j]:
-                split = []
-                for g in groups:
-                    split += [g - {i}, g - {j}] if i in g and j in g else [g]
-                groups = []
-                for g in sorted(split, key=len, reverse=True):
-                    if g and not any(g <= h for h in groups):
-                        groups.append(g)
-    groups.sort(key=lambda g: sorted(g))
-    return ["".join(chr(97 + n) for n, g in enumerate(groups) if i in g) for i in range(k)]
+        others = sum(1 << int(j) for j in np.flatnonzero(different[i, i + 1:]) + i + 1)
+        hit = {g for g in groups if g >> i & 1 and g & others}
+        kept = groups - hit
+        for g in sorted({h & ~(1 << i) for h in hit} | {h & ~others for h in hit}, key=int.bit_count, reverse=True):
+            if not any(g & h == g for h in kept):
+                kept.add(g)
+        groups = kept
+    members = sorted([i for i in range(k) if g >> i & 1] for g in groups)
+    marks = [[] for _ in range(k)]
+    for n, g in enumerate(members):
+        for i in g:
+            marks[i].append(ascii_letters[n] if n < len(ascii_letters) else f"({n + 1})")
+    return ["".join(m) for m in marks]
 
 
 def grouping_letters(df: DataFrame, keys: Sequence[str], factor: str, y: str, model: Sequence[str] = (),
                      alpha: float = 0.05) -> DataFrame:
     """Level means, best first, with letters; levels sharing one do not differ.
 
-    The error comes from the cells of ``model`` (by default the factor alone).
+    The error comes from the cells of ``model`` (by default the factor alone). A
+    task holds the levels of a key and their pairs, not their rows; one critical
+    value decides all pairs. Letters go from a to z, A to Z, then numbers in
+    brackets.
     """
     keys = list(keys)
     within = cells(df, keys, list(dict.fromkeys([factor, *model])), y)
@@ -180,7 +187,7 @@ def grouping_letters(df: DataFrame, keys: Sequence[str], factor: str, y: str, mo
         q = np.abs(m[i] - m[j]) / np.sqrt(mse / 2.0 * (1.0 / n[i] + 1.0 / n[j]))
         different = np.zeros((k, k), dtype=bool)
         if k > 1:
-            different[i, j] = tukey_sf(q, k, df_res) < alpha
+            different[i, j] = q > tukey_point(alpha, k, df_res)
         out = pd.DataFrame({factor: g[factor], "n": g["n"].astype("int64"), "mean": m,
                             "letters": _letters(list(g[factor]), different)})
         for kk in by[::-1]:
@@ -243,54 +250,40 @@ ROYSTON_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 ROYSTON_LARGE_SD = (-0.4803, -0.082676, 0.0030302)
 
 
-def _poly(x, c):
-    return sum(v * x ** i for i, v in enumerate(c))
-
-
-@F.pandas_udf(T.StructType([T.StructField("w", T.DoubleType()), T.StructField("p", T.DoubleType())]))
-def _shapiro(n: pd.Series, ss: pd.Series, sm2: pd.Series, smx: pd.Series, m1: pd.Series, m2: pd.Series,
-             end1: pd.Series, end2: pd.Series) -> pd.DataFrame:
-    """W and p from a group's sums: squared scores, scores times values, outer gaps."""
-    from ..functions.tails import normal_sf
-    out = []
-    for n_, ss_, sm2_, smx_, m1_, m2_, e1, e2 in zip(n, ss, sm2, smx, m1, m2, end1, end2):
-        if n_ < 3 or not ss_ > 0:
-            out.append((np.nan, np.nan))
-            continue
-        rsn = 1.0 / np.sqrt(n_)
-        if n_ == 3:
-            w = (np.sqrt(0.5) * e1) ** 2 / ss_
-        else:
-            a1 = m1_ / np.sqrt(sm2_) + _poly(rsn, ROYSTON_LAST)
-            if n_ > 5:
-                a2 = m2_ / np.sqrt(sm2_) + _poly(rsn, ROYSTON_SECOND)
-                phi = (sm2_ - 2 * m1_ ** 2 - 2 * m2_ ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2)
-                total = a1 * e1 + a2 * e2 + (smx_ - m1_ * e1 - m2_ * e2) / np.sqrt(phi)
-            else:
-                phi = (sm2_ - 2 * m1_ ** 2) / (1 - 2 * a1 ** 2)
-                total = a1 * e1 + (smx_ - m1_ * e1) / np.sqrt(phi)
-            w = total ** 2 / ss_
-        w = min(w, 1.0)
-        if n_ == 3:
-            p = max(0.0, 6.0 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75))))
-        else:
-            y, ln = np.log1p(-w) if w < 1 else -np.inf, np.log(n_)
-            if n_ <= 11:
-                g = _poly(n_, ROYSTON_GAMMA)
-                z = ((-np.log(g - y) - _poly(n_, ROYSTON_SMALL_MEAN)) / np.exp(_poly(n_, ROYSTON_SMALL_SD))
-                     if y < g else np.inf)
-            else:
-                z = (y - _poly(ln, ROYSTON_LARGE_MEAN)) / np.exp(_poly(ln, ROYSTON_LARGE_SD))
-            p = float(normal_sf(z))
-        out.append((w, p))
-    return pd.DataFrame(out, columns=["w", "p"])
+PUBLISHED_ROWS = 5000
+
+
+def _shapiro(sums: DataFrame) -> DataFrame:
+    """W and p from groups' sums: squared scores, scores times values, outer gaps.
+
+    What is used again is a column of its own, which keeps the generated code small.
+    """
+    n, ss, e1 = F.when(F.col("n") >= 3, F.col("n").cast("double")), F.col("ss"), F.col("end1")
+    sm2, smx, m1, m2, e2, a1, a2, w = (F.col(c) for c in ("sm2", "smx", "m1", "m2", "end2", "a1", "a2", "w"))
+    out = sums.withColumn("root", 1.0 / F.sqrt(n))
+    out = out.withColumns({"a1": F.try_divide(m1, F.sqrt(sm2)) + polynomial(F.col("root"), ROYSTON_LAST),
+                           "a2": F.try_divide(m2, F.sqrt(sm2)) + polynomial(F.col("root"), ROYSTON_SECOND)})
+    few = a1 * e1 + (smx - m1 * e1) / F.sqrt((sm2 - 2.0 * m1 * m1) / (1.0 - 2.0 * a1 * a1))
+    many = a1 * e1 + a2 * e2 + (smx - m1 * e1 - m2 * e2) / F.sqrt(
+        (sm2 - 2.0 * m1 * m1 - 2.0 * m2 * m2) / (1.0 - 2.0 * a1 * a1 - 2.0 * a2 * a2))
+    out = out.withColumn("top", F.when(n == 3, F.lit(0.5 ** 0.5) * e1).when(n <= 5, few).when(n > 5, many))
+    out = out.withColumn("w", F.when((n >= 3) & (ss > 0), F.least(F.lit(1.0), F.col("top") * F.col("top") / ss)))
+    out = out.withColumns({"gap": F.when(w < 1.0, F.log1p(-w)).otherwise(float("-inf")), "size": F.log(n),
+                           "edge": polynomial(n, ROYSTON_GAMMA)})
+    gap, size, edge = F.col("gap"), F.col("size"), F.col("edge")
+    small = F.when(gap < edge, (-F.log(edge - gap) - polynomial(n, ROYSTON_SMALL_MEAN))
+                   / F.exp(polynomial(n, ROYSTON_SMALL_SD))).otherwise(float("inf"))
+    large = (gap - polynomial(size, ROYSTON_LARGE_MEAN)) / F.exp(polynomial(size, ROYSTON_LARGE_SD))
+    out = out.withColumn("score", F.when(n <= 11, small).otherwise(large))
+    three = F.greatest(F.lit(0.0), 6.0 / math.pi * (F.asin(F.sqrt(w)) - math.asin(0.75 ** 0.5)))
+    return out.withColumn("p", F.when(w.isNotNull(), F.when(n == 3, three).otherwise(normal_upper(F.col("score")))))
 
 
 def shapiro_wilk(df: DataFrame, keys: Sequence[str], y: str, ties: Sequence[str] = ()) -> DataFrame:
     """Normality statistic W and its p-value per key.
 
     Both use all rows of any group. The p-value's polynomial in log n was published
-    for up to 5000 rows and is used as it is beyond.
+    for up to 5000 rows and is used as it is beyond, where ``p_published`` is false.
     """
     r = _ranked(df, keys, y, ties)
     m = normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25))
@@ -306,15 +299,15 @@ def shapiro_wilk(df: DataFrame, keys: Sequence[str], y: str, ties: Sequence[str]
         F.max(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("m2"),
         (F.max("v") - F.min("v")).alias("end1"),
         (F.max(F.when(F.col("i") == F.col("n") - 1, F.col("v"))) - at(2)).alias("end2"))
-    s = sums.withColumn("s", _shapiro("n", "ss", "sm2", "smx", "m1", "m2", "end1", "end2"))
-    return s.select(*keys, "n", F.when(~F.isnan("s.w"), F.col("s.w")).alias("w"),
-                    F.when(~F.isnan("s.p"), F.col("s.p")).alias("p"))
+    return _shapiro(sums).select(*keys, "n", "w", "p", (F.col("n") <= PUBLISHED_ROWS).alias("p_published"))
 
 
 def display_table(table: DataFrame, ids: Sequence[str], numbers: Sequence[str], p: str = "p",
                   f: str = "f_value", digits: int = 2) -> DataFrame:
-    """Significant digits, dashes for missing tests, and marks behind the p-value."""
-    t = table.withColumn("star", stars(p))
-    t = t.withColumns({c: signif(c, digits) for c in [*numbers, f, p]})
+    """Significant digits, dashes for missing tests, and marks behind the p-value.
+
+    Marks follow the p-value as it is shown.
+    """
+    t = table.withColumns({c: signif(c, digits) for c in [*numbers, f, p]}).withColumn("star", stars(p))
     return t.select(*ids, *numbers, dash_if_null(f).alias(f),
                     unite([dash_if_null(p), "star"], " ", skip_null=True).alias(p))

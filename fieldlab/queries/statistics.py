@@ -16,6 +16,7 @@ from .joins import FIT_COLUMNS, rounded_fit
 from .local_sql import ranked_local_regression_sql
 from .mixed_sql import random_intercept_sql
 from .registry import query
+from .tail_sql import horner, normal_upper_sql, one_df_tail_ctes, range_tail_ctes, signif_sql, text_sql
 
 
 def factorial(t) -> DataFrame:
@@ -115,9 +116,18 @@ def t4(t):
                     "df", F.round("t_ratio", 6).alias("t_ratio"))
 
 
-@query("T4_adjusted_p")
+@query("T4_adjusted_p", f"""
+    WITH c AS (SELECT a || ' ' || b AS cell, n, m, ss FROM {CELLS_SQL}),
+    g AS (SELECT sum(ss)/(sum(n) - count(*)) AS mse, CAST(sum(n) - count(*) AS BIGINT) AS df, count(*) AS k FROM c),
+    pairs AS (SELECT *, estimate/std_error AS t_ratio, abs(estimate/std_error)*sqrt(2.0) AS q FROM
+      (SELECT x.cell AS cell_1, y.cell AS cell_2, x.m - y.m AS estimate, sqrt(mse*(1.0/x.n + 1.0/y.n)) AS std_error, df, k
+       FROM c x JOIN c y ON x.cell < y.cell, g)), {range_tail_ctes('pairs')}
+    SELECT cell_1, cell_2, round(estimate, 7) AS estimate, round(std_error, 8) AS std_error, df, k, round(t_ratio, 6) AS t_ratio,
+           round(p, 7) AS p_adj FROM tails""")
 def t4_p(t):
-    return anova.pairwise(factorial(t), [], ["l_returnflag", "l_linestatus"], "l_quantity")
+    p = anova.pairwise(factorial(t), [], ["l_returnflag", "l_linestatus"], "l_quantity")
+    return p.select("cell_1", "cell_2", F.round("estimate", 7).alias("estimate"), F.round("std_error", 8).alias("std_error"),
+                    "df", "k", F.round("t_ratio", 6).alias("t_ratio"), F.round("p_adj", 7).alias("p_adj"))
 
 
 @query("T5_level_means", """
@@ -127,9 +137,35 @@ def t5_means(t):
     return g.select("o_orderpriority", "n", F.round("mean", 5).alias("mean"))
 
 
-@query("T5_grouping_letters")
+def letters_sql(table: str, factor: str, model: str, y: str) -> str:
+    """All sets of a few levels without a differing pair; those that no other such set holds get the letters."""
+    return f"""
+    WITH c AS (SELECT {factor} AS f, count({y}) AS n, avg({y}) AS m, var_pop({y})*count({y}) AS ss FROM {table} GROUP BY {factor}, {model}),
+    g AS (SELECT sum(ss)/(sum(n) - count(*)) AS mse, sum(n) - count(*) AS df, count(DISTINCT f) AS k FROM c),
+    lev AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY m DESC, f) - 1 AS i FROM (SELECT f, sum(n) AS n, sum(n*m)/sum(n) AS m FROM c GROUP BY f)),
+    pairs AS (SELECT x.i AS i1, y.i AS i2, abs(x.m - y.m)/sqrt(mse/2*(1.0/x.n + 1.0/y.n)) AS q, k, CAST(df AS DOUBLE) AS df
+              FROM lev x JOIN lev y ON x.i < y.i, g), {range_tail_ctes('pairs')},
+    sets AS MATERIALIZED (SELECT z, list_filter(range(k), lambda i: (z >> i) & 1 = 1) AS members FROM
+        (SELECT k, unnest(range(1, CAST(pow(2, k) AS BIGINT))) AS z FROM g)
+        WHERE NOT EXISTS (SELECT 1 FROM tails WHERE p < 0.05 AND (z >> i1) & 1 = 1 AND (z >> i2) & 1 = 1)),
+    top AS (SELECT z, row_number() OVER (ORDER BY members) AS rank FROM sets s WHERE NOT EXISTS (SELECT 1 FROM sets o WHERE o.z <> s.z AND o.z & s.z = s.z))
+    SELECT f AS {factor}, CAST(n AS BIGINT) AS n, round(m, 5) AS mean, string_agg(chr(CAST(96 + rank AS INTEGER)), '' ORDER BY rank) AS letters
+    FROM lev JOIN top ON (z >> i) & 1 = 1 GROUP BY ALL"""
+
+
+@query("T5_grouping_letters", letters_sql("orders", "o_orderpriority", "o_orderstatus", "o_totalprice"))
 def t5(t):
-    return anova.grouping_letters(t.orders, [], "o_orderpriority", "o_totalprice", ["o_orderstatus"])
+    g = anova.grouping_letters(t.orders, [], "o_orderpriority", "o_totalprice", ["o_orderstatus"])
+    return g.withColumn("mean", F.round("mean", 5))
+
+
+@query("T5_overlapping_letters", letters_sql(
+    "(SELECT floor(l_discount*100/3 + 0.001) AS step, l_returnflag, l_extendedprice*(1 - l_discount) AS paid FROM lineitem)", "step", "l_returnflag", "paid"))
+def t5_overlap(t):
+    """Steps of the discount, next ones too near to tell apart."""
+    rows = t.lineitem.select(F.floor(F.col("l_discount") * 100 / 3 + 0.001).cast("double").alias("step"), "l_returnflag",
+                             (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
+    return anova.grouping_letters(rows, [], "step", "paid", ["l_returnflag"]).withColumn("mean", F.round("mean", 5))
 
 
 @query("T6_linear_model", """
@@ -195,13 +231,6 @@ def t8(t):
     return lv.select("df_factor", "df_residual", F.round("f_value", 6).alias("f_value"), F.round("p", 8).alias("p"))
 
 
-def horner(x: str, coefficients) -> str:
-    text = repr(float(coefficients[-1]))
-    for c in reversed(coefficients[:-1]):
-        text = f"({text} * {x} + {float(c)!r})"
-    return text
-
-
 def normal_quantile_sql(p: str) -> str:
     """The published approximation written as one SQL expression."""
     q, s = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
@@ -231,10 +260,26 @@ def t9(t):
     return s.select("event_type", "n", F.round("w", 8).alias("w"))
 
 
-@query("T9_shapiro_p")
+@query("T9_shapiro_p", f"""
+    WITH r AS (SELECT user_id, n, i, value AS v, {normal_quantile_sql('((i - 0.375) / (n + 0.25))')} AS z FROM
+        (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)),
+    s AS (SELECT user_id, max(n) AS n, var_pop(v)*count(*) AS ss, sum(z*z) AS zz, sum(z*v) AS zv, max(z) AS z1, max(z) FILTER (i = n - 1) AS z2,
+          max(v) - min(v) AS e1, max(v) FILTER (i = n - 1) - max(v) FILTER (i = 2) AS e2, 1/sqrt(max(n)) AS u FROM r GROUP BY 1),
+    a AS (SELECT *, z1/sqrt(zz) + {horner('u', anova.ROYSTON_LAST)} AS a1, z2/sqrt(zz) + {horner('u', anova.ROYSTON_SECOND)} AS a2
+          FROM s WHERE n >= 3 AND ss > 0),
+    w AS (SELECT *, least(1.0, CASE WHEN n = 3 THEN e1*e1/2 WHEN n <= 5 THEN (a1*e1 + (zv - z1*e1)/sqrt((zz - 2*z1**2)/(1 - 2*a1**2)))**2
+          ELSE (a1*e1 + a2*e2 + (zv - z1*e1 - z2*e2)/sqrt((zz - 2*z1**2 - 2*z2**2)/(1 - 2*a1**2 - 2*a2**2)))**2 END / ss) AS w FROM a),
+    y AS (SELECT *, CASE WHEN w < 1 THEN ln(1 - w) ELSE '-infinity'::DOUBLE END AS y, ln(n) AS size, {horner('n', anova.ROYSTON_GAMMA)} AS edge FROM w),
+    z AS (SELECT *, CASE WHEN n > 11 THEN (y - {horner('size', anova.ROYSTON_LARGE_MEAN)})/exp({horner('size', anova.ROYSTON_LARGE_SD)})
+          WHEN y < edge THEN (-ln(edge - y) - {horner('n', anova.ROYSTON_SMALL_MEAN)})/exp({horner('n', anova.ROYSTON_SMALL_SD)})
+          ELSE 'infinity'::DOUBLE END AS score FROM y)
+    SELECT s.user_id, s.n, round(w, 8) AS w, s.n <= {anova.PUBLISHED_ROWS} AS p_published, round(CASE WHEN s.n = 3
+        THEN greatest(0, 6/pi()*(asin(sqrt(w)) - asin(sqrt(0.75)))) ELSE {normal_upper_sql('score')} END, 9) AS p
+    FROM s LEFT JOIN z USING (user_id)""")
 def t9_p(t):
     """Small groups, where the published p-value applies."""
-    return anova.shapiro_wilk(t.events, ["user_id"], "value", ["event_id"])
+    s = anova.shapiro_wilk(t.events, ["user_id"], "value", ["event_id"])
+    return s.select("user_id", "n", F.round("w", 8).alias("w"), "p_published", F.round("p", 9).alias("p"))
 
 
 @query("T10_qq_points", f"""
@@ -286,7 +331,17 @@ def t13(t):
     return a.select("shipyear", "df_factor", stars("p").alias("star"), F.round("p", 6).alias("p"))
 
 
-@query("T13_formatted_table")
+TESTED_SQL = TWO_WAY_SQL + f""",
+    tested AS (SELECT source, df AS num, ss, ss/df AS ms, (ss/df) / (SELECT ss/df FROM tab WHERE source = 'residual') AS f,
+                      (SELECT df FROM tab WHERE source = 'residual') AS den FROM tab WHERE source <> 'residual'),
+    {one_df_tail_ctes("(SELECT source, f, den FROM tested WHERE num = 1)")},
+    ps AS (SELECT source, f, p FROM f_tails UNION ALL SELECT source, f, pow(1 + 2*f/den, -den/2) FROM tested WHERE num = 2),
+    shown AS (SELECT source, {signif_sql('df')} AS df, {signif_sql('ss')} AS ss, {signif_sql('(ss/df)')} AS ms, {signif_sql('f')} AS f, {signif_sql('p')} AS p
+              FROM tab LEFT JOIN ps USING (source))"""
+
+
+@query("T13_formatted_table", TESTED_SQL + f"""
+    SELECT source, df, ss, ms, coalesce({text_sql('f')}, '-') AS f_value, coalesce({text_sql('p')} || ' ' || ({STAR_SQL}), '-') AS p FROM shown""")
 def t13_text(t):
     w = anova.two_way(factorial(t), [], "l_returnflag", "l_linestatus", "l_quantity")
     return anova.display_table(w, ["source"], ["df", "ss", "ms"])

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlab.functions import tails
-from fieldlab.functions.normal import normal_quantile
+from fieldlab.functions.normal import normal_quantile, normal_upper
+from fieldlab.functions.studentised import range_tails
 from fieldlab.plans import anova, charts, mixed, regression
 from fieldlab.plans.local_regression import best_window, ranked_local_regression
 
@@ -182,12 +183,14 @@ def test_shapiro_known_samples(spark):
     # The weights of eleven men, W = 0.79 in the original paper.
     men = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
     df = spark.createDataFrame([("m", float(v)) for v in men] + [("u", float(v)) for v in (1, 2)]
+                               + [("one", 4.0)] + [("flat", 4.0)] * 6
                                + [("t", float(v)) for v in (1, 2, 3)], "g string, v double")
     got = {r.g: r for r in anova.shapiro_wilk(df, ["g"], "v").collect()}
     assert got["m"].w == pytest.approx(0.7888, abs=2e-4) and got["m"].p == pytest.approx(0.0067, abs=2e-4)
-    assert got["u"].w is None and got["t"].w == pytest.approx(1.0)
+    assert got["u"].w is None and got["u"].p is None and got["t"].w == pytest.approx(1.0)
     big = spark.range(6000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     r = anova.shapiro_wilk(big, ["g"], "v").first()
+    assert got["one"].w is got["flat"].w is got["flat"].p is None and got["m"].p_published and not r.p_published
     assert r.n == 6000 and 0.9 < r.w < 1 and 0 <= r.p < 0.001
 
 
@@ -233,6 +236,45 @@ def test_letters(spark):
     assert overlap == ["a", "ab", "b"]
 
 
+def test_normal_upper_column(spark):
+    z = [-9.0, -1.5, 0.0, 0.3, 2.0, 6.9, 7.2, 20.0, 36.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(normal_upper(F.col("z"))).collect()]
+    assert got == pytest.approx([0.5 * math.erfc(v / math.sqrt(2)) for v in z], rel=1e-8, abs=0)
+
+
+def test_range_tails_relation(spark):
+    rows = [(q, k, float(v)) for q in (0.05, 2.0, 3.8, 9.0, 30.0) for k in (2, 5, 40, 500) for v in (1, 2, 7, 40, 60000)]
+    odd = [(None, 3, 5.0), (0.0, 3, 5.0), (2.0, 3, 0.0), (float("nan"), 3, 5.0), (2.0, 3, 7.0), (2.0, 3, 7.0)]
+    got = range_tails(spark.createDataFrame(rows + odd, "q double, k int, v double"), "q", "k", "v").collect()
+    assert len(got) == len(rows + odd)
+    for r in got:
+        if r.q == 0.0:
+            assert r.p == 1.0
+        elif r.q is None or math.isnan(r.q) or r.v == 0.0:
+            assert r.p is None
+        else:
+            assert r.p == pytest.approx(tails.tukey_sf(r.q, r.k, r.v)[0], rel=1e-7, abs=1e-9), r
+    assert tails.tukey_sf(tails.tukey_point(0.05, 7, 30), 7, 30)[0] == pytest.approx(0.05, rel=1e-10)
+
+
+def test_letters_are_the_largest_sets_without_a_difference():
+    rng = np.random.default_rng(8)
+    for k in (1, 2, 5, 8):
+        for share in (0.1, 0.5, 0.9):
+            different = np.triu(rng.random((k, k)) < share, 1)
+            free = [z for z in range(1, 2 ** k) if not any(different[i, j] and z >> i & z >> j & 1 for i in range(k) for j in range(i + 1, k))]
+            top = [z for z in free if not any(o != z and o & z == z for o in free)]
+            order = sorted(top, key=lambda z: [i for i in range(k) if z >> i & 1])
+            want = ["".join(chr(97 + n) if n < 26 else chr(39 + n) for n, z in enumerate(order) if z >> i & 1) for i in range(k)]
+            assert anova._letters(list(range(k)), different) == want
+
+
+def test_letters_of_many_levels(spark):
+    rows = spark.range(500 * 6).select((F.col("id") % 500).alias("f"), ((F.col("id") % 500) * 0.02 + (F.col("id") / 500).cast("int") % 3).alias("y"))
+    got = anova.grouping_letters(rows, [], "f", "y").orderBy(F.desc("mean")).collect()
+    assert len(got) == 500 and got[0].letters.startswith("a") and not set(got[0].letters) & set(got[-1].letters)
+
+
 def test_display_table(data):
     df, _ = data
     t = {r.source: r for r in anova.display_table(anova.two_way(df, [], "a", "b", "y"), ["source"], ["df", "ss", "ms"]).collect()}
