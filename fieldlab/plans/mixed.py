@@ -2,25 +2,35 @@
 
 The rows are summed per cluster, and clusters of one size are summed again: the
 covariance of a cluster depends on its size only, so the likelihood at any
-variance ratio is a sum over the few sizes that occur.
+variance ratio is a sum over the few sizes that occur. All keys are fitted at
+once: grids of ratios are crossed with the size classes, the sums decide which
+part of the grid is cut finer, and so on.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tails import f_sf
 from ..operators.joins import attach
+from ..session import settle
+from .regression import p_of_f
+
+# First grid of the variance ratio: powers of ten and points between them.
+LOWEST, HIGHEST, STEPS = -8, 8, 160
+# Each further level cuts a bracket into so many parts; a secant ends the last one.
+CUTS, LEVELS = 64, 2
+# Relative step of the numeric derivatives.
+STEP = 1e-3
 
 
 def size_classes(df: DataFrame, keys: Sequence[str], cluster: Sequence[str], x: str, y: str) -> DataFrame:
     """One row per (key, cluster size) with all sums the likelihood needs."""
-    used = df.select(*keys, *cluster, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    used = df.select(*keys, *cluster, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    used = used.dropna(subset=[*cluster, "x", "y"])
     c = used.groupBy(*keys, *cluster).agg(
         F.count(F.lit(1)).alias("size"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
         (F.var_pop("x") * F.count("x")).alias("ssx"), (F.var_pop("y") * F.count("y")).alias("ssy"),
@@ -39,128 +49,121 @@ def size_classes(df: DataFrame, keys: Sequence[str], cluster: Sequence[str], x:
         F.sum(F.col("sy") * F.col("sy")).alias("sysy"))
 
 
-class _Reml:
-    """Likelihood of one key over its size classes."""
-
-    def __init__(self, g: pd.DataFrame):
-        self.g = {c: g[c].to_numpy(float) for c in
-                  ("size", "m", "sx", "sy", "xx", "xy", "yy", "sxsx", "sxsy", "sysy")}
-        self.rows = float(np.sum(self.g["size"] * self.g["m"]))
-
-    def parts(self, theta: float):
-        g = self.g
-        c = theta / (1.0 + theta * g["size"])
-        u = 1.0 - c * g["size"]
-        a00, a01 = np.sum(g["m"] * g["size"] * u), np.sum(g["sx"] * u)
-        a11 = np.sum(g["xx"] - c * g["sxsx"])
-        b0, b1 = np.sum(g["sy"] * u), np.sum(g["xy"] - c * g["sxsy"])
-        det = a00 * a11 - a01 * a01
-        slope = (a00 * b1 - a01 * b0) / det
-        level = (a11 * b0 - a01 * b1) / det
-        q = np.sum(g["yy"] - c * g["sysy"]) - level * b0 - slope * b1
-        log_det = np.sum(g["m"] * np.log1p(theta * g["size"])) + np.log(det)
-        return slope, a00 / det, q, log_det
-
-    def profile(self, theta: float) -> float:
-        _, _, q, log_det = self.parts(theta)
-        free = self.rows - 2.0
-        return free * np.log(max(q, 1e-300) / free) + log_det
-
-    def gradient(self, theta: float) -> float:
-        """Derivative of the profile; its root is sharper than the flat minimum."""
-        g = self.g
-        _, _, q, _ = self.parts(theta)
-        down = 1.0 / (1.0 + theta * g["size"]) ** 2
-        c = theta / (1.0 + theta * g["size"])
-        u = 1.0 - c * g["size"]
-        a = np.array([[np.sum(g["m"] * g["size"] * u), np.sum(g["sx"] * u)],
-                      [np.sum(g["sx"] * u), np.sum(g["xx"] - c * g["sxsx"])]])
-        da = -np.array([[np.sum(g["m"] * g["size"] ** 2 * down), np.sum(g["sx"] * g["size"] * down)],
-                        [np.sum(g["sx"] * g["size"] * down), np.sum(g["sxsx"] * down)]])
-        db = -np.array([np.sum(g["sy"] * g["size"] * down), np.sum(g["sxsy"] * down)])
-        beta = np.linalg.solve(a, [np.sum(g["sy"] * u), np.sum(g["xy"] - c * g["sxsy"])])
-        dq = -np.sum(g["sysy"] * down) - 2.0 * beta @ db + beta @ da @ beta
-        return float((self.rows - 2.0) * dq / q + np.sum(g["m"] * g["size"] / (1.0 + theta * g["size"]))
-                     + np.trace(np.linalg.solve(a, da)))
-
-    def deviance(self, tau: float, sigma: float) -> float:
-        _, _, q, log_det = self.parts(tau * tau)
-        return 2.0 * (self.rows - 2.0) * np.log(sigma) + log_det + q / sigma ** 2
-
-    def slope_variance(self, tau: float, sigma: float) -> float:
-        return sigma ** 2 * self.parts(tau * tau)[1]
-
-    def ratio(self) -> float:
-        """Variance ratio with the smallest criterion: grid, then the gradient's root."""
-        grid = np.concatenate([[0.0], np.logspace(-8, 8, 161)])
-        best = int(np.argmin([self.profile(t) for t in grid]))
-        if best == 0:
-            return 0.0
-        lo, hi = np.log(grid[max(best - 1, 1)]), np.log(grid[min(best + 1, len(grid) - 1)])
-        for _ in range(80):
-            middle = 0.5 * (lo + hi)
-            if self.gradient(np.exp(middle)) < 0.0:
-                lo = middle
-            else:
-                hi = middle
-        theta = float(np.exp(0.5 * (lo + hi)))
-        return theta if self.profile(theta) < self.profile(0.0) - 1e-10 else 0.0
-
-    def denominator_df(self, tau: float, sigma: float) -> float:
-        """Satterthwaite degrees of freedom of the slope."""
-        if tau == 0.0:
-            return self.rows - 2.0
-        at, h = np.array([tau, sigma]), np.array([tau, sigma]) * 1e-3
-
-        def second(i, j):
-            def f(si, sj):
-                v = at.copy()
-                v[i] += si * h[i]
-                v[j] += sj * h[j]
-                return self.deviance(*v)
-            if i == j:
-                return (f(1, 0) - 2.0 * f(0, 0) + f(-1, 0)) / h[i] ** 2
-            return (f(1, 1) - f(1, -1) - f(-1, 1) + f(-1, -1)) / (4.0 * h[i] * h[j])
-
-        hess = np.array([[second(0, 0), second(0, 1)], [second(0, 1), second(1, 1)]])
-        grad = np.empty(2)
-        for i in range(2):
-            up, down = at.copy(), at.copy()
-            up[i] += h[i]
-            down[i] -= h[i]
-            grad[i] = (self.slope_variance(*up) - self.slope_variance(*down)) / (2.0 * h[i])
-        values, vectors = np.linalg.eigh(hess)
-        good = values > 1e-8 * max(values.max(), 1e-300)
-        spread = 2.0 * np.sum((vectors[:, good].T @ grad) ** 2 / values[good])
-        return 2.0 * self.slope_variance(tau, sigma) ** 2 / spread
+def _fits(points: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """One row per key and point: the fit at the ratio ``theta``, summed over the size classes."""
+    n, m, theta = F.col("size"), F.col("m"), F.col("theta")
+    rest = 1.0 / (1.0 + theta * n)
+    c, down = theta * rest, rest * rest
+    s = points.groupBy("_key", "at").agg(
+        F.max("theta").alias("theta"), *[F.max(x).alias(x) for x in carried],
+        F.sum(m * n).alias("rows"), F.sum(m * n * rest).alias("a00"), F.sum(F.col("sx") * rest).alias("a01"),
+        F.sum(F.col("xx") - c * F.col("sxsx")).alias("a11"), F.sum(F.col("sy") * rest).alias("b0"),
+        F.sum(F.col("xy") - c * F.col("sxsy")).alias("b1"), F.sum(F.col("yy") - c * F.col("sysy")).alias("c0"),
+        F.sum(m * F.log1p(theta * n)).alias("log_v"),
+        F.sum(-m * n * n * down).alias("d00"), F.sum(-F.col("sx") * n * down).alias("d01"),
+        F.sum(-F.col("sxsx") * down).alias("d11"), F.sum(-F.col("sy") * n * down).alias("e0"),
+        F.sum(-F.col("sxsy") * down).alias("e1"), F.sum(-F.col("sysy") * down).alias("g0"),
+        F.sum(m * n * rest).alias("d_log_v"))
+    s = s.withColumn("det", F.col("a00") * F.col("a11") - F.col("a01") * F.col("a01"))
+    s = s.withColumns({"slope": F.try_divide(F.col("a00") * F.col("b1") - F.col("a01") * F.col("b0"), "det"),
+                       "level": F.try_divide(F.col("a11") * F.col("b0") - F.col("a01") * F.col("b1"), "det"),
+                       "unit": F.try_divide("a00", "det")})
+    s = s.withColumns({"q": F.col("c0") - F.col("level") * F.col("b0") - F.col("slope") * F.col("b1"),
+                       "log_det": F.col("log_v") + F.log("det")})
+    free = F.col("rows") - 2.0
+    dq = (F.col("g0") - 2.0 * (F.col("level") * F.col("e0") + F.col("slope") * F.col("e1"))
+          + F.col("level") * F.col("level") * F.col("d00") + 2.0 * F.col("level") * F.col("slope") * F.col("d01")
+          + F.col("slope") * F.col("slope") * F.col("d11"))
+    trace = F.try_divide(F.col("a11") * F.col("d00") - 2.0 * F.col("a01") * F.col("d01") + F.col("a00") * F.col("d11"), "det")
+    return s.withColumns({
+        "profile": free * F.log(F.try_divide(F.greatest("q", F.lit(1e-300)), free)) + F.col("log_det"),
+        # The root of the derivative is sharper than the flat minimum.
+        "gradient": F.try_divide(free * dq, "q") + F.col("d_log_v") + trace}).select(
+        "_key", "at", "theta", *carried, "rows", "slope", "unit", "q", "log_det", "profile", "gradient")
+
+
+def _ratios(classes: DataFrame) -> DataFrame:
+    """Per key: the log of the best positive ratio, ``best`` (0: none on the grid), and the criterion at 0."""
+    power = LOWEST + (HIGHEST - LOWEST) * (F.col("at") - 1) / float(STEPS)
+    grid = classes.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(STEPS + 1)))).withColumn(
+        "theta", F.when(F.col("at") == 0, 0.0).otherwise(F.pow(F.lit(10.0), power)))
+    width = math.log(10.0) * (HIGHEST - LOWEST) / STEPS
+    bottom = math.log(10.0) * LOWEST
+
+    def at_point(point: Column) -> Column:
+        return bottom + width * (point - 1)
+    found = _fits(grid).groupBy("_key").agg(F.coalesce(F.min_by("at", "profile"), F.lit(0)).alias("best"))
+    found = found.withColumns({"low": at_point(F.greatest(F.col("best") - 1, F.lit(1))),
+                               "high": at_point(F.least(F.col("best") + 1, F.lit(STEPS + 1)))})
+    part = (F.col("high") - F.col("low")) / CUTS
+    for _ in range(LEVELS):
+        points = classes.join(found, "_key").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(CUTS)))).withColumn(
+            "theta", F.exp(F.col("low") + part * F.col("at")))
+        place = F.struct("at", "gradient")
+        found = _fits(points, ["best", "low", "high"]).groupBy("_key").agg(
+            F.min(F.when(F.col("gradient") >= 0, place)).alias("after"), F.max(F.when(F.col("gradient") < 0, place)).alias("before"),
+            *[F.max(x).alias(x) for x in ("best", "low", "high")])
+        # The bracket ends at the first point past the root; with none past it, at the upper end.
+        stop = F.coalesce(F.col("after.at"), F.lit(CUTS))
+        crossed = F.coalesce(F.col("before.at") == F.col("after.at") - 1, F.lit(False))
+        share = F.when(crossed, F.try_divide("before.gradient", F.col("before.gradient") - F.col("after.gradient"))).otherwise(1.0)
+        start = F.greatest(stop - 1, F.lit(0))
+        found = found.select("_key", "best", (F.col("low") + part * start).alias("low"), (F.col("low") + part * stop).alias("high"),
+                             (F.col("low") + part * (start + share * (stop - start))).alias("root"))
+    return found.select("_key", "best", F.exp("root").alias("found"))
+
+
+def _denominator_df() -> Column:
+    """Satterthwaite degrees of freedom of the slope, from the fits just below, at and above the ratio."""
+    s2, h = F.col("s2"), STEP * F.sqrt("found")
+    hss = 4.0 * (F.col("rows") - 2.0) / s2
+    hts = -(F.col("q_3") - F.col("q_1")) / h / F.pow(s2, F.lit(1.5))
+    htt = (F.col("log_det_3") - 2.0 * F.col("log_det_2") + F.col("log_det_1")
+           + (F.col("q_3") - 2.0 * F.col("q_2") + F.col("q_1")) / s2) / (h * h)
+    gt = s2 * (F.col("unit_3") - F.col("unit_1")) / (2.0 * h)
+    gs = 2.0 * F.sqrt(s2) * F.col("unit_2")
+    det = htt * hss - hts * hts
+    # A criterion flat in the ratio says nothing of it: the residual part is left.
+    spread = F.when(det > 1e-8 * F.abs(htt * hss), (gt * gt * hss - 2.0 * gt * gs * hts + gs * gs * htt) / det).otherwise(gs * gs / hss)
+    return F.try_divide(F.pow(s2 * F.col("unit_2"), F.lit(2.0)), spread)
 
 
 def random_intercept(df: DataFrame, keys: Sequence[str], cluster: Sequence[str], x: str, y: str) -> DataFrame:
-    """Test of the slope of x with a random intercept per cluster.
+    """Test of the slope of x with a random intercept per cluster, all keys in one job.
 
     One row per key: estimate, variance ratio, residual variance, SS, MS, both
-    degrees of freedom (Satterthwaite), F and p.
+    degrees of freedom (Satterthwaite), F, p, and ``at_limit``: the ratio lies at
+    the end of the searched range. A key whose x does not vary, or with two rows
+    or fewer, has NULL for all that can't be estimated.
     """
     keys = list(keys)
     by = keys or ["_k"]
     sums = size_classes(df if keys else df.withColumn("_k", F.lit(1)), by, cluster, x, y)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = _Reml(pdf)
-        theta = model.ratio()
-        slope, unit_var, q, _ = model.parts(theta)
-        s2 = q / (model.rows - 2.0)
-        f = slope ** 2 / (s2 * unit_var)
-        den = model.denominator_df(np.sqrt(theta), np.sqrt(s2))
-        out = pd.DataFrame({"estimate": [slope], "ratio": [theta], "residual_variance": [s2],
-                            "ss": [f * s2], "ms": [f * s2], "num_df": [1.0], "den_df": [den],
-                            "f_value": [f], "p": [float(f_sf(f, 1.0, den))]})
-        for k in by[::-1]:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema.fields if f.name in by)
-    numbers = "estimate double, ratio double, residual_variance double, ss double, ms double, " \
-              "num_df double, den_df double, f_value double, p double"
-    out = sums.groupBy(*by).applyInPandas(fit, f"{types}, {numbers}")
-    return out if keys else out.drop("_k")
+    # A struct of keys equals itself even where a key is NULL.
+    classes = settle(sums.select(F.struct(*by).alias("_key"), *[c for c in sums.columns if c not in by]))
+    found = _ratios(classes)
+    tau = F.sqrt("found") * (1.0 + STEP * (F.col("at") - 2))
+    points = classes.join(found, "_key").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
+        "theta", F.when(F.col("at") == 0, 0.0).otherwise(tau * tau))
+    fits = _fits(points, ["best", "found"])
+    wide = fits.groupBy("_key").agg(
+        *[F.max(c).alias(c) for c in ("best", "found", "rows")],
+        *[F.max(F.when(F.col("at") == i, F.col(c))).alias(f"{c}_{i}")
+          for i in range(4) for c in ("slope", "unit", "q", "log_det", "profile")])
+    positive = F.coalesce((F.col("best") > 0) & (F.col("profile_2") < F.col("profile_0") - 1e-10), F.lit(False))
+
+    def chosen(c: str) -> Column:
+        return F.when(F.col("positive"), F.col(f"{c}_2")).otherwise(F.col(f"{c}_0"))
+    wide = wide.withColumn("positive", positive)
+    wide = wide.withColumns({"estimate": chosen("slope"), "unit": chosen("unit"),
+                             "s2": F.when(F.col("rows") > 2, F.try_divide(chosen("q"), F.col("rows") - 2.0))})
+    wide = wide.withColumns({"f": F.try_divide(F.col("estimate") * F.col("estimate"), F.col("s2") * F.col("unit")),
+                             "den": F.when(F.col("positive"), _denominator_df()).otherwise(F.col("rows") - 2.0)})
+    ss = F.col("f") * F.col("s2")
+    out = wide.select(
+        *[F.col("_key").getField(k).alias(k) for k in keys], "estimate",
+        F.when(F.col("positive"), F.col("found")).otherwise(0.0).alias("ratio"), F.col("s2").alias("residual_variance"),
+        ss.alias("ss"), ss.alias("ms"), F.lit(1.0).alias("num_df"), F.col("den").cast("double").alias("den_df"),
+        F.col("f").alias("f_value"), p_of_f("f", F.lit(1.0), F.col("den").cast("double")).alias("p"),
+        (F.col("positive") & (F.col("best") == STEPS + 1)).alias("at_limit"))
+    return out.withColumn("p", F.when(~F.isnan("p"), F.col("p")))

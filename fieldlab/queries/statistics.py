@@ -14,7 +14,7 @@ from ..operators.ordered import every_kth
 from ..functions import normal
 from .joins import FIT_COLUMNS, rounded_fit
 from .local_sql import ranked_local_regression_sql
-from .mixed_sql import random_intercept_sql
+from .mixed_sql import random_intercept_sql, random_intercept_test_sql
 from .registry import query
 from .tail_sql import horner, normal_upper_sql, one_df_tail_ctes, range_tail_ctes, signif_sql, text_sql
 
@@ -201,23 +201,50 @@ def t7_sizes(t):
         F.round(F.col("sx") + at * F.col("cx"), 2).alias("marked"))
 
 
-@query("T7_reml_fit", """
-    SELECT k AS l_linestatus, round(theta, 5) AS ratio, round(slope, 5) AS estimate, round(s2, 2) AS residual_variance,
-           round(f_value, 5) AS f_value FROM (""" + random_intercept_sql("""
+ORDER_ROWS_SQL = """
     (SELECT l_linestatus AS k, l_orderkey AS g, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x, l_quantity AS y
-     FROM lineitem)""") + ")")
-def t7_fit(t):
-    fit = t7(t)
-    return fit.select("l_linestatus", F.round("ratio", 5).alias("ratio"), F.round("estimate", 5).alias("estimate"),
-                      F.round("residual_variance", 2).alias("residual_variance"), F.round("f_value", 5).alias("f_value"))
+     FROM lineitem)"""
 
 
-@query("T7_random_intercept")
-def t7(t):
+def order_fit(t) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", (F.col("l_returnflag") == "R").cast("double").alias("x"), "l_quantity", "l_linestatus")
     return mixed.random_intercept(rows, ["l_linestatus"], ["l_orderkey"], "x", "l_quantity")
 
 
+@query("T7_reml_fit", f"""
+    SELECT k AS l_linestatus, round(theta, 5) AS ratio, round(slope, 5) AS estimate, round(s2, 2) AS residual_variance,
+           round(f_value, 5) AS f_value FROM ({random_intercept_sql(ORDER_ROWS_SQL)})""")
+def t7_fit(t):
+    return order_fit(t).select("l_linestatus", F.round("ratio", 5).alias("ratio"), F.round("estimate", 5).alias("estimate"),
+                               F.round("residual_variance", 2).alias("residual_variance"), F.round("f_value", 5).alias("f_value"))
+
+
+@query("T7_random_intercept", f"""
+    SELECT k AS l_linestatus, round(slope, 5) AS estimate, round(theta, 5) AS ratio, round(s2, 2) AS residual_variance,
+           round(f*s2, 2) AS ss, round(f*s2, 2) AS ms, 1.0::DOUBLE AS num_df, round(den, 1) AS den_df, round(f, 5) AS f_value,
+           round(p, 6) AS p, false AS at_limit FROM ({random_intercept_test_sql(ORDER_ROWS_SQL)})""")
+def t7(t):
+    places = {"estimate": 5, "ratio": 5, "residual_variance": 2, "ss": 2, "ms": 2, "den_df": 1, "f_value": 5, "p": 6}
+    return order_fit(t).withColumns({c: F.round(c, d) for c, d in places.items()})
+
+
+# Series of many keys: parts sold within orders of a supplier's line of goods.
+SUPPLIER_ROWS_SQL = """
+    (SELECT l_suppkey AS k, l_partkey AS g, CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x,
+            l_quantity + l_partkey % 11 AS y FROM lineitem)"""
+
+
+@query("T7_many_keys", f"""
+    SELECT k AS l_suppkey, round(slope, 4) AS estimate, round(theta, 4) AS ratio, round(den, 1) AS den_df, round(p, 5) AS p
+    FROM ({random_intercept_test_sql(SUPPLIER_ROWS_SQL)})""")
+def t7_many(t):
+    rows = t.lineitem.select("l_suppkey", "l_partkey", (F.col("l_linestatus") == "F").cast("double").alias("x"),
+                             (F.col("l_quantity") + F.col("l_partkey") % 11).alias("y"))
+    fit = mixed.random_intercept(rows, ["l_suppkey"], ["l_partkey"], "x", "y")
+    return fit.select("l_suppkey", F.round("estimate", 4).alias("estimate"), F.round("ratio", 4).alias("ratio"),
+                      F.round("den_df", 1).alias("den_df"), F.round("p", 5).alias("p"))
+
+
 LEVENE_CELLS = """(SELECT l_returnflag, count(*) AS n, avg(d) AS m, var_pop(d)*count(*) AS ss FROM
     (SELECT l_returnflag, abs(l_extendedprice - med) AS d FROM lineitem JOIN
       (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS med FROM lineitem GROUP BY 1) USING (l_returnflag)) GROUP BY 1)"""

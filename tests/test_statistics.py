@@ -6,6 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
+from reml import Reml
 from pyspark.sql import functions as F
 
 from fieldlab.functions import tails
@@ -155,7 +156,7 @@ def test_mixed_likelihood_against_the_dense_form(spark):
     x = rng.integers(0, 2, 40).astype(float)
     y = x + rng.normal(size=10)[pair] + rng.normal(size=40)
     sums = mixed.size_classes(spark.createDataFrame(pd.DataFrame({"k": 1, "pair": pair, "x": x, "y": y})), ["k"], ["pair"], "x", "y")
-    model = mixed._Reml(sums.toPandas())
+    model = Reml(sums.toPandas())
     theta = 0.7
     v = np.eye(40) + theta * (pair[:, None] == pair[None, :])
     d = np.column_stack([np.ones(40), x - x.mean()])
@@ -171,6 +172,37 @@ def test_mixed_likelihood_against_the_dense_form(spark):
     assert model.gradient(theta) == pytest.approx((model.profile(theta + h) - model.profile(theta - h)) / (2 * h), rel=1e-6)
 
 
+def test_all_keys_at_once_as_one_by_one(spark):
+    """Weak, strong and no clusters, a null key, unequal sizes, and keys that can't be fitted."""
+    rng = np.random.default_rng(21)
+    parts = []
+    for n, (key, spread) in enumerate([("none", 0.0), ("weak", 0.4), ("strong", 5.0), (None, 1.0), ("huge", 1e7)]):
+        pair = rng.integers(0, 8 + 3 * n, 60)
+        x = rng.integers(0, 2, 60).astype(float)
+        parts.append(pd.DataFrame({"k": key, "pair": pair, "x": x, "y": 0.5 * x + spread * rng.normal(size=40)[pair] + rng.normal(size=60)}))
+    flat = pd.DataFrame({"k": "flat", "pair": [0, 0, 1], "x": 1.0, "y": [1.0, 2.0, 4.0]})
+    few = pd.DataFrame({"k": "few", "pair": [0, 1], "x": [0.0, 1.0], "y": [1.0, 2.0]})
+    df = spark.createDataFrame(pd.concat([*parts, flat, few]), "k string, pair long, x double, y double")
+    got = {r.k: r for r in mixed.random_intercept(df, ["k"], ["pair"], "x", "y").collect()}
+    sums = mixed.size_classes(df, ["k"], ["pair"], "x", "y").toPandas()
+    assert set(got) == {"none", "weak", "strong", None, "huge", "flat", "few"}
+    for part in parts:
+        key = part.k.iloc[0]
+        model = Reml(sums[sums.k.isna()] if key is None else sums[sums.k == key])
+        theta, r = model.ratio(), got[key]
+        slope, unit, q, _ = model.parts(theta)
+        s2 = q / 58.0
+        assert r.ratio == pytest.approx(theta, rel=1e-6, abs=1e-12) and r.estimate == pytest.approx(slope, rel=1e-6)
+        assert r.f_value == pytest.approx(slope ** 2 / (s2 * unit), rel=1e-5)
+        if key != "huge":
+            assert r.den_df == pytest.approx(model.denominator_df(math.sqrt(theta), math.sqrt(s2)), rel=1e-4)
+            assert r.p == pytest.approx(float(tails.f_sf(r.f_value, 1.0, r.den_df)), rel=1e-6)
+    assert [k for k, r in got.items() if r.at_limit] == ["huge"] and got["strong"].ratio > got["weak"].ratio
+    assert got["flat"].estimate is None and got["flat"].p is None and got["few"].residual_variance is None
+    empty = mixed.random_intercept(df.limit(0), [], ["pair"], "x", "y")
+    assert empty.columns[:2] == ["estimate", "ratio"] and empty.count() == 0
+
+
 def test_levene_uses_medians(spark, data):
     df, p = data
     away = p.assign(d=(p.y - p.groupby("a").y.transform("median")).abs())
