@@ -1,6 +1,6 @@
 """Registered queries: each runs an operator over whole tables and states its SQL."""
 
-from . import aggregates, biology, charts, joins, loggers, statistics, tables, windows  # noqa: F401
+from . import aggregates, biology, chains, charts, joins, loggers, statistics, tables, windows  # noqa: F401
 from .registry import REGISTRY
 
 
