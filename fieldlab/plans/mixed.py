@@ -51,35 +51,25 @@ def size_classes(df: DataFrame, keys: Sequence[str], cluster: Sequence[str], x:
 
 def _fits(points: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """One row per key and point: the fit at the ratio ``theta``, summed over the size classes."""
-    n, m, theta = F.col("size"), F.col("m"), F.col("theta")
-    rest = 1.0 / (1.0 + theta * n)
-    c, down = theta * rest, rest * rest
+    # Written as SQL text: one call each, where columns built by operators take thousands of calls to the JVM.
+    rest, down = "(1 / (1 + theta * size))", "pow(1 + theta * size, -2)"
     s = points.groupBy("_key", "at").agg(
-        F.max("theta").alias("theta"), *[F.max(x).alias(x) for x in carried],
-        F.sum(m * n).alias("rows"), F.sum(m * n * rest).alias("a00"), F.sum(F.col("sx") * rest).alias("a01"),
-        F.sum(F.col("xx") - c * F.col("sxsx")).alias("a11"), F.sum(F.col("sy") * rest).alias("b0"),
-        F.sum(F.col("xy") - c * F.col("sxsy")).alias("b1"), F.sum(F.col("yy") - c * F.col("sysy")).alias("c0"),
-        F.sum(m * F.log1p(theta * n)).alias("log_v"),
-        F.sum(-m * n * n * down).alias("d00"), F.sum(-F.col("sx") * n * down).alias("d01"),
-        F.sum(-F.col("sxsx") * down).alias("d11"), F.sum(-F.col("sy") * n * down).alias("e0"),
-        F.sum(-F.col("sxsy") * down).alias("e1"), F.sum(-F.col("sysy") * down).alias("g0"),
-        F.sum(m * n * rest).alias("d_log_v"))
-    s = s.withColumn("det", F.col("a00") * F.col("a11") - F.col("a01") * F.col("a01"))
-    s = s.withColumns({"slope": F.try_divide(F.col("a00") * F.col("b1") - F.col("a01") * F.col("b0"), "det"),
-                       "level": F.try_divide(F.col("a11") * F.col("b0") - F.col("a01") * F.col("b1"), "det"),
-                       "unit": F.try_divide("a00", "det")})
-    s = s.withColumns({"q": F.col("c0") - F.col("level") * F.col("b0") - F.col("slope") * F.col("b1"),
-                       "log_det": F.col("log_v") + F.log("det")})
-    free = F.col("rows") - 2.0
-    dq = (F.col("g0") - 2.0 * (F.col("level") * F.col("e0") + F.col("slope") * F.col("e1"))
-          + F.col("level") * F.col("level") * F.col("d00") + 2.0 * F.col("level") * F.col("slope") * F.col("d01")
-          + F.col("slope") * F.col("slope") * F.col("d11"))
-    trace = F.try_divide(F.col("a11") * F.col("d00") - 2.0 * F.col("a01") * F.col("d01") + F.col("a00") * F.col("d11"), "det")
-    return s.withColumns({
-        "profile": free * F.log(F.try_divide(F.greatest("q", F.lit(1e-300)), free)) + F.col("log_det"),
-        # The root of the derivative is sharper than the flat minimum.
-        "gradient": F.try_divide(free * dq, "q") + F.col("d_log_v") + trace}).select(
-        "_key", "at", "theta", *carried, "rows", "slope", "unit", "q", "log_det", "profile", "gradient")
+        F.max("theta").alias("theta"), *[F.max(x).alias(x) for x in carried], *[F.expr(x) for x in (
+            "sum(m * size) AS rows", f"sum(m * size * {rest}) AS a00", f"sum(sx * {rest}) AS a01", f"sum(xx - theta * {rest} * sxsx) AS a11",
+            f"sum(sy * {rest}) AS b0", f"sum(xy - theta * {rest} * sxsy) AS b1", f"sum(yy - theta * {rest} * sysy) AS c0",
+            "sum(m * log1p(theta * size)) AS log_v", f"-sum(m * size * size * {down}) AS d00", f"-sum(sx * size * {down}) AS d01",
+            f"-sum(sxsx * {down}) AS d11", f"-sum(sy * size * {down}) AS e0", f"-sum(sxsy * {down}) AS e1", f"-sum(sysy * {down}) AS g0")])
+    s = s.selectExpr("*", "a00 * a11 - a01 * a01 AS det")
+    s = s.selectExpr("*", "try_divide(a00 * b1 - a01 * b0, det) AS slope", "try_divide(a11 * b0 - a01 * b1, det) AS level",
+                     "try_divide(a00, det) AS unit", "log_v + ln(det) AS log_det",
+                     # The derivative of log_v is the sum of a00's weights.
+                     "a00 + try_divide(a11 * d00 - 2 * a01 * d01 + a00 * d11, det) AS d_log_det")
+    s = s.selectExpr("*", "c0 - level * b0 - slope * b1 AS q",
+                     "g0 - 2 * (level * e0 + slope * e1) + level * level * d00 + 2 * level * slope * d01 + slope * slope * d11 AS dq")
+    # The root of the derivative is sharper than the flat minimum.
+    return s.selectExpr("_key", "at", "theta", *carried, "rows", "slope", "unit", "q", "log_det",
+                        "(rows - 2) * ln(try_divide(greatest(q, 1e-300D), rows - 2)) + log_det AS profile",
+                        "try_divide((rows - 2) * dq, q) + d_log_det AS gradient")
 
 
 def _ratios(classes: DataFrame) -> DataFrame:
