@@ -29,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from .common import ordered_id, store
 
 LEAST_WORDS = 25
 WINDOW = 7
-CHUNK = 1 << 21  # characters cut at once, or one longer text
+CHUNK = 1 << 18  # characters cut at once, or one longer text; bounds what a worker holds beside its batch
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TERMINATORS = ".!?\n"
 
@@ -62,15 +63,21 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
     return kinds, _mix(lower + np.uint64(1))
 
 
-@cache
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
+def _new_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (base, pow(base, -1, 2 ** 64)))
 
 
+_kept_powers = cache(_new_powers)
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64, n or more; those for a text beyond ``CHUNK`` are not kept."""
+    return _kept_powers(base, 2 * CHUNK) if n <= 2 * CHUNK else _new_powers(base, n)
+
+
 def _stretches(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int) -> np.ndarray:
     """Hash of each stretch of values, wherever it stands."""
-    up, down = _powers(base, 1 << max(10, int(len(values)).bit_length()))
+    up, down = _powers(base, len(values))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:len(values)])])
     return _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
 
@@ -119,8 +126,8 @@ class Cut:
         sentence = np.append(self.breaks, True)[stop]  # pieces that end a sentence
         back = np.flatnonzero(sentence & (stop - least_words >= words_upto[self.text[begin]]))
         since = np.searchsorted(self.at, stop[back] - least_words, "right") - 1
-        runs = np.unique(np.stack([np.append(on, since), np.append(to, back + 1)], axis=1), axis=0)
-        self.start, self.stop = runs[:, 0], runs[:, 1]
+        runs = np.unique(np.append(on, since) * len(self.at) + np.append(to, back + 1))  # by start, then stop
+        self.start, self.stop = runs // len(self.at), runs % len(self.at)
         self.runs_upto = np.searchsorted(self.text[begin[self.start]], np.arange(len(texts) + 1))
         second = _mix(words ^ np.uint64(_BASES[1]))
         a, b = self.at[self.start], self.at[self.stop]
@@ -139,15 +146,16 @@ class Cut:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Texts become Python strings one cut at a time."""
     for batch in batches:
-        texts, a, held = batch.column("text").to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > CHUNK:
-                yield batch.slice(a, i - a), texts[a:i]
+        a, held = 0, 0
+        for i, n in enumerate(pc.utf8_length(batch.column("text")).to_pylist()):
+            if held and held + n > CHUNK:
+                yield (part := batch.slice(a, i - a)), part.column("text").to_pylist()
                 a, held = i, 0
-            held += len(t) + 1
-        if a < len(texts):
-            yield batch.slice(a), texts[a:]
+            held += n + 1
+        if a < batch.num_rows:
+            yield (part := batch.slice(a)), part.column("text").to_pylist()
 
 
 def _runs(least_words: int, window: int):

@@ -3,11 +3,12 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute as B
-from fieldlab.llm import near_dedup, packing, phrase_dedup, secret_scan, warc
+from fieldlab.llm import near_dedup, packing, phrase_dedup, secret_scan, substring_dedup, warc
 from fieldlab.llm import personal_data as pii
 from fieldlab.llm.decontaminate import find_benchmark
 from fieldlab.llm.line_dedup import dedup_lines
@@ -181,6 +182,36 @@ def test_long_sentences(spark):
     assert got[8].kept_text.startswith(say("n", 80)) and len(got[8].kept_text.split()) < 80 + 15
 
 
+def test_cutting_a_batch_holds_little_memory():
+    """A worker that cuts 4 MB of texts, one of them long, holds less than 100 MB, keeps little, and finds each text's own runs."""
+    import tracemalloc
+    pick = random.Random(5)
+    say = lambda n: " ".join(f"{pick.choice('abcdefg')}{pick.randrange(10 ** 6)}" + pick.choice([""] * 12 + [". ", ", "]) for _ in range(n))
+    texts = [say(300) for _ in range(1400)] + ["", say(90000), "é\U0001F600 x. " * 40]
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["d", "row", "text"])
+    Cut([texts[0]])  # the table of characters
+    got, peak, kept = [], 0, 0
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for part in substring_dedup._runs(25, 7)(iter([batch])):
+            got.append(part)
+        peak = tracemalloc.get_traced_memory()[1] - before
+        part = None
+        kept = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6 and kept < 30e6, (peak, kept)
+    found = pa.Table.from_batches(got).to_pydict()
+    want = []
+    for k in pick.sample(range(1400), 40) + [1400, 1401, 1402]:
+        cut = Cut([texts[k]])
+        want += [(k, i, int(h), int(h2)) for i, (h, h2) in enumerate(zip(*cut.hashes))]
+    sampled = {w[0] for w in want}
+    assert [r for r in zip(found["d"], found["i"], found["h"], found["h2"]) if r[0] in sampled] == sorted(want, key=lambda w: w[:2])
+
+
 def test_banded_distance():
     import numpy as np
     pick = random.Random(3)
