@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ from ..operators.joins import interval_join, natural_join
 from ..operators.verbs import rename_matching, snake_case
 from ..session import configure, shared_dir, small_side
 
+PARSER_COLUMNS = 20480  # Spark's CSV parser fails on a line of more cells
+
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
@@ -56,6 +60,26 @@ def read_log_tree(spark: SparkSession, path: str | list[str], columns: Sequence[
     return out.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in numbers})
 
 
+def _cut(lines: DataFrame, separator: str, most_columns: int) -> DataFrame:
+    """Adds ``cells``, those of the CSV line in ``value``, and ``plain``: cut at each separator, NULLs not yet made.
+
+    The CSV parser is slow on lines with fewer cells than its schema. So it gets only the lines that need it: with
+    quotes or NUL, with more cells than it takes, and all if the separator is not one character.
+    """
+    value = F.col("value")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(most_columns)])
+    parsed = F.from_csv(value, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+                        {"nullValue": "NA", "sep": separator, "mode": "PERMISSIVE"})
+    # inside a lambda, a line is parsed once for all its cells
+    parsed = F.transform(F.array(parsed), lambda row: F.array(*[row.getField(f.name) for f in schema]))[0]
+    if len(separator) != 1 or separator in '"\\\0':
+        return lines.select("*", parsed.alias("cells"), F.lit(False).alias("plain"))
+    plain = ~(value.contains('"') | value.contains("\0")) & (F.length(value) < PARSER_COLUMNS)
+    split = F.slice(F.split(value, re.escape(separator), most_columns + 1), 1, most_columns)
+    return (lines.withColumn("plain", plain)
+            .withColumn("cells", F.when(F.col("plain"), split).otherwise(parsed)))
+
+
 def read_header_maps(spark: SparkSession, path: str | list[str], names: Mapping[str, str], separator: str = ",",
                      most_columns: int = 64, file_column: str = "file_id") -> DataFrame:
     """Logger files of a tree, each with a header wording, column order and preamble of its own.
@@ -69,26 +93,30 @@ def read_header_maps(spark: SparkSession, path: str | list[str], names: Mapping[
     NULL. A file without such a header gives no rows. Cells may be quoted but hold
     no line breaks; only the first ``most_columns`` cells of a line are seen.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(most_columns)])
     lines = (spark.read.option("recursiveFileLookup", True).text(path)
              .select("value", F.col("_metadata.file_name").alias(file_column), F.col("_metadata.file_path").alias("file_path"),
                      (F.col("_metadata.file_block_start") == 0).alias("at_start"), F.monotonically_increasing_id().alias("line")))
-    cut = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
-                     {"nullValue": "NA", "sep": separator, "mode": "PERMISSIVE"})
-    cells = lines.withColumn("cells", F.array(*[cut.getField(f.name) for f in schema]))
 
     def place(text: str):
-        holds = F.transform("cells", lambda c: F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False)))
+        cell = lambda c: F.when(F.col("plain") & c.isin("", "NA"), F.lit(None)).otherwise(c)
+        holds = F.transform("cells", lambda c: F.coalesce(F.contains(F.lower(cell(c)), F.lit(text.lower())), F.lit(False)))
         return F.array_position(holds, True)
-    found = cells.filter("at_start").withColumns({f"at_{n}": place(text) for n, text in names.items()})
-    for n in names:
-        found = found.filter(F.col(f"at_{n}") > 0)
-    headers = (found.groupBy("file_path").agg(F.min(F.struct("line", *[f"at_{n}" for n in names])).alias("header"))
+    # The whole line of a header holds the letters and digits of every name: cheaper to see, and most lines go.
+    parts = [max(re.findall("[a-z0-9]+", text.lower()), key=len, default="") for text in names.values()]
+    likely = reduce(lambda a, b: a & b, [F.contains(F.lower("value"), F.lit(p)) for p in parts], F.col("at_start"))
+    found = _cut(lines.filter(likely), separator, most_columns).select(
+        "file_path", "line", *[place(text).alias(f"at_{n}") for n, text in names.items()])
+    whole = reduce(lambda a, b: a & b, [F.col(f"at_{n}") > 0 for n in names], F.lit(True))
+    # A condition inside the aggregate: a filter would be pushed down and cut each line once for every name.
+    headers = (found.groupBy("file_path").agg(F.min(F.when(whole, F.struct("line", *[f"at_{n}" for n in names]))).alias("header"))
+               .filter(F.col("header").isNotNull())
                .select("file_path", F.col("header.line").alias("header_line"), *[F.col(f"header.at_{n}").alias(f"at_{n}") for n in names]))
-    rows = natural_join(cells, small_side(headers), "inner", ["file_path"])
+    rows = natural_join(lines, small_side(headers), "inner", ["file_path"])
     # Lines are numbered along each split, so those of a file's start compare with its header.
     rows = rows.filter(~F.col("at_start") | (F.col("line") > F.col("header_line"))).filter(F.length(F.trim("value")) > 0)
-    return rows.select(*[F.get("cells", (F.col(f"at_{n}") - 1).cast("int")).alias(n) for n in names], file_column, "file_path")
+    cell = {n: F.get("cells", (F.col(f"at_{n}") - 1).cast("int")) for n in names}
+    return _cut(rows, separator, most_columns).select(
+        *[F.when(~F.col("plain") | ~c.isin("", "NA"), c).alias(n) for n, c in cell.items()], file_column, "file_path")
 
 
 def read_fuzzy_header(spark: SparkSession, path: str, names: Mapping[str, str], skip: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scans and sinks on small files."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,39 @@ def test_header_maps_of_files_in_several_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert sums == {"x.csv": (4000, sum(range(0, 8000, 2))), "y.csv": (4000, sum(range(0, 8000, 2)))}
+
+
+def test_header_maps_cut_each_line_once(spark, tmp_path):
+    """40,000 readings that hold the names too: no header is looked for by the parser, cell by cell and name by name."""
+    (tmp_path / "in").mkdir()
+    for f in range(2):
+        (tmp_path / "in" / f"f{f}.csv").write_text("n,date,value,kind\n" + "".join(f"{i},1/2/2023 0:00:00,{i * 2},kind of value\n" for i in range(20000)))
+    start = time.monotonic()
+    got = S.read_header_maps(spark, str(tmp_path / "in"), {"at": "date", "v": "value", "k": "kind"})
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
+    r = got.agg(F.count("at").alias("n"), F.sum(F.col("v").cast("long")).alias("s"), F.max("k").alias("k")).first()
+    assert (r.n, r.s, r.k) == (40000, 2 * sum(range(0, 40000, 2)), "kind of value")
+    assert time.monotonic() - start < 25
+
+
+@pytest.mark.parametrize("sep", [",", "\t", "|", "||"])
+def test_header_maps_of_plain_and_other_lines(spark, tmp_path, sep):
+    """Lines cut at separators and lines that the CSV parser gets agree on marks, quotes, missing and further cells."""
+    lines = [["\ufeff", "date"], ["NA", "data", ""], ["x", "Date", "value"], ["a", "NA", "5"], ['"a"', "NA", "5"], ["a", " NA", ""], ['"a"', " NA", ""],
+             ["b", '"1' + sep + '2"', "6"], ["c"], ["c", "d"], ['"c"', "d"], ["e", "f\\", "g", *["h"] * 70], ['"e"', "f\\", "g", *["h"] * 70], ["", "", ""],
+             ["\ufeff", "i", "j"], ["x", "date", "value"]]
+    (tmp_path / "a.csv").write_text("\n".join(sep.join(x) for x in lines) + "\n", encoding="utf-8")
+    got = [tuple(r)[:2] for r in S.read_header_maps(spark, str(tmp_path), {"d": "DATE", "v": "value"}, sep).collect()]
+    want = [(None, "5"), (None, "5"), (" NA", None), (" NA", None), ("1" + sep + "2", "6"), (None, None), ("d", None), ("d", None), ("f\\", "g"), ("f\\", "g"),
+            (None, None), ("i", "j"), ("date", "value")]
+    assert got == want
+    first = S.read_header_maps(spark, str(tmp_path), {"x": "", "d": "date"}, sep).first()  # of the mark's line, only the second cell is there
+    assert tuple(first)[:2] == ("data", "data")
+
+
+def test_header_maps_drop_the_mark_of_every_file(spark, tmp_path):
+    """Headers behind a byte-order mark, with a separator in quotes, in files that one task reads."""
+    for f in range(40):
+        (tmp_path / f"f{f}.csv").write_text('\ufeff"Date Time, GMT-10:00","value"\n' + f"1/2/2023,{f}\n", encoding="utf-8")
+    got = S.read_header_maps(spark, str(tmp_path), {"d": "date", "v": "value"}).coalesce(1)
+    assert sorted(int(r.v) for r in got.collect()) == list(range(40))
